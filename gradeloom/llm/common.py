@@ -119,7 +119,7 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
             return out
         n = len(have) - size
         have = have[:n] * power + have[size:]
-        power, size = power * power, size * 2
+        power, size = U64(int(power) ** 2 % 2**64), size * 2
 
 
 SPACE = np.zeros(256, bool)

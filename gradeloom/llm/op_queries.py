@@ -44,3 +44,21 @@ SELECT d.doc_id, coalesce(same.n, 0) AS n_shingles, coalesce(comp.component, d.d
   d.doc_id = coalesce(comp.component, d.doc_id) AS kept
 FROM documents d LEFT JOIN same ON d.doc_id = same.doc_id LEFT JOIN rep ON same.key = rep.key AND same.n = rep.n LEFT JOIN comp ON rep.rep = comp.id
 """
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import compare_with_edits
+
+    return compare_with_edits(_documents(spark, sf_dir)).drop("positions")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score
+
+    return score(_documents(spark, sf_dir))
