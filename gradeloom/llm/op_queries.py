@@ -62,3 +62,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score
 
     return score(_documents(spark, sf_dir))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    out = remove_repeats(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
