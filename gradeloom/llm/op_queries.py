@@ -75,3 +75,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
     return encode_documents(_documents(spark, sf_dir))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .leaks import find_leaks
+
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
