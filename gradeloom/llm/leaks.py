@@ -2,12 +2,12 @@
 
 Texts and items are folded (A-Z to lower case, runs of ASCII white space to one space, ends
 trimmed) and compared as UTF-8 bytes. A document holds an item if some stretch of it is at an edit
-distance of at most ``share`` (a tenth) of the item's length.
+distance of at most ``share`` (7 %) of the item's length.
 
 Three steps:
 
-1. A count filter that loses nothing: an item of m bytes with e edits keeps m - 7 - 8e of its
-   8-grams, so a stretch of m + e bytes with fewer positions whose 8-gram is in any item is out.
+1. A count filter that loses nothing: an item of m bytes with e edits keeps m - 9 - 10e of its
+   10-grams, so a stretch of m + e bytes with fewer positions whose 10-gram is in any item is out.
 2. Item-sized windows at every word start of what is left are embedded by ``WALKS`` CGK random
    walks (output the current byte, then stay or step on by a random bit of step number and byte),
    which turns edit distance into Hamming distance. ``TABLES`` bit-sampling hashes of each walk,
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U64, mix, steps, utf8
 
-SHARE, GRAM, LEAST = 0.1, 8, 40
-WALKS, TABLES, SAMPLE = 8, 6, 5
+SHARE, GRAM, LEAST = 0.07, 10, 40
+WALKS, TABLES, SAMPLE = 8, 6, 7
 CLASS_RATIO = 1.2
 BITS = 22
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -63,11 +63,12 @@ def folded(text: str | None) -> bytes:
 
 
 def gram_bins(data: np.ndarray) -> np.ndarray:
-    """Bin of the 8 bytes that start at each position."""
+    """Bin of the GRAM bytes that start at each position."""
     x = data.astype(np.uint64)
     for size in (1, 2, 4):
         x = (x[:-size] << U64(8 * size)) | x[size:] if len(x) > size else x[:0]
-    return ((x * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int64)
+    x = x[: max(0, len(x) - GRAM + 8)] * U64(0x9E3779B97F4A7C15) + x[GRAM - 8 :] * U64(0xC2B2AE3D27D4EB4F)
+    return ((x ^ (x >> U64(29))) * U64(0x9E3779B97F4A7C15) >> U64(64 - BITS)).astype(np.int64)
 
 
 def edits(item: bytes, text: bytes) -> tuple[int, int]:
@@ -120,61 +121,94 @@ class Items:
         self.tables = []
         for k, (window, lo, hi, *_) in enumerate(self.classes):
             joined = np.frombuffer(b"".join(t[:window] for t in self.texts[lo:hi]), np.uint8)
-            keys = self.keys(joined, np.arange(hi - lo) * window, k)
+            keys = self.keys(joined, np.arange(hi - lo) * window, [k])[k]
             number = np.repeat(np.arange(lo, hi)[None, :], len(keys), 0).ravel()
             keys = keys.ravel()
             by = np.argsort(keys, kind="stable")
             self.tables.append((keys[by], number[by]))
 
-    def keys(self, data: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-        """Hashes (WALKS * TABLES rows) of the windows of class k that start there."""
-        window, samples = self.classes[k][0], self.samples[k]
-        out = np.zeros((WALKS, TABLES, len(starts)), U64)
-        for w in range(WALKS):
-            when: dict[int, list[int]] = {}
-            for t in range(TABLES):
-                for j in samples[w, t].tolist():
-                    when.setdefault(j, []).append(t)
-                out[w, t] = mix(np.array([w * TABLES + t + 1], U64))
-            at = np.zeros(len(starts), np.int64)
-            limit = len(data) - 1
-            for j in range(max(when) + 1):
-                inside = at < window
-                byte = np.where(inside, data[np.minimum(starts + at, limit)], 0)
-                for t in when.get(j, ()):
-                    out[w, t] = mix(out[w, t] ^ (byte + inside * U64(256)).astype(U64))
-                at += self.bits[w, j][byte]
-        return out.reshape(WALKS * TABLES, len(starts))
-
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(row, item id, edits, end) of all items found in the folded texts; end counts folded bytes."""
-        if len(data) < LEAST or not self.texts:
-            return []
+    def keys(self, data: np.ndarray, starts: np.ndarray, classes: list[int]) -> dict[int, np.ndarray]:
+        """For each class the hashes (WALKS * TABLES rows) of its windows that start there.
+
+        One walk serves all classes: a window only ends what of it is sampled.
+        """
+        out = {k: np.repeat(mix(np.arange(1, WALKS * TABLES + 1, dtype=U64)).reshape(WALKS, TABLES, 1), len(starts), 2) for k in classes}
+        when: dict[int, list[tuple[int, int, int]]] = {}
+        for k in classes:
+            for w, t, i in np.ndindex(WALKS, TABLES, SAMPLE):
+                when.setdefault(int(self.samples[k][w, t, i]), []).append((k, w, t))
+        at = np.zeros((WALKS, len(starts)), np.int64)
+        walk = np.arange(WALKS)[:, None]
+        for j in range(max(when, default=-1) + 1):
+            byte = data[np.minimum(starts + at, len(data) - 1)]
+            for k, w, t in when.get(j, ()):
+                inside = at[w] < self.classes[k][0]
+                out[k][w, t] = mix(out[k][w, t] ^ np.where(inside, byte[w].astype(U64) + U64(256), U64(0)))
+            at += self.bits[walk, j, byte]
+        return {k: x.reshape(WALKS * TABLES, len(starts)) for k, x in out.items()}
+
+    def likely(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """For each class the word starts whose stretch, or one that begins a little before, holds enough grams."""
+        if len(data) < LEAST:
+            return {}
         hit = np.zeros(len(data), np.int32)
         bins = gram_bins(data)
         hit[: len(bins)] = self.present[bins]
         sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)])
-        found: dict[tuple[int, int], set[int]] = {}
+        spots, out = None, {}
         for k, (window, _, _, wide, fewest) in enumerate(self.classes):
-            # Word starts whose stretch holds enough hits; a stretch may begin a little before the window.
-            slack = wide - window
-            ends = np.minimum(np.arange(len(data)) + wide, len(data))
-            enough = sums[ends] - sums[: len(data)] >= fewest
+            enough = np.empty(len(data), bool)
+            cut = max(0, len(data) - wide)
+            np.greater_equal(sums[wide : wide + cut] - sums[:cut], fewest, out=enough[:cut])
+            enough[cut:] = sums[-1] - sums[cut:-1] >= fewest
             if not enough.any():
                 continue
-            # A start is looked at if some stretch that begins within the slack before it passes.
+            if spots is None:
+                first = offsets[:-1][offsets[:-1] < offsets[1:]]
+                spots = np.union1d(np.flatnonzero(data == 32) + 1, first)
+                spots = spots[spots < len(data)]
             near = np.concatenate([[0], np.cumsum(enough)])
-            spots = np.flatnonzero(np.concatenate([[True], data[:-1] == 32]))
-            spots = np.unique(np.concatenate([spots, offsets[:-1][offsets[:-1] < len(data)]]))
-            spots = spots[near[np.minimum(spots + 1, len(data))] - near[np.maximum(spots - slack, 0)] > 0]
-            if not len(spots):
+            good = spots[near[spots + 1] - near[np.maximum(spots - (wide - window), 0)] > 0]
+            if len(good):
+                out[k] = good
+        return out
+
+    def search(self, parts) -> list[tuple[int, int, int, int]]:
+        """(row, item id, edits, end) of the items in folded texts; end counts folded bytes.
+
+        ``parts`` gives (first row, bytes, offsets); rows without a likely start are left behind at once.
+        """
+        rows, kept, base, likely = [], [], 0, {}
+        for first, data, offsets in parts if self.texts else ():
+            found = self.likely(data, offsets)
+            if not found:
                 continue
-            keys, (known, number) = self.keys(data, spots, k), self.tables[k]
-            low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-            rows, cols = np.nonzero(high > low)
-            for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
-                for item in set(number[low[r, c] : high[r, c]].tolist()):
-                    found.setdefault((int(np.searchsorted(offsets, spots[c], "right")) - 1, item), set()).add(int(spots[c]))
+            every = np.unique(np.concatenate(list(found.values())))
+            wanted = np.unique(np.searchsorted(offsets, every, "right") - 1)
+            shift = np.zeros(len(offsets), np.int64)
+            for r in wanted.tolist():
+                shift[r] = base - offsets[r]
+                rows.append((first + r, base))
+                kept.append(data[offsets[r] : offsets[r + 1]])
+                base += int(offsets[r + 1] - offsets[r])
+            for k, spots in found.items():
+                likely.setdefault(k, []).append(spots + shift[np.searchsorted(offsets, spots, "right") - 1])
+        if not rows:
+            return []
+        data, offsets = np.concatenate(kept), np.array([b for _, b in rows] + [base])
+        likely = {k: np.concatenate(x) for k, x in likely.items()}
+        spots = np.unique(np.concatenate(list(likely.values())))
+        found: dict[tuple[int, int], set[int]] = {}
+        for lo in range(0, len(spots), 20_000):
+            some = spots[lo : lo + 20_000]
+            for k, keys in self.keys(data, some, list(likely)).items():
+                own = np.flatnonzero(np.isin(some, likely[k]))
+                known, number = self.tables[k]
+                low, high = np.searchsorted(known, keys[:, own], "left"), np.searchsorted(known, keys[:, own], "right")
+                for r, c in zip(*(x.tolist() for x in np.nonzero(high > low)), strict=True):
+                    spot = int(some[own[c]])
+                    for item in set(number[low[r, c] : high[r, c]].tolist()):
+                        found.setdefault((int(np.searchsorted(offsets, spot, "right")) - 1, item), set()).add(spot)
         out = []
         for (row, item), starts in found.items():
             best = None
@@ -189,7 +223,7 @@ class Items:
                 if e <= most and (best is None or e < best[0]):
                     best = e, lo + end - a
             if best:
-                out.append((row, self.ids[item], *best))
+                out.append((rows[row][0], self.ids[item], *best))
         return out
 
 
@@ -225,11 +259,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
                 index = index or Items(*sent.value, share)
                 offsets, data = utf8(batch.column(1))
                 names = batch.column(0)
-                for lo, hi in steps(offsets):
-                    part, own = fold(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    if rows := index.search(part, own):
-                        row, item, e, end = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array([lo + r for r in row])), pa.array(item, pa.int64()), pa.array(e, pa.int32()), pa.array(end, pa.int32())], schema=schema)
+                parts = ((lo, *fold(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in steps(offsets))
+                if rows := index.search(parts):
+                    row, item, e, end = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(item, pa.int64()), pa.array(e, pa.int32()), pa.array(end, pa.int32())], schema=schema)
 
         one = docs.mapInArrow(run, "doc_id long, item_id long, edits int, end_at int")
         out = one if out is None else out.union(one)
