@@ -87,3 +87,15 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pseudonyms import pseudonymise
 
     return pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import count_tokens
+
+    return count_tokens(_documents(spark, sf_dir)).select("doc_id", "n_tokens")
+
+
+def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import link_quotations
+
+    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
