@@ -8,8 +8,8 @@ keys on which all such pairs meet. At a set similarity of 0.8 a symbol differs w
 0.2, so the threshold lies 3.7 standard deviations above the mean.
 
 Links are confirmed on whole sets. Equal sets are collapsed before anything is joined. Inside a
-key no pairs are emitted at first: every member meets the key's smallest id; components are built
-from confirmed links; later rounds look only at pairs that still lie in different components and
+key no pairs are emitted at first: every member meets the key's smallest id, then its best linked member; components are
+built from confirmed links; later rounds look only at pairs that still lie in different components and
 share one of their rarest shingles, which sets of the wanted similarity must.
 
 Defined results: null, empty and blank texts have an empty set and no links; rows with a null id
@@ -33,6 +33,8 @@ SYMBOLS, SYMBOL_BITS, CHUNK, ERRORS = 60, 16, 5, 1
 BROADCAST_IDS = 500_000
 #: Closest candidates of a document that a round confirms before components are rebuilt.
 CLOSEST = 3
+#: Rounds in which members of a key also meet its best linked member.
+HUB_ROUNDS = 2
 
 _rng = np.random.Generator(np.random.PCG64(77))
 SEEDS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -164,28 +166,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * union).select("a", "b").distinct()
 
 
-def _apart(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _mixed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, component) of the keys that join components."""
+    placed = met.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(mixed, "key")
+
+
+def _to_hubs(mixed: DataFrame, links: DataFrame) -> DataFrame:
+    """Each member of a key with the key's best linked member, where their components differ."""
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("degree"))
+    mixed = mixed.join(degree, "rep", "left")
+    hubs = mixed.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("rep").alias("hub"), F.col("component").alias("of_hub"))).alias("x")).select("key", "x.hub", "x.of_hub")
+    pairs = mixed.join(hubs, "key").filter("component <> of_hub")
+    return pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
+def _apart(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components, of documents whose keys join components, that can still be similar.
 
     Sets of the wanted similarity must share one of their rarest shingles: as many of each set as
-    it may lack, and one more. Copies that have drifted too far from a large group hold only
-    shingles of their own there and meet nobody.
+    it may lack, and one more. Where the first shared one stands in both orders bounds what they
+    can share at all. Copies that have drifted too far from a large group hold only shingles of
+    their own among their rarest and meet nobody.
     """
-    placed = met.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = stored(placed.join(mixed, "key").select("rep", "component").distinct(), "rest")
+    rest = stored(mixed.select("rep", "component").distinct(), "rest")
     own = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     common = own.groupBy("shingle").agg(F.count("*").alias("df"))
     rank = F.array_sort(F.collect_list(F.struct("df", "shingle")))
     rare = own.join(common, "shingle").groupBy("rep", "component", "n").agg(rank.alias("ranked"))
     lacking = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
-    rare = rare.select("rep", "component", F.explode(F.slice("ranked", F.lit(1), lacking)).alias("x")).filter("x.df > 1")
-    rare = stored(rare.select("rep", "component", F.col("x.shingle").alias("shingle")), "rare")
+    rare = rare.select("rep", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), lacking)).alias("at", "x")).filter("x.df > 1")
+    rare = stored(rare.select("rep", "component", "n", "at", F.col("x.shingle").alias("shingle")), "rare")
     joins = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
     rare = rare.join(joins, "shingle")
-    x = rare.select("shingle", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-    y = rare.select("shingle", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    return x.join(y, "shingle").filter("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = rare.select("shingle", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("at")).alias("left_a"))
+    y = rare.select("shingle", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("at")).alias("left_b"))
+    can = (F.col("of_a") < F.col("of_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return x.join(y, "shingle").filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -218,16 +236,19 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     ranked = first.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "a"))), 1, CLOSEST).alias("near"))
     tested = stored(ranked.select("b", F.explode("near").alias("x")).select("x.a", "b"), "tested")
     links = stored(_confirmed(tested, sets, percent), "confirmed")
+    hubs = HUB_ROUNDS
     while True:
         found = components(links)
-        open_pairs = stored(close(_apart(met, found, sets, percent).join(tested, ["a", "b"], "left_anti")), "open")
-        if not open_pairs.head(1):
-            break
-        tested = stored(tested.union(open_pairs.select("a", "b")).distinct(), "tested")
+        mixed = stored(_mixed(met, found), "mixed")
+        candidates = _to_hubs(mixed, links) if hubs else _apart(mixed, sets, percent)
+        open_pairs = stored(close(candidates.join(tested, ["a", "b"], "left_anti")), "open")
         more = stored(_confirmed(open_pairs, sets, percent), "confirmed")
-        if not more.head(1):
+        new = bool(more.head(1))
+        if not hubs and not new:
             break
-        links = stored(links.union(more), "confirmed")
+        hubs = hubs - 1 if hubs and new else 0
+        tested = stored(tested.union(open_pairs.select("a", "b")).distinct(), "tested")
+        links = stored(links.union(more), "confirmed") if new else links
     ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     of_set = reps.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
     out = sketched.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
