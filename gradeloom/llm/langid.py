@@ -18,10 +18,10 @@ and clipped; ties go to the language that sorts first.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, records, steps, utf8
 
@@ -111,34 +111,44 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(langs, np.array([r["rank"] for r in rows]), x, np.array([langs.index(r.lang) for r in rows]))
 
 
+def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Predicted language and score of each text, a bounded number of texts at a time."""
+    langs, scores = [], []
+    marks = None if model is None else np.unpackbits(model.marks, axis=1).astype(np.float32)
+    offsets, data = utf8(column)
+    for lo, hi in steps(offsets, 1 << 19):
+        for a in range(lo, hi, 256):
+            b = min(hi, a + 256)
+            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            if model is None:
+                langs += ["und"] * (b - a)
+                scores.append(np.zeros(b - a))
+                continue
+            values = model.score(presence(part, own), marks)
+            best = values.argmax(1)
+            names = [model.langs[i] for i in best.tolist()]
+            score = np.clip((values[np.arange(b - a), best].astype(float) + 1) / 2, 0, 1)
+            plain = np.concatenate([[0], np.cumsum(_LETTER[part], dtype=np.int32)])
+            for i in np.flatnonzero(plain[own[1:]] == plain[own[:-1]]).tolist():
+                if not has_letter(part[own[i] : own[i + 1]].tobytes()):
+                    names[i], score[i] = "und", 0.0
+            langs += names
+            scores.append(score)
+    return langs, np.concatenate([*scores, np.zeros(0)])
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` (with ``text``) with lang_pred and score added; every other column passes through."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def classify(texts: pd.Series) -> pd.DataFrame:
-        model = sent.value
-        column = pa.Array.from_pandas(texts, type=pa.large_string())
-        offsets, data = utf8(column)
-        langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-        if model is not None:
-            marks = np.unpackbits(model.marks, axis=1).astype(np.float32)
-            for lo, hi in steps(offsets, 1 << 19):
-                for a in range(lo, hi, 256):
-                    b = min(hi, a + 256)
-                    values = model.score(presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), marks)
-                    best = values.argmax(1)
-                    langs[a:b] = np.array(model.langs, object)[best]
-                    scores[a:b] = np.clip((values[np.arange(b - a), best] + 1) / 2, 0, 1)
-            raw = data.tobytes()
-            letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-            for i in np.flatnonzero(letters[offsets[1:]] == letters[offsets[:-1]]):
-                if not has_letter(raw[offsets[i] : offsets[i + 1]]):
-                    langs[i], scores[i] = "und", 0.0
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
-
-    return docs.withColumn("_found", classify(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    at = kept.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            langs, scores = classify(sent.value, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id="doc_id", modulus: int = 4, remainder: int = 2):

@@ -6,7 +6,7 @@ share ``GRAM + WINDOW - 1`` consecutive code points therefore share a chosen gra
 
 Defined results: null and empty texts have an empty fingerprint; a text shorter than a gram is one
 gram; one with fewer grams than a window is one window. Two empty fingerprints are alike (1.0).
-Documents follow each other by id, then text; rows without an id come first; the last one is
+Documents follow each other by id, equal ids in a fixed order; rows without an id come first; the last one is
 followed by the first.
 """
 
@@ -17,6 +17,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def _compare(batches):
     for batch in batches:
         rows, followers, size = [], [], 0
         for bucket, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
+            text = zstandard.decompress(text).decode("utf-8", "surrogatepass")
             if bucket == last and waiting is not None:
                 rows.append(waiting)
                 followers.append(text)
@@ -149,7 +150,7 @@ def _compare(batches):
 
 
 def with_followers(docs: DataFrame, parts: int) -> DataFrame:
-    """(bucket, guest, doc_id, text): ranges of ids, each sorted and closed by the start of the next range.
+    """(bucket, guest, doc_id, packed text): ranges of ids, each sorted and closed by the start of the next range.
 
     Only range bounds and the first id of each range reach the driver: two numbers for each of ``parts`` ranges.
     """
@@ -166,15 +167,28 @@ def with_followers(docs: DataFrame, parts: int) -> DataFrame:
     order = list(firsts)
     before = {b: order[k - 1] for k, b in enumerate(order)}
 
-    @F.pandas_udf("array<int>")
-    def places(x: pd.Series) -> pd.Series:
-        ids = x.to_numpy(np.int64)
-        own = np.searchsorted(bounds, ids, "right").tolist()
-        return pd.Series([[2 * b, 2 * before[b] + 1] if firsts[b] == i else [2 * b] for b, i in zip(own, ids.tolist(), strict=True)])
-
-    placed = docs.withColumn("place", F.explode(places(F.coalesce("doc_id", F.lit(NO_ID)))))
-    placed = placed.select(F.floor(F.col("place") / 2).cast("int").alias("bucket"), (F.col("place") % 2 == 1).alias("guest"), "doc_id", "text")
-    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    schema = pa.schema([("bucket", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("packed", pa.binary())])
+
+    def place(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packed = zstandard.compress((text or "").encode("utf-8", "surrogatepass"), 6)
+                key = NO_ID if doc_id is None else doc_id
+                own = int(np.searchsorted(bounds, key, "right"))
+                rows.append((own, False, doc_id, packed))
+                if firsts[own] == key:
+                    rows.append((before[own], True, doc_id, packed))
+                size += len(packed)
+                if size > STEP:
+                    yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+                    rows, size = [], 0
+            if rows:
+                yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+
+    # Texts travel packed: the exchange is the operator's only large one.
+    placed = docs.mapInArrow(place, "bucket int, guest boolean, doc_id long, packed binary")
+    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "packed")
 
 
 def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
