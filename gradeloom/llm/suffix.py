@@ -239,7 +239,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, first, windows): all windows of ``docs`` (doc_id, digest, text) that repeat, as runs."""
     made = stored(docs.filter(F.octet_length("text") >= LENGTH).select(*KEY, "text").mapInArrow(_runs, f"doc_id long, digest long, runs array<struct<{RUN.replace(' ', ':')}>>".replace(",:", ", ")), "runs")
     every = made.select(*KEY, F.explode("runs").alias("x")).select(*KEY, "x.*")
-    twice = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Stored, so that the join stands alone behind its exchanges and Spark may split the rows of a very common gram.
+    twice = stored(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
     shared = stored(every.join(twice, "gram"), "shared")
     spans = shared.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "first", "windows")).alias("rep"))
     spans = stored(spans, "spans")
