@@ -330,3 +330,84 @@ def half_up(marks: Column) -> Column:
     return F.floor(marks * 2 + 0.5) / 2
 
 
+
+
+def same_question(a: Column, b: Column) -> Column:
+    """Whether two question labels agree: their digits are equal or one's start the other's; a missing side agrees."""
+    x, y = (F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "") for c in (a, b))
+    return (x == "") | (y == "") | F.startswith(x, y) | F.startswith(y, x)
+
+
+def inline_sections(text: Column) -> Column:
+    """Sections of "Title (3 Marks)" lines: array of (title, marks, body); empty without such a line."""
+    parts = F.split(text, r"\n(?=[^\n]{1,120}\([0-9]+(?:\.[0-9]+)? ?(?i:marks?|mks?)\))")
+    head = r"^([^\n]*?) *\(([0-9]+(?:\.[0-9]+)?) ?(?i:marks?|mks?)\)[^\n]*"
+    titled = F.filter(parts, lambda p: p.rlike(head))
+    return F.transform(titled, lambda p: F.struct(F.trim(F.regexp_extract(p, head, 1)).alias("title"), F.regexp_extract(p, head, 2).try_cast("double").alias("marks"), F.regexp_replace(F.regexp_replace(p, head, ""), r"^[ \t\n]+|[ \t\n]+$", "").alias("body")))
+
+
+def body_points(body: Column) -> Column:
+    """Points of a section body: bullets and blank lines part it, parts over 150 characters part at sentences; ten characters at least."""
+    blocks = F.split(body, r"\n[ \t]*\n|\n[ \t]*(?:[-*•–]|[0-9]{1,2}[.)]|\([a-z0-9]{1,3}\))[ \t]+")
+    first = F.transform(blocks, lambda b: F.regexp_replace(F.trim(F.regexp_replace(b, r"[ \t\n]+", " ")), r"^(?:[-*•–]|[0-9]{1,2}[.)]|\([a-z0-9]{1,3}\)) +", ""))
+    cut = F.flatten(F.transform(first, lambda b: F.when(F.length(b) > 150, sentences(b)).otherwise(F.array(b))))
+    return F.filter(cut, lambda p: F.length(p) >= 10)
+
+
+def _spellings(first: Column, rules: list[tuple[str, str]]) -> Column:
+    every = F.array(first, *(F.regexp_replace(first, a, b) for a, b in rules))
+    kept = F.filter(F.transform(every, lambda v: F.trim(v)), lambda v: v != "")
+    return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, v: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v))))
+
+
+def anchor_variations(anchor: Column) -> Column:
+    """Spellings to search an anchor under: percent, currencies, dashes, times, divided by and units; distinct, case ignored."""
+    return _spellings(anchor, [
+        (r" ?%", " percent"), (r"(?i) ?per ?cent\b", "%"), (r"(?i)\bGBP ?", "£"), ("£", "GBP "), (r"(?i)\bUSD ?", "\\$"), (r"\$", "USD "), ("[£$€]", ""),
+        ("[–—−]", "-"), ("-", "–"), (r" ?[xX×] ?", " x "), (r" ?[xX*] ?", " × "), ("÷", "/"), ("/", " ÷ "), (r"(?i)([0-9]) ?million\b", "$1m"), (r"(?i)([0-9])m\b", "$1 million"), (r"(?i)([0-9])k\b", "$1,000"),
+    ])
+
+
+def number_variations(number: Column) -> Column:
+    """A figure with and without groups, spaces, cents and fraction spaces."""
+    plain = F.regexp_replace(number, "[, ]", "")
+    whole = F.regexp_replace(plain, r"\.00$", "").try_cast("long")
+    made = F.when(whole.isNotNull(), F.array(whole.cast("string"), grouped(whole), F.translate(grouped(whole), ",", " "), F.concat(grouped(whole), F.lit(".00")))).otherwise(F.array().cast("array<string>"))
+    fraction = F.when(number.contains("/"), F.array(F.regexp_replace(number, " */ *", "/"), F.regexp_replace(number, " */ *", " / "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.trim(number)), made, fraction))
+
+
+def context_words(text: Column, most: int = 6) -> Column:
+    """First distinct tokens of a text that are no figures."""
+    return F.slice(F.array_distinct(F.filter(tokens(text), lambda w: ~w.rlike("^[0-9]+$"))), 1, most)
+
+
+def grounded_anchor(anchor: Column, text: Column) -> Column:
+    """An anchor that stands in the text (white space and case folded): itself if it has five words at most, else its
+    first run of five, four or three words that does; failing that the first five, four or three words that do; else its first four words."""
+    fold = lambda c: F.lower(F.regexp_replace(F.trim(c), r"[ \t\n\r]+", " "))
+
+    def pick(words: Column) -> Column:
+        def choose(body: Column) -> Column:
+            fits = lambda n: F.get(F.filter(ngrams(words, n), lambda g: F.contains(body, F.lower(g))), 0)
+            whole = F.array_join(words, " ")
+            short_enough = F.when((F.size(words) <= 5) & F.contains(body, F.lower(whole)), whole)
+            return F.coalesce(short_enough, fits(5), fits(4), fits(3), F.array_join(F.slice(words, 1, 4), " "))
+
+        return let(fold(text), choose)
+
+    return let(F.filter(F.split(F.trim(anchor), r"[ \t\n\r]+"), lambda w: w != ""), pick)
+
+
+def question_max_marks(document: Column, matched: Column, leaf_sum: Column, marks: Column, judged: Column, all_questions: Column) -> Column:
+    """A question's maximum: stated in the text ("maximum marks: N"), of the matched question, of its leaves, of its own
+    keys, a closing "(N)", the judge's total, the sum of all questions; the first that is positive."""
+    stated = F.regexp_extract(document, r"(?i)(?:maximum|total|available)[ _]marks?[ :=]*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    closing = F.regexp_extract(document, r"\(([0-9]+(?:\.[0-9]+)?)(?: ?(?i:marks?))?\)[ \t\n.]*$", 1).try_cast("double")
+    positive = lambda c: F.when(c.cast("double") > 0, c.cast("double"))
+    return F.coalesce(*map(positive, (stated, matched, leaf_sum, marks, closing, judged, all_questions)))
+
+
+def tool_arguments(message: Column) -> Column:
+    """The arguments of a message's first tool call, in either layout; null without one."""
+    return F.coalesce(F.get_json_object(message, "$.tool_calls[0].function.arguments"), F.get_json_object(message, "$.tool_calls[0].args"), F.get_json_object(message, "$.additional_kwargs.tool_calls[0].function.arguments"))

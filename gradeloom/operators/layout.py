@@ -93,3 +93,42 @@ def column_values(targets: DataFrame, words: DataFrame, headers: DataFrame) -> D
     distance = F.when(under, F.abs(F.col("vx0") - F.col("hx0"))).otherwise(F.abs((F.col("vx0") + F.col("vx1")) / 2 - (F.col("hx0") + F.col("hx1")) / 2))
     best = Window.partitionBy("submission_id", "target_id").orderBy(F.desc(under), distance, "vx0")
     return met.withColumn("r", F.row_number().over(best)).filter("r = 1").select("submission_id", "target_id", "column", "page", "value", "vx0", "vy0", "vx1")
+
+
+def question_bounds(lines: DataFrame, questions: DataFrame, left: float = 250.0) -> DataFrame:
+    """Where each question starts and the next one ends it, by heading lines near the left margin.
+
+    ``questions``: submission_id, question (its number as text). Neighbours are the questions of the data, whatever
+    their numbers. Returns page, y_min, and next_page, next_y (null for the last).
+    """
+    number = X.title_number(F.col("text"))
+    head = lines.filter(F.col("x0") < left).withColumn("question", number).filter("question <> ''").join(questions.select("submission_id", "question").distinct(), ["submission_id", "question"], "left_semi")
+    first = head.groupBy("submission_id", "question").agg(F.min(F.struct("page", "y0")).alias("at"))
+    order = Window.partitionBy("submission_id").orderBy("at")
+    return first.withColumn("next", F.lead("at").over(order)).select("submission_id", "question", F.col("at.page").alias("page"), F.col("at.y0").alias("y_min"), F.col("next.page").alias("next_page"), F.col("next.y0").alias("next_y"))
+
+
+def belonging(found: DataFrame) -> DataFrame:
+    """for Dr/Cr criteria, lines of the other side and working lines go, unless nothing would be left.
+
+    ``found``: submission_id, item_pos, criterion, text (of the line), ...
+    """
+    side = F.regexp_extract(F.lower("criterion"), r"^(dr|cr)\b", 1)
+    other = F.when(side == "dr", F.lower("text").rlike(r"\bcr\b")).otherwise(F.lower("text").rlike(r"\bdr\b"))
+    working = F.col("text").rlike(r"[0-9] ?[x×*/+] ?[0-9(£]|=")
+    df = found.withColumn("_ok", (side == "") | ~(other | working))
+    by = Window.partitionBy("submission_id", "item_pos")
+    return df.withColumn("_any", F.count_if("_ok").over(by) > 0).filter(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
+
+
+def number_context(numbers: DataFrame, words: DataFrame) -> DataFrame:
+    """Of several places of a figure, the one with most of its context words on the same line (within ``ROW_GAP``).
+
+    ``numbers``: submission_id, number_id, context (array of lower-case words), page, x0, y0, x1, y1.
+    """
+    near = words.select("submission_id", "page", F.col("y0").alias("wy0"), F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", "")).alias("w"))
+    met = numbers.join(near, ["submission_id", "page"], "left")
+    hit = F.when((F.abs(F.col("wy0") - F.col("y0")) <= ROW_GAP) & F.array_contains("context", F.col("w")), F.col("w"))
+    scored = met.groupBy("submission_id", "number_id", "page", "x0", "y0", "x1", "y1").agg(F.count_distinct(hit).alias("shared"))
+    best = Window.partitionBy("submission_id", "number_id").orderBy(F.desc("shared"), "page", "y0", "x0")
+    return scored.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")

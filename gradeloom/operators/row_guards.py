@@ -203,3 +203,9 @@ def apply(rows: DataFrame) -> DataFrame:
     for guard in CHAIN:
         rows = rows.transform(guard)
     return rows
+
+
+def partial_credit(df: DataFrame) -> DataFrame:
+    """F14, not in the chain: half the maximum, in quarters, where evidence stands in the script but no marks were given."""
+    present = X.let(X.evidence_norm(F.col("text")), lambda t: F.exists(F.transform("evidence", X.evidence_norm), lambda e: is_searchable(e) & is_present(e, t)))
+    return _set(df, "F14", F.when((F.col("marks_awarded") == 0) & present, X.quarter(F.col("max_possible") / 2)).otherwise(F.col("marks_awarded")), "Partial credit.")
