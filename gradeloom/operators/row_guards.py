@@ -92,6 +92,7 @@ def taint(df: DataFrame) -> DataFrame:
     return _zero_if(df, "F8", (F.col("reference") != "") & ~fine, "Marks revoked (evidence is copied from the question).")
 
 
+# Words of income criteria and of evidence for them.
 INCOME = r"(?i)\b(profit|contribution|revenue|income|earning)\b"
 INCOME_EVIDENCE = r"(?i)\b(profits?|contribution|revenue|income|earnings?|loss|oci|exchange|reserve|comprehensive|nci|eps)\b|p[&/]l|\bpl\b|\bfx\b"
 
@@ -112,6 +113,7 @@ def alignment(df: DataFrame) -> DataFrame:
     return _zero_if(df, "F10", ~exempt & (F.col("max_possible") < 1) & ~fine, "Marks revoked (evidence does not bear on the criterion).")
 
 
+# Words that do not say what is required.
 NEGATION_STOP = [
     "required", "necessary", "must", "should", "would", "which", "this", "that", "also", "have", "been", "will", "need", "needs", "being",
     "review", "report", "audit", "before", "after",
