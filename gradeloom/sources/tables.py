@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -48,3 +48,25 @@ def flat_text(parts: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """The report as CSV with a header, a folder for each question, rows in report order."""
     report.repartition("question").sortWithinPartitions("question", "submission_id", "_order").drop("_order", "submission_id").write.mode("overwrite").partitionBy("question").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def question_list(model_answers: DataFrame) -> DataFrame:
+    """Id, title ("Untitled" if blank), marks (max_marks, else total_marks, else "?"; zero counts as missing), description."""
+    given = lambda c: F.when(~F.trim(F.col(c).cast("string")).isin("", "0", "0.0"), F.col(c).cast("string"))
+    return model_answers.select("model_answer_id", F.coalesce(F.nullif(F.trim("question_title"), F.lit("")), F.lit("Untitled")).alias("question_title"), F.coalesce(given("max_marks"), given("total_marks"), F.lit("?")).alias("total_marks"), "description")
+
+
+def update_reports(grades: DataFrame, reports: DataFrame, path: str) -> None:
+    """Grades with the CSV text of their report and the time it was made, as a new table at ``path``; others stay as they are.
+
+    ``reports``: submission_id, csv. Read the result, then move it into place: a plain folder of files has no transactions.
+    """
+    new = reports.select("submission_id", F.col("csv").alias("_csv"))
+    out = grades.drop("report_csv", "report_at").join(new, "submission_id", "left")
+    out.withColumn("report_at", F.when(F.col("_csv").isNotNull(), F.current_timestamp())).withColumnRenamed("_csv", "report_csv").write.mode("overwrite").parquet(path)
+
+
+def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass a test, and the others; a null test fails."""
+    good = F.coalesce(ok, F.lit(False))
+    return df.filter(good), df.filter(~good)
