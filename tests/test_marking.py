@@ -67,7 +67,7 @@ def test_set_guards(spark):
     out = set_guards.apply(rows).cache()
     assert marks(out) == [1.0, 0.0, 0.0, 0.0, 0.0]
     assert {r.item_pos: [a.guard for a in r.audit] for r in out.collect()} == {0: [], 1: ["G1"], 2: ["G3"], 3: ["G5"], 4: ["G9"]}
-    assert marks(set_guards.apply(out)) == marks(out)
+    assert marks(set_guards.contradiction(out)) == marks(set_guards.sign(out)) == marks(out)
 
 
 @pytest.mark.parametrize("text,want", [("'25% × £7.2m × 9/12 = 1,350'.", "1350"), ("'25% × (£12.75m − £2.75m) = 2,500'", "2500"), ("'Less net assets … = (18,400)'", "18400"), ("'… = 1,350.'", None)])
