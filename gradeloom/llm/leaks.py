@@ -1,20 +1,17 @@
-"""Benchmark decontamination with CGK embeddings.
+"""Benchmark decontamination: gram counts that lose nothing, then exact edit distance.
 
 Texts and items are folded (A-Z to lower case, runs of ASCII white space to one space, ends
 trimmed) and compared as UTF-8 bytes. A document holds an item if some stretch of it is at an edit
-distance of at most ``share`` (7 %) of the item's length.
+distance of at most ``share`` (a tenth) of the item's length.
 
-Three steps:
+Two steps, neither of which loses a stretch:
 
-1. A count filter that loses nothing: an item of m bytes with e edits keeps m - 9 - 10e of its
-   10-grams, so a stretch of m + e bytes with fewer positions whose 10-gram is in any item is out.
-2. Item-sized windows at every word start of what is left are embedded by ``WALKS`` CGK random
-   walks (output the current byte, then stay or step on by a random bit of step number and byte),
-   which turns edit distance into Hamming distance. ``TABLES`` bit-sampling hashes of each walk,
-   ``SAMPLE`` outputs each, look for items with the same hash: at a match rate p of outputs the
-   recall is 1 - (1 - p**SAMPLE)**(WALKS * TABLES). Items of similar length share a window size.
-3. Exact verification: bit-parallel edit distance of the whole item against the window's
-   surroundings.
+1. An item of m bytes with e edits keeps m - (g - 1) - g * e of its g-grams (g is ``GRAM``, and less
+   where the item is too short for a positive number), and the places of these in the text less
+   their places in the item differ by 2e at most. Grams of item and text that are equal are counted
+   by item and difference, in overlapping bands; bands with fewer are out. Grams that many items
+   have are left uncounted up to half of that number, which then falls by as many.
+2. Exact verification: bit-parallel edit distance of the whole item against the surroundings.
 
 Items are the query set; they go to the executors in blocks of ``BLOCK_ITEMS``, each block scanning
 all documents. Defined results: null or empty texts and items match nothing, items shorter than
@@ -28,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, mix, steps, utf8
+from .common import LOWER, SPACE, U64, steps, utf8
 
-SHARE, GRAM, LEAST = 0.07, 10, 40
-WALKS, TABLES, SAMPLE = 8, 6, 7
-CLASS_RATIO = 1.2
+SHARE, GRAM, LEAST = 0.1, 8, 40
 BITS = 22
+#: A gram with more places in the items is common; so many pairs of places are compared at once.
+COMMON, PAIRS = 64, 1 << 21
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 FOLD = np.where(SPACE, np.uint8(32), LOWER)
 
@@ -62,13 +59,17 @@ def folded(text: str | None) -> bytes:
     return fold(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
-def gram_bins(data: np.ndarray) -> np.ndarray:
-    """Bin of the GRAM bytes that start at each position."""
-    x = data.astype(np.uint64)
-    for size in (1, 2, 4):
-        x = (x[:-size] << U64(8 * size)) | x[size:] if len(x) > size else x[:0]
-    x = x[: max(0, len(x) - GRAM + 8)] * U64(0x9E3779B97F4A7C15) + x[GRAM - 8 :] * U64(0xC2B2AE3D27D4EB4F)
-    return ((x ^ (x >> U64(29))) * U64(0x9E3779B97F4A7C15) >> U64(64 - BITS)).astype(np.int64)
+def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (8 at most) bytes that start at each position, as one number."""
+    count = max(0, len(data) - size + 1)
+    out = np.zeros(count, U64)
+    for i in range(size):
+        out = (out << U64(8)) | data[i : i + count]
+    return out
+
+
+def gram_bins(codes: np.ndarray) -> np.ndarray:
+    return ((codes * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int64)
 
 
 def edits(item: bytes, text: bytes) -> tuple[int, int]:
@@ -99,131 +100,97 @@ class Items:
     """The indexed items of one block."""
 
     def __init__(self, ids: list[int], texts: list[bytes], share: float):
-        order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), ids[i]))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
-        self.most = [int(len(t) * share) for t in self.texts]
-        self.present = np.zeros(1 << BITS, bool)
-        for t in self.texts:
-            self.present[gram_bins(np.frombuffer(t, np.uint8))] = True
-        # (window, first item, end item, widest stretch, fewest gram hits)
-        self.classes, lo = [], 0
-        while lo < len(self.texts):
-            hi = lo
-            while hi < len(self.texts) and len(self.texts[hi]) < CLASS_RATIO * len(self.texts[lo]):
-                hi += 1
-            hits = min(len(t) - GRAM + 1 - GRAM * e for t, e in zip(self.texts[lo:hi], self.most[lo:hi], strict=True))
-            self.classes.append((len(self.texts[lo]), lo, hi, len(self.texts[hi - 1]) + self.most[hi - 1] - GRAM + 1, max(1, hits)))
-            lo = hi
-        self.steps = 2 * max((c[0] for c in self.classes), default=0)
-        rng = np.random.Generator(np.random.PCG64(31))
-        self.bits = rng.integers(0, 2, (WALKS, max(1, self.steps), 256), dtype=np.int64)
-        self.samples = [np.sort(rng.integers(0, 2 * c[0], (WALKS, TABLES, SAMPLE)), axis=2) for c in self.classes]
+        self.ids, self.texts = ids, texts
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.most = np.array([int(len(t) * share) for t in texts], np.int64)
+        self.grams = np.minimum(GRAM, self.size // (self.most + 1))
+        self.fewest = self.size - (self.grams - 1) - self.grams * self.most
+        self.widest = int((self.size + self.most).max(initial=0))
+        # (gram size, bins that occur, sorted codes, item and place of each)
         self.tables = []
-        for k, (window, lo, hi, *_) in enumerate(self.classes):
-            joined = np.frombuffer(b"".join(t[:window] for t in self.texts[lo:hi]), np.uint8)
-            keys = self.keys(joined, np.arange(hi - lo) * window, [k])[k]
-            number = np.repeat(np.arange(lo, hi)[None, :], len(keys), 0).ravel()
-            keys = keys.ravel()
-            by = np.argsort(keys, kind="stable")
-            self.tables.append((keys[by], number[by]))
-
-    def keys(self, data: np.ndarray, starts: np.ndarray, classes: list[int]) -> dict[int, np.ndarray]:
-        """For each class the hashes (WALKS * TABLES rows) of its windows that start there.
-
-        One walk serves all classes: a window only ends what of it is sampled.
-        """
-        out = {k: np.repeat(mix(np.arange(1, WALKS * TABLES + 1, dtype=U64)).reshape(WALKS, TABLES, 1), len(starts), 2) for k in classes}
-        when: dict[int, list[tuple[int, int, int]]] = {}
-        for k in classes:
-            for w, t, i in np.ndindex(WALKS, TABLES, SAMPLE):
-                when.setdefault(int(self.samples[k][w, t, i]), []).append((k, w, t))
-        at = np.zeros((WALKS, len(starts)), np.int64)
-        walk = np.arange(WALKS)[:, None]
-        for j in range(max(when, default=-1) + 1):
-            byte = data[np.minimum(starts + at, len(data) - 1)]
-            for k, w, t in when.get(j, ()):
-                inside = at[w] < self.classes[k][0]
-                out[k][w, t] = mix(out[k][w, t] ^ np.where(inside, byte[w].astype(U64) + U64(256), U64(0)))
-            at += self.bits[walk, j, byte]
-        return {k: x.reshape(WALKS * TABLES, len(starts)) for k, x in out.items()}
-
-    def likely(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
-        """For each class the word starts whose stretch, or one that begins a little before, holds enough grams."""
-        if len(data) < LEAST:
-            return {}
-        hit = np.zeros(len(data), np.int32)
-        bins = gram_bins(data)
-        hit[: len(bins)] = self.present[bins]
-        sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)])
-        spots, out = None, {}
-        for k, (window, _, _, wide, fewest) in enumerate(self.classes):
-            enough = np.empty(len(data), bool)
-            cut = max(0, len(data) - wide)
-            np.greater_equal(sums[wide : wide + cut] - sums[:cut], fewest, out=enough[:cut])
-            enough[cut:] = sums[-1] - sums[cut:-1] >= fewest
-            if not enough.any():
-                continue
-            if spots is None:
-                first = offsets[:-1][offsets[:-1] < offsets[1:]]
-                spots = np.union1d(np.flatnonzero(data == 32) + 1, first)
-                spots = spots[spots < len(data)]
-            near = np.concatenate([[0], np.cumsum(enough)])
-            good = spots[near[spots + 1] - near[np.maximum(spots - (wide - window), 0)] > 0]
-            if len(good):
-                out[k] = good
+        for g in np.unique(self.grams).tolist():
+            own = np.flatnonzero(self.grams == g).tolist()
+            parts = [gram_codes(np.frombuffer(texts[i], np.uint8), g) for i in own]
+            counts = [len(x) for x in parts]
+            codes, item = np.concatenate(parts), np.repeat(own, counts)
+            place = np.concatenate([np.arange(n) for n in counts])
+            _, which, times = np.unique(codes, return_inverse=True, return_counts=True)
+            keep, lo = np.ones(len(codes), bool), 0
+            for i, n in zip(own, counts, strict=True):
+                seen = times[which[lo : lo + n]]
+                gone = np.argsort(-seen, kind="stable")[: int(self.fewest[i]) // 2]
+                gone = gone[seen[gone] > COMMON]
+                keep[lo + gone] = False
+                self.fewest[i] -= len(gone)
+                lo += n
+            codes, item, place = codes[keep], item[keep], place[keep]
+            by = np.argsort(codes, kind="stable")
+            present = np.zeros(1 << BITS, bool)
+            present[gram_bins(codes)] = True
+            self.tables.append((g, present, codes[by], item[by], place[by]))
+
+    def bands(self, data: np.ndarray):
+        """(items, first starts, last starts) of the bands of differences that hold enough equal grams."""
+        for g, present, known, item, place in self.tables:
+            codes = gram_codes(data, g)
+            spots = np.flatnonzero(present[gram_bins(codes)])
+            low, high = np.searchsorted(known, codes[spots], "left"), np.searchsorted(known, codes[spots], "right")
+            spots, low, times = (x[high > low] for x in (spots, low, high - low))
+            total = np.concatenate([[0], np.cumsum(times)])
+            lo = 0
+            while lo < len(spots):
+                # A stretch that begins in this part may end in the next one.
+                hi = max(int(np.searchsorted(total, total[lo] + PAIRS)), int(np.searchsorted(spots, spots[lo] + self.widest, "right")))
+                hi = min(hi, len(spots))
+                end = int(np.searchsorted(spots, spots[hi - 1] + self.widest, "right"))
+                n = times[lo:end]
+                at = np.arange(total[end] - total[lo]) + np.repeat(low[lo:end] - (total[lo:end] - total[lo]), n)
+                own, diff = item[at], np.repeat(spots[lo:end], n) - place[at]
+                width = 2 * self.most[own] + 1
+                for shift in (0, 1):
+                    key = own << 40 | (diff + self.widest + shift * width) // (2 * width)
+                    by = np.argsort(key, kind="stable")
+                    first = np.flatnonzero(np.diff(key[by], prepend=-1))
+                    whose = own[by[first]]
+                    enough = np.diff(first, append=len(by)) >= self.fewest[whose]
+                    if enough.any():
+                        lowest, highest = np.minimum.reduceat(diff[by], first)[enough], np.maximum.reduceat(diff[by], first)[enough]
+                        whose = whose[enough]
+                        yield whose, lowest - self.most[whose], highest + self.most[whose]
+                lo = hi
+
+    def places(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], set[tuple[int, int]]]:
+        """For each (row, item) the pieces of the text to verify."""
+        out: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        for whose, lowest, highest in self.bands(data):
+            ends = np.minimum(highest + self.size[whose] + self.most[whose], len(data))
+            starts = np.maximum(lowest, 0)
+            rows, last = np.searchsorted(offsets, starts, "right") - 1, np.searchsorted(offsets, ends, "left")
+            for i, a, b, r, z in zip(*(x.tolist() for x in (whose, starts, ends, rows, last)), strict=True):
+                for row in range(r, z):
+                    lo, hi = max(a, int(offsets[row])), min(b, int(offsets[row + 1]))
+                    if hi - lo >= len(self.texts[i]) - self.most[i]:
+                        out.setdefault((row, i), set()).add((lo, hi))
         return out
 
     def search(self, parts) -> list[tuple[int, int, int, int]]:
         """(row, item id, edits, end) of the items in folded texts; end counts folded bytes.
 
-        ``parts`` gives (first row, bytes, offsets); rows without a likely start are left behind at once.
+        ``parts`` gives (first row, bytes, offsets).
         """
-        rows, kept, base, likely = [], [], 0, {}
-        for first, data, offsets in parts if self.texts else ():
-            found = self.likely(data, offsets)
-            if not found:
-                continue
-            every = np.unique(np.concatenate(list(found.values())))
-            wanted = np.unique(np.searchsorted(offsets, every, "right") - 1)
-            shift = np.zeros(len(offsets), np.int64)
-            for r in wanted.tolist():
-                shift[r] = base - offsets[r]
-                rows.append((first + r, base))
-                kept.append(data[offsets[r] : offsets[r + 1]])
-                base += int(offsets[r + 1] - offsets[r])
-            for k, spots in found.items():
-                likely.setdefault(k, []).append(spots + shift[np.searchsorted(offsets, spots, "right") - 1])
-        if not rows:
-            return []
-        data, offsets = np.concatenate(kept), np.array([b for _, b in rows] + [base])
-        likely = {k: np.concatenate(x) for k, x in likely.items()}
-        spots = np.unique(np.concatenate(list(likely.values())))
-        found: dict[tuple[int, int], set[int]] = {}
-        for lo in range(0, len(spots), 20_000):
-            some = spots[lo : lo + 20_000]
-            for k, keys in self.keys(data, some, list(likely)).items():
-                own = np.flatnonzero(np.isin(some, likely[k]))
-                known, number = self.tables[k]
-                low, high = np.searchsorted(known, keys[:, own], "left"), np.searchsorted(known, keys[:, own], "right")
-                for r, c in zip(*(x.tolist() for x in np.nonzero(high > low)), strict=True):
-                    spot = int(some[own[c]])
-                    for item in set(number[low[r, c] : high[r, c]].tolist()):
-                        found.setdefault((int(np.searchsorted(offsets, spot, "right")) - 1, item), set()).add(spot)
         out = []
-        for (row, item), starts in found.items():
-            best = None
-            text, most = self.texts[item], self.most[item]
-            a, b, done = int(offsets[row]), int(offsets[row + 1]), -1
-            for s in sorted(starts):
-                lo, hi = max(a, s - most), min(b, s + len(text) + 2 * most)
-                if hi <= done:
-                    continue
-                done = hi
-                e, end = edits(text, data[lo:hi].tobytes())
-                if e <= most and (best is None or e < best[0]):
-                    best = e, lo + end - a
-            if best:
-                out.append((rows[row][0], self.ids[item], *best))
+        for first, data, offsets in parts if self.texts else ():
+            for (row, item), pieces in self.places(data, offsets).items():
+                best, done = None, -1
+                for lo, hi in sorted(pieces):
+                    if hi <= done:
+                        continue
+                    done = hi
+                    e, end = edits(self.texts[item], data[lo:hi].tobytes())
+                    if e <= self.most[item] and (best is None or e < best[0]):
+                        best = e, lo + end - int(offsets[row])
+                if best:
+                    out.append((first + row, self.ids[item], *best))
         return out
 
 
