@@ -14,8 +14,9 @@ Two steps, neither of which loses a stretch:
 2. Exact verification: bit-parallel edit distance of the whole item against the surroundings.
 
 Items are the query set; they go to the executors in blocks of ``BLOCK_ITEMS``, each block scanning
-all documents. Defined results: null or empty texts and items match nothing, items shorter than
-``LEAST`` folded bytes are left out, repeated rows answer for themselves.
+all documents. Defined results: null or empty texts and items match nothing, items too short for an
+edit (under 10 bytes at a tenth) must stand there as they are and not within a longer word or
+number, repeated rows answer for themselves.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U64, steps, utf8
 
-SHARE, GRAM, LEAST = 0.1, 8, 40
+SHARE, GRAM = 0.1, 8
 BITS = 22
 #: A gram with more places in the items is common; so many pairs of places are compared at once.
 COMMON, PAIRS = 64, 1 << 21
@@ -96,6 +97,23 @@ def edits(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def _in_word(left: bytes, right: bytes) -> bool:
+    """Whether a word or number goes on from one text to the next; scripts without spaces do not count."""
+    a, b = left[-4:].decode("utf-8", "ignore")[-1:], right[:4].decode("utf-8", "ignore")[:1]
+    return all(c.isalnum() and ord(c) < 0x2E80 for c in (a, b)) if a and b else False
+
+
+def standing(item: bytes, text: bytes, lo: int, hi: int) -> int | None:
+    """Where the first copy of the item in text[lo:hi] ends that no longer word holds."""
+    at = text.find(item, lo, hi)
+    while at >= 0:
+        end = at + len(item)
+        if not _in_word(text[max(0, at - 4) : at], item) and not _in_word(item, text[end : end + 4]):
+            return end
+        at = text.find(item, at + 1, hi)
+    return None
+
+
 class Items:
     """The indexed items of one block."""
 
@@ -182,6 +200,11 @@ class Items:
         for first, data, offsets in parts if self.texts else ():
             for (row, item), pieces in self.places(data, offsets).items():
                 best, done = None, -1
+                if not self.most[item]:
+                    text = data[offsets[row] : offsets[row + 1]].tobytes()
+                    if (end := standing(self.texts[item], text, 0, len(text))) is not None:
+                        out.append((first + row, self.ids[item], 0, end))
+                    continue
                 for lo, hi in sorted(pieces):
                     if hi <= done:
                         continue
@@ -199,7 +222,7 @@ def _blocks(items: DataFrame):
     ids, texts, size = [], [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
         text = folded(r.text)
-        if r.item_id is None or len(text) < LEAST:
+        if r.item_id is None or not text:
             continue
         ids.append(r.item_id)
         texts.append(text)

@@ -32,3 +32,16 @@ def test_copies_up_to_the_threshold(spark):
     got = {(r.doc_id, r.item_id): (r.edits, r.end_at) for r in out.collect()}
     want = {(d, i): x for d, t in rows for i, s in items.items() if (x := leaks.edits(leaks.folded(s), leaks.folded(t)))[0] <= len(leaks.folded(s)) // 10}
     assert got == want and len(want) >= 100
+
+
+def test_short_items(spark):
+    items = [(1, "What is seven times eight?"), (2, "Paris"), (3, "The capital of Norway"), (4, "日本"), (5, "42"), (6, " \n"), (7, "x" * 39 + "y")]
+    rows = [
+        (0, "so: what  is seven times EIGHT? yes"), (1, "what is sevn times eigth?"), (2, "what is sven tims eigth now?"), (3, "in Paris."), (4, "comparison, parisian, éparis"), (5, "the capitol of norway"),
+        (6, "これは日本です"), (7, "1420 0.42"), (8, "142"), (9, "x" * 36 + "y"), (10, None), (11, "paris"), (12, "Parisé Paris"),
+    ]
+    want = {(0, 1), (3, 2), (5, 3), (6, 4), (7, 5), (9, 7), (11, 2), (12, 2)}
+    want |= {(d, 1) for d in (1, 2) if leaks.edits(leaks.folded(items[0][1]), leaks.folded(rows[d][1]))[0] <= 2}
+    for parts in (1, len(rows)):
+        out = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id"), spark.createDataFrame(items, "item_id long, text string"))
+        assert {(r.doc_id, r.item_id) for r in out.collect()} == want
