@@ -13,8 +13,6 @@ from gradeloom.llm import langid, leaks, minhash, pieces, pseudonyms
 from gradeloom.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language scores below this looks like none of the languages learned.
-LEAST_SCORE = 0.25
 #: Near-duplicates share 80 % of their five-word shingles.
 SHINGLE_WORDS, PERCENT = 5, 80
 
@@ -23,7 +21,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in no language that the labelled ones teach go: null texts, texts without letters, foreign ones."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     found = langid.predict(docs.select(*COLUMNS), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != "und") & F.col("known")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

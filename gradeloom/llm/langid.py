@@ -13,6 +13,10 @@ the smallest hash of their id, of which the first ``PER_LANG`` are landmarks, an
 Defined results: null texts and texts without a letter are ``und`` with score 0; if nothing can be
 learned every text is ``und``; score is the winner's regression value moved from [-1, 1] to [0, 1]
 and clipped; ties go to the language that sorts first.
+
+The score only ranks the languages learned, as one of them always wins. Whether a text is in the
+winner at all is told by ``known``: the share of its n-grams that at least two fit documents of the
+winner have reaches ``SLACK`` times what all but 1 % of these documents reach among the others.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .common import LOWER, records, steps, utf8
 LONGEST, BINS = 3, 1 << 14
 PER_LANG, FIT_PER_LANG, MOST_LANGS = 48, 240, 64
 RIDGE = 1e-2
+SLACK = 0.75
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -86,6 +91,14 @@ class Model:
         weights = np.linalg.solve(phi.T @ phi + RIDGE * len(phi) / 100 * np.eye(phi.shape[1]), phi.T @ target)
         self.coefficients = (to_features @ weights[:-1]).astype(np.float32)
         self.constant = weights[-1].astype(np.float32)
+        common, self.least = [], np.zeros(len(langs))
+        for k in range(len(langs)):
+            own = x[y == k] > 0
+            times = own.sum(0)
+            among = [(times[r] > 2).sum() / max(1, r.sum()) for r in own]
+            common.append(times >= 2)
+            self.least[k] = SLACK * np.quantile(among, 0.01)
+        self.common = np.packbits(np.array(common), axis=1)
 
     def kernel(self, x: np.ndarray, marks: np.ndarray) -> np.ndarray:
         size = np.sqrt(np.maximum(x.sum(1, dtype=np.float64), 1))
@@ -94,6 +107,11 @@ class Model:
     def score(self, x: np.ndarray, marks: np.ndarray) -> np.ndarray:
         return self.kernel(x, marks).astype(np.float32) @ self.coefficients + self.constant
 
+    def known(self, x: np.ndarray, best: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Whether enough n-grams of each text are common in its best language."""
+        shared = (x @ common.T)[np.arange(len(x)), best]
+        return shared >= self.least[best] * np.maximum(x.sum(1), 1)
+
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from (doc_id, text, lang); rows without text, language or id teach nothing."""
@@ -111,10 +129,11 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(langs, np.array([r["rank"] for r in rows]), x, np.array([langs.index(r.lang) for r in rows]))
 
 
-def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Predicted language and score of each text, a bounded number of texts at a time."""
-    langs, scores = [], []
+def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted language and score of each text, and whether its n-grams are that language's, a bounded number of texts at a time."""
+    langs, scores, known = [], [], []
     marks = None if model is None else np.unpackbits(model.marks, axis=1).astype(np.float32)
+    common = None if model is None else np.unpackbits(model.common, axis=1).astype(np.float32)
     offsets, data = utf8(column)
     for lo, hi in steps(offsets, 1 << 19):
         for a in range(lo, hi, 256):
@@ -123,32 +142,36 @@ def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
             if model is None:
                 langs += ["und"] * (b - a)
                 scores.append(np.zeros(b - a))
+                known.append(np.zeros(b - a, bool))
                 continue
-            values = model.score(presence(part, own), marks)
+            grams = presence(part, own)
+            values = model.score(grams, marks)
             best = values.argmax(1)
+            sure = model.known(grams, best, common)
             names = [model.langs[i] for i in best.tolist()]
             score = np.clip((values[np.arange(b - a), best].astype(float) + 1) / 2, 0, 1)
             plain = np.concatenate([[0], np.cumsum(_LETTER[part], dtype=np.int32)])
             for i in np.flatnonzero(plain[own[1:]] == plain[own[:-1]]).tolist():
                 if not has_letter(part[own[i] : own[i + 1]].tobytes()):
-                    names[i], score[i] = "und", 0.0
+                    names[i], score[i], sure[i] = "und", 0.0, False
             langs += names
             scores.append(score)
-    return langs, np.concatenate([*scores, np.zeros(0)])
+            known.append(sure)
+    return langs, np.concatenate([*scores, np.zeros(0)]), np.concatenate([*known, np.zeros(0, bool)])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` (with ``text``) with lang_pred and score added; every other column passes through."""
+    """The rows of ``docs`` (with ``text``) with lang_pred, score and known added; every other column passes through."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    kept = docs.drop("lang_pred", "score", "known").withColumn("text", F.col("text").cast("string"))
     at = kept.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(sent.value, batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            langs, scores, known = classify(sent.value, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "known"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())]))
 
 
 def held_out(doc_id="doc_id", modulus: int = 4, remainder: int = 2):
