@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240917))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -31,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of texts bounded, unless its own setting is not Spark's default.
+
+    Workers hold a batch and what they derive from it, so its size is the measure of their memory.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
