@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, records, steps, utf8
+from .common import LOWER, lean, records, steps, utf8
 
 LONGEST, BINS = 3, 1 << 14
 PER_LANG, FIT_PER_LANG, MOST_LANGS = 48, 240, 64
@@ -115,6 +115,7 @@ class Model:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from (doc_id, text, lang); rows without text, language or id teach nothing."""
+    lean(docs.sparkSession)
     labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
     langs = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
     if not langs:
@@ -162,7 +163,7 @@ def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` (with ``text``) with lang_pred, score and known added; every other column passes through."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = lean(docs.sparkSession).sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "known").withColumn("text", F.col("text").cast("string"))
     at = kept.columns.index("text")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER_CODE, U64, mix, records, span_hashes, steps, stored, utf8, word_spans
+from .common import BASE, LOWER_CODE, U64, lean, mix, records, span_hashes, steps, stored, utf8, word_spans
 
 SYMBOLS, SYMBOL_BITS, CHUNK, ERRORS = 60, 16, 5, 1
 #: Largest number of ids sent to all executors as a filter (8 bytes each); beyond it the filter is a shuffled join.
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     ``n_links`` counts the confirmed links the document took part in; copies that share a set
     count through their set's smallest id only.
     """
-    spark = docs.sparkSession
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stored(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_id binary, signature binary"), "sketch")
     reps = stored(sketched.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")

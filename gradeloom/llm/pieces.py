@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import list_column, records, steps
+from .common import lean, list_column, records, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 96
@@ -296,6 +296,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = [t is None or t.encode() == b for t, b in zip(part, back, strict=True)]
                 yield records({"doc_id": batch.column(0).slice(lo, hi - lo), "n_tokens": counts, "token_ids": lists, "round_trip": same}, schema)
 
+    lean(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
@@ -311,4 +312,5 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = pieces(model).decode(ids, counts)
             yield records({"doc_id": batch.column(0), "text": [None if x is None else t.decode("utf-8", "replace") for x, t in zip(lists, texts, strict=True)]}, schema)
 
+    lean(encoded.sparkSession)
     return encoded.selectExpr("cast(doc_id as long) doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, U64, gram_hashes, mix, powers, records, steps, stored, utf8
+from .common import BASE, BYTE_CODE, U64, gram_hashes, lean, mix, powers, records, steps, stored, utf8
 from .winnow import _sliding_min
 
 LENGTH, GRAM, HOT = 200, 64, 4096
@@ -264,6 +264,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, spans (removed byte ranges) and kept (remaining bytes)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("digest", F.xxhash64("text"))
     found = repeated_spans(docs).groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows")).alias("found"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import lean, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -78,6 +78,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
         column = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(rows))])
         return pa.RecordBatch.from_arrays([column], names=["value"])
 
+    lean(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     docs.mapInArrow(run, "value string").write.option("lineSep", END_TEXT).option("maxRecordsPerFile", docs_per_file).text(path)
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, mix, records
+from .common import U64, gram_hashes, lean, mix, records
 
 GRAM, WINDOW = 12, 36
 #: Code points that one vectorised step looks at.
@@ -193,6 +193,6 @@ def with_followers(docs: DataFrame, parts: int) -> DataFrame:
 
 def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited form, and their likeness; ``positions`` are those of ``fingerprint``."""
-    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * int(lean(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     rows = with_followers(docs, parts)
     return rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>")
