@@ -1,13 +1,15 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by suffix-array matching.
 
 A text becomes segments at the places that no piece crosses: before a run of spaces, around
-newlines, and between a letter and a punctuation mark. Segments a worker has not met are encoded together: their characters are concatenated and
-suffix-sorted to the longest piece, every piece is looked up by binary search for its range of
-occurrences, and the occurrences become edges sorted by position. Relaxation then applies, in each
-segment, the edge of the best-scored piece (leftmost of equals) whose two ends are symbol borders
-with one border between them, until no edge applies; that is the merge order of the model, so the
-ids are those of the reference library. Segments longer than ``LONG`` characters are merged with a
-priority queue instead, which gives the same ids in less time for them.
+newlines, and between a letter and a punctuation mark. Segments a worker has not met are encoded
+together: their characters are concatenated and suffix-sorted to the longest piece, every piece is
+looked up by binary search for its range of occurrences, and the occurrences become edges sorted by
+position. The model merges, again and again, the best-scored piece (leftmost of equals) whose two
+ends are symbol borders with one border between them. Relaxation does the same in fewer rounds: an
+edge that is better than all edges it overlaps, whether these can be merged yet or not, will be
+merged whatever happens elsewhere, so all such edges are merged at once; of a row of equal pieces
+that overlap one another (a run of one character), every second one. Segments of any length take
+this one way, so the ids are those of the model's merge order.
 
 Defined results: null texts have null ids; empty ones have none. U+2581 counts as a space, as the
 model's own normaliser has it, so only such texts do not survive the round trip.
@@ -16,7 +18,6 @@ model's own normaliser has it, so only such texts do not survive the round trip.
 from __future__ import annotations
 
 import functools
-import heapq
 import itertools
 import re
 
@@ -27,11 +28,10 @@ from pyspark.sql import DataFrame
 from .common import lean, list_column, records, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG = 96
-#: Segments whose ids a worker keeps; the memory is emptied when it is full.
-KNOWN_SEGMENTS = 500_000
+#: Segments, and characters of segments, whose ids a worker keeps; the memory is emptied when it is full.
+KNOWN_SEGMENTS, KNOWN_CHARS = 400_000, 4 << 20
 #: Characters of new segments that are indexed together, and of texts that are answered together.
-INDEX_CHARS, STEP_CHARS = 1 << 21, 1 << 21
+INDEX_CHARS, STEP_CHARS = 1 << 19, 1 << 20
 #: Letters and marks between which segments may be cut as well, where no piece has such a letter before such a mark.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
 SPACE = "▁"
@@ -137,37 +137,68 @@ class Pieces:
         between = word_of < 0
         symbols[between] = 0
         start, piece = self.edges(symbols)
+        # Best first, for good: of several edges over a character the last one written is then the best.
+        by = np.argsort(self.rank[piece] << 32 | start, kind="stable")[::-1]
+        start, piece = start[by], piece[by]
         end = start + self.lengths[piece]
-        word = word_of[start]
+        rank, word = self.rank[piece], word_of[start]
         border = np.ones(len(codes) + 1, bool)
         token = self.of_char[codes].copy()
         token[token < 0] = -1 - codes[token < 0].astype(np.int64)
-        best = self.rank[piece] << 32 | start
-        while len(start):
-            alive = border[start] & border[end]
-            start, end, piece, word, best = (x[alive] for x in (start, end, piece, word, best))
-            if not len(start):
-                break
+        over = np.empty(len(codes), np.int64)  # at each character, the best edge over it
+        reach = np.full(len(codes), len(codes) + 1)  # where a ready edge that starts there ends
+        while True:
             inner = np.cumsum(border)
-            one = np.flatnonzero(inner[end - 1] - inner[start] == 1)
-            if not len(one):
+            alive = border[start] & border[end] & (inner[end - 1] > inner[start])
+            if not alive.any():
                 break
-            first = np.flatnonzero(np.concatenate([[True], word[one][1:] != word[one][:-1]]))
-            winner = np.minimum.reduceat(best[one], first)
-            won = one[best[one] == np.repeat(winner, np.diff(np.append(first, len(one))))]
+            start, end, piece, rank, word = (x[alive] for x in (start, end, piece, rank, word))
+            ready = inner[end - 1] - inner[start] == 1
+            size = end - start
+            at = np.repeat(start, size) + _ramp(size)
+            first = np.cumsum(size) - size
+            # An edge with no ready one inside can never get ready itself.
+            reach[start[ready]] = end[ready]
+            hope = ready | (np.minimum.reduceat(reach[at], first) <= end)
+            reach[start[ready]] = len(codes) + 1
+            if not hope.all():
+                at = at[np.repeat(hope, size)]
+                start, end, piece, rank, word, ready, size = (x[hope] for x in (start, end, piece, rank, word, ready, size))
+                first = np.cumsum(size) - size
+                if not len(start):
+                    break
+            number = np.arange(len(start))
+            over[at] = np.repeat(number, size)
+            best = np.maximum.reduceat(over[at], first)  # higher numbers are better
+            sure = ready & (best == number)
+            ahead = np.full(words, -1)
+            ahead[word[ready]] = number[ready]  # a segment's best ready edge is its next merge in any case
+            sure[ahead[ahead >= 0]] = True
+            # Rows of equal pieces: ready edges that only edges of their own rank beat, one symbol apart.
+            equal = np.flatnonzero(ready & (rank[best] == rank))
+            if len(equal) > int(sure.sum()):
+                late = np.zeros(len(codes), bool)  # characters under equal edges that are not ready
+                waiting = np.flatnonzero(~ready)
+                spots = np.repeat(start[waiting], size[waiting]) + _ramp(size[waiting])
+                late[spots[over_rank(over, rank, spots) == np.repeat(rank[waiting], size[waiting])]] = True
+                free = ~np.logical_or.reduceat(late[at], first)[equal]
+                equal = equal[free | sure[equal]]
+                equal = equal[np.argsort(start[equal], kind="stable")]
+                symbol = inner[start[equal]]
+                new = np.ones(len(equal), bool)
+                new[1:] = (symbol[1:] != symbol[:-1] + 1) | (rank[equal[1:]] != rank[equal[:-1]])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(equal)), 0))
+                every_second = (np.arange(len(equal)) - head) % 2 == 0
+                sure[equal[every_second & sure[equal[head]]]] = True
+            won = np.flatnonzero(sure)
             # One border stands strictly inside each winner.
-            inside = np.repeat(start[won], end[won] - start[won] - 1) + _ramp(end[won] - start[won] - 1) + 1
+            inside = np.repeat(start[won], size[won] - 1) + _ramp(size[won] - 1) + 1
             border[inside] = False
             token[start[won]] = self.ids[piece[won]]
-            busy = np.zeros(words, bool)
-            busy[word[one[first]]] = True
-            keep = busy[word]
-            keep[won] = False
-            start, end, piece, word, best = (x[keep] for x in (start, end, piece, word, best))
         return border, token
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all segments (none longer than LONG) and how many each has."""
+        """Piece ids of all segments and how many each has."""
         lengths = np.fromiter(map(len, segments), np.int64)
         codes = np.frombuffer("\n".join([*segments, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
         word_of = np.repeat(np.arange(len(segments)), lengths + 1)
@@ -187,55 +218,26 @@ class Pieces:
             token[fill] = self.byte_ids[np.frombuffer(b"".join(as_bytes), np.uint8)]
         return token.astype(np.int32), np.bincount(word, minlength=len(segments))
 
-    def encode_long(self, segment: str) -> np.ndarray:
-        """The same merges with a queue of adjacent pairs."""
-        n = len(segment)
-        left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-        live = [True] * n
-        queue: list[tuple[float, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and right[i] < n and (score := self.score.get(segment[i : end[right[i]]])) is not None:
-                heapq.heappush(queue, (-score, i, right[i], end[right[i]]))
-
-        for i in range(n):
-            offer(i)
-        while queue:
-            _, i, j, stop = heapq.heappop(queue)
-            if live[i] and live[j] and right[i] == j and end[j] == stop and end[i] == j:
-                live[j], end[i], right[i] = False, stop, right[j]
-                if right[i] < n:
-                    left[right[i]] = i
-                offer(left[i])
-                offer(i)
-        out = []
-        for i in range(n):
-            if live[i]:
-                part = segment[i : end[i]]
-                out += [self.id_of[part]] if part in self.id_of else self.byte_ids[list(part.encode())].tolist()
-        return np.array(out, np.int32)
-
     # Texts
 
     def _learn(self, fresh: list[str]) -> None:
-        short = [s for s in fresh if len(s) <= LONG]
-        ends = np.cumsum(np.fromiter(map(len, short), np.int64, len(short)) + 1)
-        made = [self.encode_segments(short[lo:hi]) for lo, hi in steps(np.concatenate([[0], ends]), INDEX_CHARS)]
-        rest = [s for s in fresh if len(s) > LONG]
-        made += [(x, np.array([len(x)])) for x in map(self.encode_long, rest)]
-        self.known.update(zip(short + rest, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1)
+        made = [self.encode_segments(fresh[lo:hi]) for lo, hi in steps(np.concatenate([[0], ends]), INDEX_CHARS)]
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.chars += int(ends[-1])
         sizes = np.concatenate([self.sizes, *(n for _, n in made)])
         self.flat, self.sizes, self.starts = np.concatenate([self.flat, *(x for x, _ in made)]), sizes, np.cumsum(sizes) - sizes
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids of the texts and the number of ids of each."""
         segments = [self.segment.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         fresh = set(itertools.chain.from_iterable(segments)).difference(self.known)
-        if fresh and len(self.known) + len(fresh) > KNOWN_SEGMENTS:
+        if fresh and (len(self.known) + len(fresh) > KNOWN_SEGMENTS or self.chars > KNOWN_CHARS):
             self._forget()
             fresh = set(itertools.chain.from_iterable(segments))
         if fresh:
@@ -257,6 +259,11 @@ class Pieces:
         return [raw[a + 1 if raw[a : a + 1] == b" " else a : b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def over_rank(over: np.ndarray, rank: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Rank of the best edge over each of the characters."""
+    return rank[over[spots]]
+
+
 def _ramp(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... for each size in turn."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
