@@ -2,13 +2,16 @@
 
 A text's features are the byte n-grams of 1 to ``LONGEST`` bytes that are present in it (letters in
 lower case, hashed to ``BINS`` bins). The kernel of two texts is the number of shared n-grams over
-the geometric mean of their numbers. ``PER_LANG`` landmarks of each language give Nyström features,
-and kernel ridge regression is fitted one language against the rest. Texts are scored in batches:
+the geometric mean of their numbers. Landmarks of each language give Nyström features, and kernel
+ridge regression is fitted one language against the rest. Texts are scored in batches:
 presence matrix x landmark matrix, then x coefficients.
 
 Learning is bounded by parameters: for each language the ``FIT_PER_LANG`` labelled documents with
-the smallest hash of their id, of which the first ``PER_LANG`` are landmarks, and at most
-``MOST_LANGS`` languages (those with most labelled documents).
+the smallest hash of their id, of which the first ``PER_LANG`` are landmarks. Every language is
+learned; where there are more than 16 of them these numbers fall, so that all have ``FIT_DOCS``
+documents and ``LANDMARKS`` landmarks together, but no language less than ``LEAST_FIT`` and
+``LEAST_MARKS``. A table with over ``MOST_LANGS`` labels is refused with an error: such a column
+holds no languages, and no label is dropped in silence.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; if nothing can be
 learned every text is ``und``; score is the winner's regression value moved from [-1, 1] to [0, 1]
@@ -30,7 +33,8 @@ from pyspark.sql import types as T
 from .common import LOWER, lean, records, steps, utf8
 
 LONGEST, BINS = 3, 1 << 14
-PER_LANG, FIT_PER_LANG, MOST_LANGS = 48, 240, 64
+PER_LANG, FIT_PER_LANG = 48, 240
+LANDMARKS, FIT_DOCS, LEAST_MARKS, LEAST_FIT, MOST_LANGS = 768, 3840, 1, 4, 1000
 RIDGE = 1e-2
 SLACK = 0.75
 _LETTER = np.zeros(256, bool)
@@ -76,9 +80,9 @@ def _packed(batches):
 class Model:
     """Landmark matrix, its norms and the coefficients of all languages; a few MB, whatever the corpus."""
 
-    def __init__(self, langs: list[str], rank: np.ndarray, x: np.ndarray, y: np.ndarray):
+    def __init__(self, langs: list[str], rank: np.ndarray, x: np.ndarray, y: np.ndarray, per_lang: int = PER_LANG):
         self.langs = langs
-        marks = x[rank <= PER_LANG]
+        marks = x[rank <= per_lang]
         self.marks = np.packbits(marks > 0, axis=1)
         self.norm = np.sqrt(np.maximum(marks.sum(1), 1))
         gram = self.kernel(marks, marks)
@@ -117,17 +121,21 @@ def fit(docs: DataFrame) -> Model | None:
     """Learn from (doc_id, text, lang); rows without text, language or id teach nothing."""
     lean(docs.sparkSession)
     labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
-    langs = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    if not langs:
+    n = labelled.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if n > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} labels: this column holds no languages")
+    if not n:
         return None
+    fit_docs, per_lang = min(FIT_PER_LANG, max(LEAST_FIT, FIT_DOCS // n)), min(PER_LANG, max(LEAST_MARKS, LANDMARKS // n))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.filter(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIT_PER_LANG)
-    # At most MOST_LANGS * FIT_PER_LANG ids.
-    sample = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "rank", "text")
-    rows = sorted(sample.mapInArrow(_packed, "lang string, rank int, bits binary").collect())[: MOST_LANGS * FIT_PER_LANG]
+    chosen = labelled.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fit_docs)
+    # At most fit_docs ids of each language; an id that several rows repeat counts once, with its first text.
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
+    sample = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    rows = sorted(sample.mapInArrow(_packed, "lang string, rank int, bits binary").collect())
     langs = sorted({r.lang for r in rows})
     x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    return Model(langs, np.array([r["rank"] for r in rows]), x, np.array([langs.index(r.lang) for r in rows]))
+    return Model(langs, np.array([r["rank"] for r in rows]), x, np.array([langs.index(r.lang) for r in rows]), per_lang)
 
 
 def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
