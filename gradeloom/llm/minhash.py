@@ -20,6 +20,7 @@ component; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ BROADCAST_IDS = 500_000
 CLOSEST = 3
 #: Rounds in which members of a key also meet its best linked member.
 HUB_ROUNDS = 2
+#: A shingle with more rows than this is joined in so many tasks.
+SALT_OVER, SALTS = 500, 16
 
 _rng = np.random.Generator(np.random.PCG64(77))
 SEEDS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -157,6 +160,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _salted(rows: DataFrame, other: DataFrame, on: str, parts: int = SALTS, most: int = SALT_OVER) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``on`` with the rows of frequent keys dealt over ``parts`` tasks: ``rows`` at random, ``other`` copied.
+
+    Both need ``n_key``, the number of rows of their key.
+    """
+    frequent = F.col("n_key") > most
+    salt = F.when(frequent, F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(parts))).otherwise(0)
+    copies = F.when(frequent, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("salt", salt.cast("int")), other.withColumn("salt", F.explode(copies))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -198,12 +212,15 @@ def _apart(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lacking = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
     rare = rare.select("rep", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), lacking)).alias("at", "x")).filter("x.df > 1")
     rare = stored(rare.select("rep", "component", "n", "at", F.col("x.shingle").alias("shingle")), "rare")
-    joins = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
-    rare = rare.join(joins, "shingle")
-    x = rare.select("shingle", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("at")).alias("left_a"))
-    y = rare.select("shingle", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("at")).alias("left_b"))
+    joins = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_key")).filter("lo < hi").select("shingle", "n_key")
+    # Sets of the wanted similarity have sizes of the same class or of neighbouring ones, so classes part a shingle's rows too.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n").cast("long")
+    rare = rare.join(joins, "shingle").withColumn("class", size_class)
+    x, y = _salted(rare, rare.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))), "shingle")
+    x = x.select("shingle", "class", "salt", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("at")).alias("left_a"))
+    y = y.select("shingle", "class", "salt", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("at")).alias("left_b"))
     can = (F.col("of_a") < F.col("of_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return x.join(y, "shingle").filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return x.join(y, ["shingle", "class", "salt"]).filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -232,13 +249,21 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
         return full.mapInArrow(_distance, "a long, b long, distance int").filter(F.col("distance") <= threshold())
 
+    # An id that has several sets links them.
+    set_key = F.coalesce("set_id", F.lit(b""))
+    several = stored(sketched.filter("doc_id is not null").groupBy("doc_id").agg(F.min(set_key).alias("lo"), F.max(set_key).alias("hi")).filter("lo < hi").select("doc_id"), "several")
+    repeats = bool(several.head(1))
+    if repeats:
+        same_id = sketched.join(several, "doc_id").select("doc_id", "set_id").join(reps.select("set_id", "rep"), "set_id").filter("doc_id <> rep")
+        same_id = stored(same_id.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct(), "same-id")
+
     first = close(met.filter("lowest < rep").select(F.col("lowest").alias("a"), F.col("rep").alias("b")).distinct())
     ranked = first.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "a"))), 1, CLOSEST).alias("near"))
     tested = stored(ranked.select("b", F.explode("near").alias("x")).select("x.a", "b"), "tested")
     links = stored(_confirmed(tested, sets, percent), "confirmed")
     hubs = HUB_ROUNDS
     while True:
-        found = components(links)
+        found = components(links.union(same_id) if repeats else links)
         mixed = stored(_mixed(met, found), "mixed")
         candidates = _to_hubs(mixed, links) if hubs else _apart(mixed, sets, percent)
         open_pairs = stored(close(candidates.join(tested, ["a", "b"], "left_anti")), "open")
@@ -252,5 +277,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     of_set = reps.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
     out = sketched.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    if repeats:  # all rows of such an id take its component, also that of an empty text
+        by_id = several.join(found.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.col("component").alias("of_id"))
+        out = out.join(by_id, "doc_id", "left")
+    else:
+        out = out.withColumn("of_id", F.lit(None).cast("long"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -84,3 +84,21 @@ def test_sql_says_the_same(spark, tmp_path):
     want = con.execute(f"select doc_id, n_shingles, component_id, kept from ({op_queries.ORACLE_SQL['op1_minhash_near_dedup']})").fetchall()
     got = op_queries.op1_minhash_near_dedup(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_ids_with_several_texts(spark):
+    """An id that occurs with different texts is one document for the links, an empty text of it included."""
+    a, b, c = "one two three four five", "six seven eight nine ten", "a b c d e f"
+    rows = [(2, b), (3, a), (3, b), (1, c), (9, c), (9, None), (4, a), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(df, 2, 80).collect()}
+    assert got == {(2, 4): 2, (3, 4): 2, (4, 4): 2, (1, 5): 1, (9, 5): 1, (9, 0): 1, (7, 0): 7}
+
+
+def test_frequent_shingles_are_dealt_out(spark, monkeypatch):
+    """Equal results when every shared shingle is joined in several tasks."""
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(minhash._salted, "__defaults__", (5, 1))
+    assert sorted((tuple(r)[:4] for r in minhash.near_duplicates(df, 2, 80).collect()), key=repr) == brute(rows, 2, 80)
