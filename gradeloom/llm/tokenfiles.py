@@ -4,7 +4,8 @@ A token file is nothing but big-endian 16-bit ids, documents one after the other
 end-of-document id; there is no index. Files are read in blocks of ``BLOCK`` ids. In each block one
 vectorised comparison finds the separators; documents inside are counted there, and the pieces at
 the block's edges are stitched: a prefix sum of the separators of earlier blocks gives each piece
-the number of its document in the file, under which pieces add up.
+the number of its document in the file, under which pieces add up. Files are read once: the pieces
+are stored, and stitching reads those of the blocks' edges only.
 
 ``write_token_files`` makes such files from documents. It opens each document with ``HEADER`` ids of
 15 bits that spell the document's id, since a flat file has no other place for it. The
@@ -13,7 +14,9 @@ writer can put it as its line separator, which is how the files get to any store
 
 Defined results: a file's last document counts also without a separator if it has an id; empty
 files have no documents; null and empty texts are documents without tokens; null ids come back null.
-A file is one record of the reader, so it may have 2 GB at most.
+A file is one record of Spark's reader, which may have 2 GB at most; the writer keeps below that by
+the longest text (a text has no more ids than bytes), and a scan of a longer file fails with the
+reader's error.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, shared_dir
+from .common import lean, shared_dir, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 END, END_TEXT = 0xC4BF, "Ŀ"
 HEADER = 5
 BLOCK = 1 << 18
-DOCS_PER_FILE = 5000
+#: Documents and bytes of a file at most.
+DOCS_PER_FILE, FILE_BYTES = 5000, 1 << 30
 NO_ID = 1 << 70
 
 
@@ -57,8 +61,8 @@ def read_id(head: list[int]) -> int | None:
     return None if value >= NO_ID else value - 2**64 * (value >> 63)
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, docs_per_file: int = DOCS_PER_FILE) -> None:
-    """Tokenise (doc_id, text) into flat files below ``path``."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, docs_per_file: int = DOCS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Tokenise (doc_id, text) into flat files below ``path``, none of which has over ``file_bytes`` unless one text alone does."""
 
     def run(batches):
         encode = tokenizer(vocabulary).encode_ordinary
@@ -80,6 +84,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
     lean(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    longest = docs.agg(F.max(F.octet_length("text"))).head()[0] or 0
+    docs_per_file = max(1, min(docs_per_file, file_bytes // (2 * (longest + HEADER + 1))))
     docs.mapInArrow(run, "value string").write.option("lineSep", END_TEXT).option("maxRecordsPerFile", docs_per_file).text(path)
 
 
@@ -112,7 +118,7 @@ def scan(files: DataFrame, end: int = END, header: int = 0, block: int = BLOCK)
                     whole[[0, -1]] = False  # the edges go on in other blocks
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(np.full(n, b)), pa.array(np.arange(n)), pa.array(np.full(n, ends)), pa.array(whole), pa.array(lengths), heads], schema=PIECES)
 
-    pieces = files.select("path", "content").mapInArrow(run, "file string, block long, nth long, ends long, whole boolean, n long, head array<int>")
+    pieces = stored(files.select("path", "content").mapInArrow(run, "file string, block long, nth long, ends long, whole boolean, n long, head array<int>"), "pieces")
     before = pieces.filter("nth = 0").select("file", "block", F.coalesce(F.sum("ends").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = pieces.join(before, ["file", "block"]).withColumn("document", F.col("before") + F.col("nth"))
     whole = placed.filter("whole").select("file", "document", "n", "head")
