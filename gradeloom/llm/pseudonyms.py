@@ -17,8 +17,18 @@ rounds the symbols at even or odd places move within their own alphabet by a key
 other half. Where a format has invalid values, the network is applied again until the value is
 valid (cycle walking), which keeps it a permutation.
 
+Card numbers and IBANs are looked for inside whole runs of groups, as neighbours join them to one
+run ("4111 1111 1111 1111 12/26", "BE68 5390 0754 7034 I am"): every place of the run where a card
+of a usual grouping may stand, and every border of an IBAN's groups, is tried against the check
+digits. A first pass marks what is valid, a second one replaces the marked values and all others, so
+what stands next to a card is found as if it stood alone.
+
 Defined results: null texts stay null, texts without such values stay as they are, invalid values
-(a failing check digit, an impossible date) are left alone, and all other columns pass through.
+(a failing check digit, an impossible date) are left alone, and all other columns pass through; a
+column ``n_replaced`` of the input gives way to the count. Texts that hold one of the two marks
+(U+FDD0 and U+FDD1, which no text should) are searched in one pass, whole runs only. The key comes
+from the setting ``spark.gradeloom.pseudonym.key``; without it a demonstration key is used, which
+protects nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, WALK = 8, 24
-KEY = "gradeloom demonstration key"
+KEY, KEY_SETTING = "gradeloom demonstration key", "spark.gradeloom.pseudonym.key"
+ON, OFF = "\ufdd0", "\ufdd1"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -38,7 +49,13 @@ ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 SECURITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])"
-PERSONAL = "|".join((EMAIL, IBAN, ISO_DATE, DOT_DATE, SLASH_DATE, ADDRESS, SECURITY, PHONE, CARD))
+PLAIN = (ISO_DATE, DOT_DATE, SLASH_DATE, ADDRESS, SECURITY, PHONE)
+PERSONAL = "|".join((EMAIL, IBAN, *PLAIN, CARD))
+#: Runs that may hold card numbers, and the places in them where one may stand.
+RUN = r"(?<![0-9])[0-9][0-9 -]{10,}[0-9](?![0-9])"
+STANDING = r"(?<![0-9])(?=((?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\3[0-9]{4,5})(?![0-9])))"
+MARKABLE = "|".join((EMAIL, IBAN, *PLAIN, RUN))
+REPLACED = "|".join((f"{ON}[^{OFF}]*{OFF}", EMAIL, *PLAIN))
 
 
 def _whole(pattern: str) -> str:
@@ -191,28 +208,80 @@ def _iban(text: Column, key: str) -> Column:
     return _let(F.replace(text, F.lit(" "), F.lit("")), replaced)
 
 
+def _mark(value: Column) -> Column:
+    return F.concat(F.lit(ON), value, F.lit(OFF))
+
+
+def _mark_cards(run: Column) -> Column:
+    """A run of digit groups with the valid card numbers in it marked, or the whole run if that is one."""
+    valid = lambda c: luhn_sum(_digits(c)) % 10 == 0
+    found = F.filter(F.array_distinct(F.regexp_extract_all(run, F.lit(STANDING), F.lit(1))), valid)
+    # A card that overlaps a marked one no longer stands there in one piece.
+    marked = lambda cards: F.aggregate(cards, run, lambda r, c: F.regexp_replace(r, F.concat(F.lit("(?<![0-9])"), c, F.lit("(?![0-9])")), F.lit(f"{ON}$0{OFF}")))
+    return _let(found, lambda cards: F.when(F.size(cards) > 0, marked(cards)).when(run.rlike(_whole(CARD)) & valid(run), _mark(run)).otherwise(run))
+
+
+def _mark_iban(run: Column) -> Column:
+    """The longest valid IBAN that starts a run and ends with one of its groups, marked."""
+    def marked(groups: Column) -> Column:
+        start = lambda k: F.array_join(F.slice(groups, F.lit(1), k), " ")
+        plain = lambda k: F.array_join(F.slice(groups, F.lit(1), k), "")
+        sizes = F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.length(plain(k)).between(12, 34) & (mod97(plain(k)) == 1))
+        return F.when(F.size(sizes) > 0, F.concat(_mark(start(F.get(sizes, F.lit(0)))), F.substr(run, F.length(start(F.get(sizes, F.lit(0)))) + 1))).otherwise(run)
+
+    return _let(F.split(run, " "), marked)
+
+
+def _poured_values(text: Column, pattern: str, values: Column) -> Column:
+    """The text with its matches of a pattern replaced in turn by the values."""
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(values, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def _marked(text: Column) -> Column:
+    """The text with its valid card numbers and IBANs marked."""
+    def one(v: Column) -> Column:
+        other = v.contains("@") | v.rlike("|".join(map(_whole, PLAIN)))
+        return F.when(other, v).when(v.rlike("^[A-Z]"), _mark_iban(v)).otherwise(_mark_cards(v))
+
+    return _poured_values(text, MARKABLE, F.transform(F.regexp_extract_all(text, F.lit(MARKABLE), F.lit(0)), one))
+
+
 def pseudonym(value: Column, key: str = KEY) -> Column:
-    """The pseudonym of one found value, or the value itself where it is not valid."""
-    return (
-        F.when(F.instr(value, "@") > 0, _email(value, key))
-        .when(value.rlike("^[A-Z]"), _iban(value, key))
-        .when(value.rlike(_whole(ISO_DATE)), _date(value, key, "yyyy-MM-dd"))
-        .when(value.rlike(_whole(DOT_DATE)), _date(value, key, "d.M.yyyy"))
-        .when(value.rlike(_whole(SLASH_DATE)), _date(value, key, "M/d/yyyy"))
-        .when(value.rlike(_whole(ADDRESS)), _address(value, key))
-        .when(value.rlike(_whole(SECURITY)), _security(value, key))
-        .when(value.rlike(_whole(PHONE)), _phone(value, key))
-        .otherwise(_card(value, key))
-    )
-
-
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+    """The pseudonym of one found value, or the value itself where it is not valid; marks go."""
+    bare = F.translate(value, ON + OFF, "")
+    return _let(bare, lambda v: (
+        F.when(v.contains("@"), _email(v, key))
+        .when(v.rlike("^[A-Z]"), _iban(v, key))
+        .when(v.rlike(_whole(ISO_DATE)), _date(v, key, "yyyy-MM-dd"))
+        .when(v.rlike(_whole(DOT_DATE)), _date(v, key, "d.M.yyyy"))
+        .when(v.rlike(_whole(SLASH_DATE)), _date(v, key, "M/d/yyyy"))
+        .when(v.rlike(_whole(ADDRESS)), _address(v, key))
+        .when(v.rlike(_whole(SECURITY)), _security(v, key))
+        .when(v.rlike(_whole(PHONE)), _phone(v, key))
+        .otherwise(_card(v, key))
+    ))
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """``docs`` with the personal values of a text column replaced and ``n_replaced`` added."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     text = F.col(column).cast("string")
-    values = F.regexp_extract_all(text, F.lit(PERSONAL), F.lit(0))
-    found = F.when(text.rlike("[0-9@]"), values)
-    kept = docs.withColumn("_values", F.when(F.size(found) > 0, found))
-    kept = kept.withColumn("_new", F.when(F.col("_values").isNotNull(), F.transform("_values", lambda v: pseudonym(v, key))))
-    merged = F.array_join(F.zip_with(F.split(text, PERSONAL, -1), F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.zip_with("_values", "_new", lambda a, b: a != b), lambda x: x))
-    return kept.withColumns({column: F.when(F.col("_new").isNotNull(), merged).otherwise(text), "n_replaced": F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long")}).drop("_values", "_new")
+    work, found = _fresh(docs, "marked_text"), _fresh(docs, "found_values")
+    odd = text.rlike(f"[{ON}{OFF}]")
+    with_group = text.rlike("[0-9]")
+    w = F.col(work)
+    kept = docs.withColumn(work, F.when(with_group & ~odd, _marked(text)).otherwise(text))
+    values = F.when(odd, F.regexp_extract_all(text, F.lit(PERSONAL), F.lit(0))).when(w.rlike("[0-9@]"), F.regexp_extract_all(w, F.lit(REPLACED), F.lit(0)))
+    pairs = F.transform(values, lambda v: F.struct(F.translate(v, ON + OFF, "").alias("old"), pseudonym(v, key).alias("new")))
+    kept = kept.withColumn(found, F.when(F.size(values) > 0, pairs))
+    f = F.col(found)
+    poured = F.when(odd, _poured_values(text, PERSONAL, f["new"])).otherwise(_poured_values(w, REPLACED, f["new"]))
+    changed = F.size(F.filter(found, lambda x: x["old"] != x["new"]))
+    return kept.withColumns({column: F.when(f.isNotNull(), poured).otherwise(text), "n_replaced": F.when(f.isNotNull(), changed).otherwise(0).cast("long")}).drop(work, found)

@@ -97,3 +97,26 @@ def test_long_thread(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, i, "user", f"> line {i - 1}\nline {i}") for i in range(1, 20)]
     out = {r.turn: r for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert all(out[i].parent_turn == i - 1 and out[i].root_turn == 0 and out[i].depth == i for i in range(1, 20))
+
+
+def test_neighbours_of_cards_and_ibans(spark):
+    """Values are found whatever digits or letters stand next to them, and their neighbours too."""
+    rng = random.Random(8)
+    c = [card(rng) for _ in range(4)]
+    four = lambda x: " ".join(x[i : i + 4] for i in range(0, 16, 4))
+    texts = {
+        1: f"{c[0]} 233.254.104.120", 2: f"{four(c[0])} 12/26", 3: f"card {four(c[0])} 3.", 4: f"12 {four(c[0])}", 5: f"{c[0]} {c[1]}", 6: f"{four(c[0])} {four(c[1])} {four(c[2])}",
+        7: "BE68 5390 0754 7034 I am", 8: "pay BE68 5390 0754 7034 ABCD now", 9: "BE68 5390 0754 7035 I am", 10: f"123456 {four(c[3])}", 11: " ".join("7" * 30) + f" {four(c[2])}", 12: "1 " * 40_000,
+        13: f"\ufdd0 {c[0]}", 14: f"{four(c[1])}\n2021-03-04",
+    }
+    df = spark.createDataFrame([(i, t, "v", "n") for i, t in texts.items()], "doc_id long, text string, marked_text string, found_values string")
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise(df, "k").collect()}
+    assert all(r.marked_text == "v" and r.found_values == "n" for r in out.values())
+    alone = spark.createDataFrame([(x,) for x in [*c, *map(four, c), "233.254.104.120", "BE68 5390 0754 7034", "2021-03-04"]], "v string").select("v", pseudonyms.pseudonym(F.col("v"), "k").alias("new"))
+    new = {r.v: r.new for r in alone.collect()}
+    expected = {i: t for i, t in texts.items()}
+    for i, t in texts.items():
+        for v in sorted(new, key=len, reverse=True):
+            expected[i] = expected[i].replace(v, new[v]) if i != 9 else t
+    assert {i: r.text for i, r in out.items()} == expected
+    assert [out[i].n_replaced for i in range(1, 15)] == [2, 1, 1, 1, 2, 3, 1, 1, 0, 1, 1, 0, 1, 2]
