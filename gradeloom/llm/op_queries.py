@@ -96,6 +96,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quotes import link_quotations
+    from .quotes import in_reply_order, link_quotations
 
-    return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return in_reply_order(link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))

@@ -120,3 +120,67 @@ def test_neighbours_of_cards_and_ibans(spark):
             expected[i] = expected[i].replace(v, new[v]) if i != 9 else t
     assert {i: r.text for i, r in out.items()} == expected
     assert [out[i].n_replaced for i in range(1, 15)] == [2, 1, 1, 1, 2, 3, 1, 1, 0, 1, 1, 0, 1, 2]
+
+
+MAIL = "We met the builder on Monday and she said that the roof needs new beams before winter comes.\nThe price is fixed."
+
+
+def test_wrapped_partial_and_nested_quotes(spark):
+    """Passages link however they are wrapped, in part, and at every level; quotes without an original stay."""
+    words = MAIL.split(" ")
+    wrapped = "\n".join("> " + " ".join(words[i : i + 5]) for i in range(0, 15, 5))
+    rows = [
+        (1, 0, "a", MAIL), (1, 1, "b", wrapped + "\n\nThat is dear, let us ask the other firm too."), (1, 2, "c", "B wrote:\n> > the roof needs new beams\n> That is dear, let us ask the other firm too.\n\nAgreed then."),
+        (1, 3, "d", "> a passage that nobody here ever said before\nOdd."), (1, 4, "a", "> how are\n> things\nYes"), (1, 5, "e", ">> a lost answer between the two of them\n>>> builder on Monday and she said that\nHm"), (2, 0, "a", "how are things"), (2, 1, "b", "> how are\n> things\nfine"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): r for r in quotes.in_reply_order(quotes.link_quotations(df)).collect()}
+    assert {k: (r.parent_turn, r.depth, r.position) for k, r in out.items()} == {
+        (1, 0): (None, 0, 0), (1, 1): (0, 1, 1), (1, 2): (1, 2, 2), (1, 3): (None, 0, 0), (1, 4): (None, 0, 0), (1, 5): (0, 1, 3), (2, 0): (None, 0, 0), (2, 1): (0, 1, 1),
+    }
+    assert [(x.level, x.to) for x in out[1, 2].links] == [(1, 1), (2, 0)] and out[1, 2].text == "Agreed then."
+    assert out[1, 3].unlinked == ["> a passage that nobody here ever said before"] and out[1, 3].text == "Odd." and out[1, 1].unlinked == []
+    assert out[1, 5].unlinked == [">> a lost answer between the two of them"]
+    built = {(r.conv_id, r.root_turn, r.part): r for r in quotes.build_conversations(quotes.in_reply_order(quotes.link_quotations(df)), 3).collect()}
+    assert built[1, 0, 0].text == f"<|a|>\n{MAIL}\n<|b|>\nThat is dear, let us ask the other firm too.\n<|c|>\nAgreed then.\n" and built[1, 0, 1].n_messages == 1
+
+
+def test_links_against_brute_force(spark, monkeypatch):
+    """Random threads with quotes: parents as plain Python finds them, whatever the size of the blocks of turns."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for conv in range(6):
+        said = []
+        for turn in range(25):
+            mine = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 14)))
+            quote = ""
+            if said and rng.random() < 0.7:
+                w = rng.choice(said).split()
+                at = rng.randint(0, max(0, len(w) - 6))
+                quote = "> " + " ".join(w[at : at + rng.randint(5, 8)]) + "\n"
+            rows.append((conv, turn, "x", quote + mine))
+            said.append(mine)
+
+    def units(text):
+        w = text.split()
+        return {text} | ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)})
+
+    want = {}
+    for conv, turn, _, text in rows:
+        head, _, _ = text.rpartition("\n")
+        votes = {}
+        for u in units(head[2:]) if head else ():
+            back = [t for c, t, _, x in rows if c == conv and t < turn and u in units(x.rpartition("\n")[2])]
+            if back:
+                votes[max(back)] = votes.get(max(back), 0) + 1
+        want[conv, turn] = max(votes, key=lambda t: (votes[t], t)) if votes else None
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for turns in (quotes.TURNS, 3):
+        monkeypatch.setattr(quotes, "TURNS", turns)
+        out = quotes.in_reply_order(quotes.link_quotations(df)).collect()
+        assert {(r.conv_id, r.turn): r.parent_turn for r in out} == want
+        threads = {}
+        for r in sorted(out, key=lambda r: r.position):
+            threads.setdefault((r.conv_id, r.root_turn), []).append((r.position, r.turn))
+        assert all([p for p, _ in t] == list(range(len(t))) and [x for _, x in t] == sorted(x for _, x in t) for t in threads.values())
