@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +25,13 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 2**64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in a single process, where it may be unset, a folder of our own."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='gradeloom-')}"
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
@@ -45,18 +49,43 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _release() -> None:
+    """Give freed memory back to the system: idle workers keep what their allocators hold otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def released(run):
+    """A function for mapInArrow whose worker holds no freed memory once its task is done."""
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradeloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` that is no longer read."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

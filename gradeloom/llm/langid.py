@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, lean, records, steps, utf8
+from .common import LOWER, lean, records, released, steps, utf8
 
 LONGEST, BINS = 3, 1 << 14
 PER_LANG, FIT_PER_LANG = 48, 240
@@ -132,7 +132,7 @@ def fit(docs: DataFrame) -> Model | None:
     # At most fit_docs ids of each language; an id that several rows repeat counts once, with its first text.
     chosen = chosen.groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
     sample = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
-    rows = sorted(sample.mapInArrow(_packed, "lang string, rank int, bits binary").collect())
+    rows = sorted(sample.mapInArrow(released(_packed), "lang string, rank int, bits binary").collect())
     langs = sorted({r.lang for r in rows})
     x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
     return Model(langs, np.array([r["rank"] for r in rows]), x, np.array([langs.index(r.lang) for r in rows]), per_lang)
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, scores, known = classify(sent.value, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "known"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())]))
+    return kept.mapInArrow(released(run), T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())]))
 
 
 def held_out(doc_id="doc_id", modulus: int = 4, remainder: int = 2):

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, lean, mix, steps, utf8
+from .common import LOWER, SPACE, U64, lean, mix, released, steps, utf8
 
 SHARE, GRAM = 0.1, 8
 WALKS, TABLES, SAMPLE = 32, 8, 5
@@ -355,6 +355,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
                     row, item, e, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(item, pa.int64()), pa.array(e, pa.int32()), pa.array(end, pa.int32())], schema=schema)
 
-        one = docs.mapInArrow(run, "doc_id long, item_id long, edits int, end_at int")
+        one = docs.mapInArrow(released(run), "doc_id long, item_id long, edits int, end_at int")
         out = one if out is None else out.union(one)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, edits int, end_at int")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER_CODE, U64, lean, mix, records, span_hashes, steps, stored, utf8, word_spans
+from .common import BASE, LOWER_CODE, U64, drop_stored, lean, mix, records, released, span_hashes, steps, stored, utf8, word_spans
 
 SYMBOLS, SYMBOL_BITS, CHUNK, ERRORS = 60, 16, 5, 1
 #: Largest number of ids sent to all executors as a filter (8 bytes each); beyond it the filter is a shuffled join.
@@ -149,14 +149,17 @@ def components(links: DataFrame) -> DataFrame:
     table for each round, until none changes.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    table = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    labels = table.select("id", "component")
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("there")), "b").groupBy(F.col("a").alias("id")).agg(F.min("there").alias("there"))
         near = labels.join(seen, "id").select("id", "component", F.least("component", "there").alias("near"))
         jump = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
         new = stored(near.join(jump, "near", "left").select("id", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("id", "component")
+        drop_stored(table)
+        table, labels = new, new.select("id", "component")
         if not new.filter("moved").head(1):
+            drop_stored(both)
             return labels
 
 
@@ -231,9 +234,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     """
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stored(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_id binary, signature binary"), "sketch")
+    sketched = stored(docs.mapInArrow(released(_sketch(words)), "doc_id long, n_shingles long, set_id binary, signature binary"), "sketch")
     reps = stored(sketched.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")
-    keyed = reps.select("rep", "signature").mapInArrow(_keys, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    keyed = reps.select("rep", "signature").mapInArrow(released(_keys), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lowest"), F.max("rep").alias("highest")).filter("lowest < highest").select("key", "lowest")
     met = stored(keyed.join(shared, "key"), "met")
     ids = met.select(F.col("rep").alias("doc_id")).distinct()
@@ -241,13 +244,13 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     met_ids = stored(ids, "ids")
     small = met_ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(met_ids) if small else met_ids, "doc_id", "left_semi")
-    sets = stored(wanted.mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "sets")
+    sets = stored(wanted.mapInArrow(released(_sets(words)), "doc_id long, shingles array<long>"), "sets")
     marks = reps.select("rep", "signature")
 
     def close(pairs: DataFrame) -> DataFrame:
         a, b = (marks.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
-        return full.mapInArrow(_distance, "a long, b long, distance int").filter(F.col("distance") <= threshold())
+        return full.mapInArrow(released(_distance), "a long, b long, distance int").filter(F.col("distance") <= threshold())
 
     # An id that has several sets links them.
     set_key = F.coalesce("set_id", F.lit(b""))
@@ -272,8 +275,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
         if not hubs and not new:
             break
         hubs = hubs - 1 if hubs and new else 0
+        drop_stored(mixed)
         tested = stored(tested.union(open_pairs.select("a", "b")).distinct(), "tested")
         links = stored(links.union(more), "confirmed") if new else links
+    drop_stored(met, met_ids, sets, mixed)
     ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     of_set = reps.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
     out = sketched.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, list_column, records, steps
+from .common import lean, list_column, records, released, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments, and characters of segments, whose ids a worker keeps; the memory is emptied when it is full.
@@ -304,7 +304,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield records({"doc_id": batch.column(0).slice(lo, hi - lo), "n_tokens": counts, "token_ids": lists, "round_trip": same}, schema)
 
     lean(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(released(run), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -320,4 +320,4 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             yield records({"doc_id": batch.column(0), "text": [None if x is None else t.decode("utf-8", "replace") for x, t in zip(lists, texts, strict=True)]}, schema)
 
     lean(encoded.sparkSession)
-    return encoded.selectExpr("cast(doc_id as long) doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.selectExpr("cast(doc_id as long) doc_id", "token_ids").mapInArrow(released(run), "doc_id long, text string")

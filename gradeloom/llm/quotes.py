@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 MARKS = r"^(?:[ \t]*>)+"
 ATTRIBUTION = r"(?i)^.*(?:wrote|writes|schrieb|écrit|escribió)[^:]{0,80}:[ \t]*$"
@@ -126,13 +126,13 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         passages = votes.groupBy(*KEY, "level", "passage").agg(F.max(F.struct("n", "to")).alias("x"))
         passages = passages.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("level", F.col("x.to").alias("to"), F.col("x.n").alias("n"), "passage"))).alias("found"))
         # Each message jumps to its ancestor's ancestor until all stand at their roots.
-        state = stored(answered.select(*KEY, "parent_turn", F.col("parent_turn").alias("at"), F.lit(1).cast("long").alias("depth")), "threads")
+        table = state = stored(answered.select(*KEY, "parent_turn", F.col("parent_turn").alias("at"), F.lit(1).cast("long").alias("depth")), "threads")
         while True:
             up = state.select("conv_id", F.col("turn").alias("at"), F.col("at").alias("higher"), F.col("depth").alias("more"))
-            state = stored(state.join(up, ["conv_id", "at"], "left").select(*KEY, "parent_turn", F.coalesce("higher", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")), "threads")
-            moved = bool(state.filter("moved").head(1))
-            state = state.drop("moved")
-            if not moved:
+            new = stored(state.join(up, ["conv_id", "at"], "left").select(*KEY, "parent_turn", F.coalesce("higher", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")), "threads")
+            drop_stored(table)
+            table, state = new, new.drop("moved")
+            if not new.filter("moved").head(1):
                 break
         parsed = parsed.join(state.join(passages, KEY), KEY, "left")
     else:

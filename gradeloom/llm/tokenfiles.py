@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, shared_dir, stored
+from .common import lean, released, shared_dir, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -86,7 +86,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     longest = docs.agg(F.max(F.octet_length("text"))).head()[0] or 0
     docs_per_file = max(1, min(docs_per_file, file_bytes // (2 * (longest + HEADER + 1))))
-    docs.mapInArrow(run, "value string").write.option("lineSep", END_TEXT).option("maxRecordsPerFile", docs_per_file).text(path)
+    docs.mapInArrow(released(run), "value string").write.option("lineSep", END_TEXT).option("maxRecordsPerFile", docs_per_file).text(path)
 
 
 PIECES = pa.schema([("file", pa.string()), ("block", pa.int64()), ("nth", pa.int64()), ("ends", pa.int64()), ("whole", pa.bool_()), ("n", pa.int64()), ("head", pa.list_(pa.int32()))])
@@ -118,7 +118,7 @@ def scan(files: DataFrame, end: int = END, header: int = 0, block: int = BLOCK)
                     whole[[0, -1]] = False  # the edges go on in other blocks
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.string()), pa.array(np.full(n, b)), pa.array(np.arange(n)), pa.array(np.full(n, ends)), pa.array(whole), pa.array(lengths), heads], schema=PIECES)
 
-    pieces = stored(files.select("path", "content").mapInArrow(run, "file string, block long, nth long, ends long, whole boolean, n long, head array<int>"), "pieces")
+    pieces = stored(files.select("path", "content").mapInArrow(released(run), "file string, block long, nth long, ends long, whole boolean, n long, head array<int>"), "pieces")
     before = pieces.filter("nth = 0").select("file", "block", F.coalesce(F.sum("ends").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = pieces.join(before, ["file", "block"]).withColumn("document", F.col("before") + F.col("nth"))
     whole = placed.filter("whole").select("file", "document", "n", "head")

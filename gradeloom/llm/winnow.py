@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, lean, mix, records
+from .common import U64, gram_hashes, lean, mix, records, released
 
 GRAM, WINDOW = 12, 36
 #: Code points that one vectorised step looks at.
@@ -187,7 +187,7 @@ def with_followers(docs: DataFrame, parts: int) -> DataFrame:
                 yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
 
     # Texts travel packed: the exchange is the operator's only large one.
-    placed = docs.mapInArrow(place, "bucket int, guest boolean, doc_id long, packed binary")
+    placed = docs.mapInArrow(released(place), "bucket int, guest boolean, doc_id long, packed binary")
     return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "packed")
 
 
@@ -195,4 +195,4 @@ def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of each text, of its edited form, and their likeness; ``positions`` are those of ``fingerprint``."""
     parts = parts or 4 * int(lean(docs.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     rows = with_followers(docs, parts)
-    return rows.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>")
+    return rows.mapInArrow(released(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>")
