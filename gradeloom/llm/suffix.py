@@ -12,8 +12,14 @@ offsets. Consecutive windows that own one gram form a run, with the bytes they c
    breadth-first backward extension finds common prefix values in increasing order: an interval
    of strings of length n that ends before an undecided place fixes the value n - 1 there. The
    expansion stops at ``LENGTH``; places still undecided separate equal windows from nothing.
-3. A gram with more than ``HOT`` texts (a line that a large part of the corpus holds) is not
-   gathered anywhere: its windows are counted by a 128-bit hash instead.
+3. A key with more than ``HOT`` texts (a line that a large part of the corpus holds) is split before
+   it is indexed. A window around a common stretch has ``LENGTH`` bytes less that stretch to both
+   sides together, so at least half of them to one side: each text goes to the key with that half on
+   the left, where it has it, and to the one with that half on the right, cut to the windows that
+   hold it (on the left, if on both sides). Equal windows meet in one of them. Keys that are still hot are split again; after at
+   most nine splits a key is a whole window, whose rows need no index.
+
+Rows of a key that many runs have are never dealt out by it: such keys are sent to the rows.
 
 Defined results: null texts count as empty; texts shorter than ``LENGTH`` lose nothing; rows that
 repeat a document are documents of their own and copies of each other; null ids are kept.
@@ -28,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, U64, gram_hashes, lean, mix, powers, records, steps, stored, utf8
+from .common import BASE, BYTE_CODE, STEP_BYTES, U64, drop_stored, gram_hashes, lean, mix, powers, records, released, steps, stored, utf8
 from .winnow import _sliding_min
 
-LENGTH, GRAM, HOT = 200, 64, 4096
-#: Bytes of run texts that one transform holds; a gram's runs stay together (at most HOT * 336 bytes).
-INDEX_BYTES = 4 << 20
+LENGTH, GRAM, HOT = 200, 64, 1024
+#: Bytes of run texts that one transform holds; a key's runs stay together (at most HOT * 336 bytes).
+INDEX_BYTES = 1 << 20
 #: As in minhash: most document keys (16 bytes each) that are sent to all executors as a filter.
 BROADCAST_IDS = 500_000
+#: Rows that make a key of a join frequent, and most frequent keys (at most 24 bytes each) that are sent to all executors.
+FREQUENT, BROADCAST_KEYS = 1024, 200_000
 KEY = ["doc_id", "digest"]
 RUN = "gram long, span long, first int, windows int, offset int"
 
@@ -166,7 +174,7 @@ def flag_runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index(batches):
-    """Rows (gram, doc_id, digest, first, alone, text) sorted by gram; whole grams fill one transform after the other."""
+    """Rows (key, doc_id, digest, first, alone, text) sorted by key; whole keys fill one transform after the other."""
 
     def found(rows):
         out = []
@@ -189,28 +197,56 @@ def _index(batches):
         yield x
 
 
+CUT = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("alone", pa.bool_()), ("lo", pa.int32()), ("hi", pa.int32()), ("bytes", pa.binary())])
+CUT_DDL = "key long, doc_id long, digest long, first int, alone boolean, lo int, hi int, bytes binary"
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+
+
 def _cut(batches):
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("alone", pa.bool_()), ("hot", pa.bool_()), ("bytes", pa.binary())])
+    """The wanted runs' texts; [lo, hi) is where the gram stands, which all texts of the key share."""
     for batch in batches:
-        rows = []
-        for doc_id, digest, wanted, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            rows += [(w["gram"], doc_id, digest, w["first"], w["alone"], w["hot"], raw[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
-            if len(rows) > 20_000:
-                yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
-                rows = []
+        rows, size = [], 0
+        for doc_id, digest, wanted, text in zip(*batch.columns, strict=True):
+            raw = text.as_py().encode("utf-8", "surrogatepass")
+            for w in wanted.as_py():
+                rows.append((w["gram"], doc_id.as_py(), digest.as_py(), w["first"], w["alone"], w["offset"], w["offset"] + GRAM, raw[w["first"] : w["first"] + w["windows"] + LENGTH - 1]))
+                size += len(rows[-1][-1])
+            if size > STEP_BYTES:
+                yield _table(rows, CUT)
+                rows, size = [], 0
         if rows:
-            yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+            yield _table(rows, CUT)
+
 
+def halves(key: int, lo: int, hi: int, text: bytes) -> list[tuple[int, int, int, int, bytes]]:
+    """(new key, place of the new text in the old one, lo, hi, new text) with half of the missing bytes on the left and on the right."""
+    half = -(-(LENGTH - (hi - lo)) // 2)
+    out = []
+    for side, (a, b) in enumerate(((lo - half, hi), (lo, hi + half))):
+        if half and a >= 0 and b <= len(text):
+            # A window with the half on both sides belongs to the left one only.
+            begin, end = max(0, b - LENGTH, lo - half + 1 if side else 0), min(len(text), a + LENGTH)
+            if end - begin < LENGTH:
+                continue
+            name = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + bytes([side]) + text[a:lo] + text[hi:b], digest_size=8).digest()
+            out.append((int.from_bytes(name, "little", signed=True), begin, a - begin, b - begin, text[begin:end]))
+    return out
 
-def _windows(batches):
-    schema = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32())])
+
+def _split(batches):
     for batch in batches:
-        rows = []
-        for doc_id, digest, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest(), doc_id, digest, first + i) for i in range(len(raw) - LENGTH + 1)]
+        rows, size = [], 0
+        for key, doc_id, digest, first, alone, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows += [(k, doc_id, digest, first + at, alone, a, b, part) for k, at, a, b, part in halves(key, lo, hi, text)]
+            size += 2 * len(text)
+            if rows and size > STEP_BYTES:
+                yield _table(rows, CUT)
+                rows, size = [], 0
         if rows:
-            yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+            yield _table(rows, CUT)
 
 
 def _finish(batches):
@@ -235,31 +271,58 @@ def _finish(batches):
         yield records(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in schema.names}, schema)
 
 
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of a stored table with unique keys, ``weight`` being how many rows each has.
+
+    Frequent keys (``FREQUENT`` rows, or more where too many keys have that) go to all executors, so
+    their rows stay where they are; the others meet in a shuffle, where no key is frequent.
+    """
+    reach = np.zeros(64, np.int64)
+    for r in keys.filter(F.col(weight) >= FREQUENT).groupBy(F.floor(F.log2(weight) + 1e-9).cast("int").alias("p")).count().collect():
+        reach[r.p] = r["count"]
+    if not reach.any():
+        return rows.join(keys, on)
+    above = np.cumsum(reach[::-1])[::-1]
+    least = max(FREQUENT, 1 << int(np.argmax(above <= BROADCAST_KEYS)))
+    hot, cold = keys.filter(F.col(weight) >= least), keys.filter(F.col(weight) < least)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, first, windows): all windows of ``docs`` (doc_id, digest, text) that repeat, as runs."""
-    made = stored(docs.filter(F.octet_length("text") >= LENGTH).select(*KEY, "text").mapInArrow(_runs, f"doc_id long, digest long, runs array<struct<{RUN.replace(' ', ':')}>>".replace(",:", ", ")), "runs")
+    made = stored(docs.filter(F.octet_length("text") >= LENGTH).select(*KEY, "text").mapInArrow(released(_runs), f"doc_id long, digest long, runs array<struct<{RUN.replace(' ', ':')}>>".replace(",:", ", ")), "runs")
     every = made.select(*KEY, F.explode("runs").alias("x")).select(*KEY, "x.*")
-    # Stored, so that the join stands alone behind its exchanges and Spark may split the rows of a very common gram.
-    twice = stored(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
-    shared = stored(every.join(twice, "gram"), "shared")
-    spans = shared.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "first", "windows")).alias("rep"))
+    twice = stored(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    shared = stored(join_keys(every, twice, ["gram"], "n").drop("n"), "shared")
+    drop_stored(made, twice)
+    spans = shared.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "first", "windows", "offset")).alias("rep"))
     spans = stored(spans, "spans")
-    copies = shared.join(spans.filter("copies > 1").select("gram", "span"), ["gram", "span"], "left_semi").select(*KEY, "first", "windows")
-    several = spans.groupBy("gram").agg(F.count("*").alias("texts")).filter("texts > 1")
-    wanted = spans.join(several, "gram").select("rep.*", "gram", (F.col("copies") == 1).alias("alone"), (F.col("texts") > HOT).alias("hot"))
-    wanted = stored(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "first", "windows", "alone", "hot")).alias("wanted")), "wanted")
+    same = spans.filter("copies > 1").select("gram", "span", "copies")
+    found = join_keys(shared, same, ["gram", "span"], "copies").select(*KEY, "first", "windows")
+    several = stored(spans.groupBy("gram").agg(F.count("*").alias("texts")).filter("texts > 1"), "several")
+    wanted = join_keys(spans, several, ["gram"], "texts").select("rep.*", "gram", (F.col("copies") == 1).alias("alone"))
+    wanted = stored(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "first", "windows", "offset", "alone")).alias("wanted")), "wanted")
+    drop_stored(several)
     # Document keys only; sent everywhere only if their count allows.
     small = wanted.count() <= BROADCAST_IDS
     ids = wanted.select("digest").distinct()
     texts = docs.join(F.broadcast(ids) if small else ids, "digest", "left_semi").dropDuplicates(KEY)
     cut = wanted.join(texts, (wanted.digest == texts.digest) & wanted.doc_id.eqNullSafe(texts.doc_id)).select(wanted.doc_id, wanted.digest, "wanted", "text")
-    cut = stored(cut.mapInArrow(_cut, "gram long, doc_id long, digest long, first int, alone boolean, hot boolean, bytes binary"), "cut")
-    cold = cut.filter("not hot").select("gram", *KEY, "first", "alone", "bytes").repartition("gram").sortWithinPartitions("gram")
-    indexed = cold.mapInArrow(_index, "doc_id long, digest long, first int, windows int")
-    windows = cut.filter("hot").select(*KEY, "first", "bytes").mapInArrow(_windows, "window binary, doc_id long, digest long, first int")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    counted = windows.join(again, "window", "left_semi").select(*KEY, "first", F.lit(1).alias("windows"))
-    return copies.union(indexed).union(counted)
+    todo = stored(cut.mapInArrow(released(_cut), CUT_DDL), "cut")
+    drop_stored(wanted)
+    while True:
+        hot = stored(todo.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
+        n = hot.count()
+        known = F.broadcast(hot) if n <= BROADCAST_IDS else hot
+        cold = (todo.join(known, "key", "left_anti") if n else todo).select("key", *KEY, "first", "alone", "bytes")
+        found = found.union(cold.repartition("key").sortWithinPartitions("key").mapInArrow(released(_index), "doc_id long, digest long, first int, windows int"))
+        if not n:
+            return found
+        held = todo.join(known, "key", "left_semi").select(*todo.columns)
+        whole = F.col("hi") - F.col("lo") == LENGTH
+        found = found.union(held.filter(whole & F.col("alone")).select(*KEY, "first", F.lit(1).alias("windows")))
+        todo = stored(held.filter(~whole).mapInArrow(released(_split), CUT_DDL), "cut")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -270,4 +333,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = repeated_spans(docs).groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows")).alias("found"))
     found = found.select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "found")
     full = docs.join(found, (docs.digest == found.of_digest) & docs.doc_id.eqNullSafe(found.of_id), "left").select("doc_id", "text", "found")
-    return full.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    return full.mapInArrow(released(_finish), "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")

@@ -232,6 +232,22 @@ def test_token_counts(spark, tmp_path):
 # Repeated byte strings
 
 
+@pytest.mark.parametrize(("hot", "frequent"), [(1, 1), (2, 4)])
+def test_hot_keys_are_split_without_loss(spark, monkeypatch, hot, frequent):
+    """A line that all documents hold, shared stretches of many lengths around it: as brute force finds them."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "FREQUENT", frequent)
+    rng = random.Random(17)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    left, right = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(2))
+    make = lambda n: "".join(rng.choice("xyz") for _ in range(n))
+    rows = [(i, make(rng.randint(0, 90)) + left[200 - rng.randint(0, 150) :] + line + right[: rng.randint(0, 150)] + make(rng.randint(0, 90))) for i in range(60)]
+    rows += [(100, line), (101, line * 3), (102, "q" * 900), (102, "q" * 900)]
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in out.collect()), key=repr)
+    assert got == brute_repeats(rows, suffix.LENGTH)
+
+
 def brute_repeats(rows, length):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
