@@ -346,6 +346,24 @@ def inline_sections(text: Column) -> Column:
     return F.transform(titled, lambda p: F.struct(F.trim(F.regexp_extract(p, head, 1)).alias("title"), F.regexp_extract(p, head, 2).try_cast("double").alias("marks"), F.regexp_replace(F.regexp_replace(p, head, ""), r"^[ \t\n]+|[ \t\n]+$", "").alias("body")))
 
 
+def sections(text: Column) -> Column:
+    """Parts of a script between "--- label ---" lines: array of (label, body); the part before the first header has the
+    label "" and is left out if it is empty; no headers, no parts."""
+    header = r"(?m)^[ \t]*-{3,}[ \t]*([^\n]*?[^ \t\n])[ \t]*-{3,}[ \t]*$"
+    labels = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(header), F.lit(1)))
+    bodies = F.transform(F.split(text, header), lambda b, i: F.regexp_replace(F.regexp_replace(b, "\n$", ""), F.when(i == 0, F.lit("^$")).otherwise(F.lit("^\n")), F.lit("")))
+    every = F.zip_with(labels, bodies, lambda a, b: F.struct(a.alias("label"), F.coalesce(b, F.lit("")).alias("body")))
+    return F.when(F.size(labels) > 1, F.filter(every, lambda s, i: (i > 0) | (s["body"] != ""))).when(text.isNotNull(), F.array().cast("array<struct<label:string,body:string>>"))
+
+
+def section_of(evidence: Column, bodies: Column) -> Column:
+    """Index of the one body that holds the evidence, white space, commas, semicolons and pipes ignored; null if none or
+    several do, or if it has under eight such characters. ``bodies``: array of normalised texts (see line_norm, lower case)."""
+    needle = F.lower(line_norm(evidence))
+    hits = F.filter(F.transform(bodies, lambda b, i: F.when(F.contains(b, needle), i)), lambda i: i.isNotNull())
+    return F.when((F.length(needle) >= 8) & (F.size(hits) == 1), F.get(hits, 0))
+
+
 def body_points(body: Column) -> Column:
     """Points of a section body: bullets and blank lines part it, parts over 150 characters part at sentences; ten characters at least."""
     blocks = F.split(body, r"\n[ \t]*\n|\n[ \t]*(?:[-*•–]|[0-9]{1,2}[.)]|\([a-z0-9]{1,3}\))[ \t]+")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic
+from ..functions import criteria as C
 from ..functions import text as X
 
 AUDIT = "array<struct<guard:string,delta:double,reason:string>>"
@@ -35,18 +36,19 @@ def prepare(judged: DataFrame, scripts: DataFrame) -> DataFrame:
     return j.join(s, "submission_id", "left").fillna("", ["text", "reference"])
 
 
-def _set(df: DataFrame, guard: str, marks: Column, why: str, note: bool = True) -> DataFrame:
+def _set(df: DataFrame, guard: str, marks: Column, why: str | Column, note: bool = True) -> DataFrame:
     """New marks where they differ, with an audit entry and, if ``note``, the reason in front of the row's own."""
     df = df.withColumn("_new", F.coalesce(marks, F.col("marks_awarded")))
     changed = F.col("_new") != F.col("marks_awarded")
-    entry = F.array(F.struct(F.lit(guard).alias("guard"), (F.col("_new") - F.col("marks_awarded")).alias("delta"), F.lit(why).alias("reason")))
+    why = F.lit(why) if isinstance(why, str) else why
+    entry = F.array(F.struct(F.lit(guard).alias("guard"), (F.col("_new") - F.col("marks_awarded")).alias("delta"), why.alias("reason")))
     out = {"audit": F.when(changed, F.concat("audit", entry)).otherwise(F.col("audit")), "marks_awarded": F.col("_new")}
     if note:
-        out["reason"] = F.when(changed, F.trim(F.concat(F.lit(why + " "), F.col("reason")))).otherwise(F.col("reason"))
+        out["reason"] = F.when(changed, F.trim(F.concat(why, F.lit(" "), F.col("reason")))).otherwise(F.col("reason"))
     return df.withColumns(out).drop("_new")
 
 
-def _zero_if(df: DataFrame, guard: str, fires: Column, why: str) -> DataFrame:
+def _zero_if(df: DataFrame, guard: str, fires: Column, why: str | Column) -> DataFrame:
     return _set(df, guard, F.when((F.col("marks_awarded") > 0) & F.coalesce(fires, F.lit(False)), 0.0).otherwise(F.col("marks_awarded")), why)
 
 
@@ -104,13 +106,9 @@ def income_context(df: DataFrame) -> DataFrame:
 
 
 def alignment(df: DataFrame) -> DataFrame:
-    """evidence of a long narrative criterion shares two content words with it, or one and a figure, or one long word."""
-    norm = X.evidence_norm(F.col("criterion"))
-    exempt = norm.rlike(r"\b[0-9]{3,}\b|gbp") | F.col("criterion").rlike("[£$]") | norm.rlike("^(dr|cr) ") | ((F.length(norm) < 50) & (F.size(F.split(norm, " ")) < 8))
-    joined = X.evidence_norm(F.array_join("evidence", " "))
-    shared = F.array_intersect(X.tokens(norm, 4), X.tokens(joined, 4))
-    fine = (F.size(shared) >= 2) | ((F.size(shared) >= 1) & joined.rlike("[0-9]")) | F.exists(shared, lambda w: F.length(w) >= 7)
-    return _zero_if(df, "F10", ~exempt & (F.col("max_possible") < 1) & ~fine, "Marks revoked (evidence does not bear on the criterion).")
+    """evidence of a long narrative criterion of less than a mark must bear on it (see criteria.aligned)."""
+    fine = C.aligned(X.evidence_norm(F.col("criterion")), X.evidence_norm(F.array_join("evidence", " ")))
+    return _zero_if(df, "F10", ~F.col("criterion").rlike("[£$]") & (F.col("max_possible") < 1) & ~fine, "Marks revoked (evidence does not bear on the criterion).")
 
 
 # Words that do not say what is required.
@@ -131,12 +129,18 @@ def negation(df: DataFrame) -> DataFrame:
 def calculated(df: DataFrame) -> DataFrame:
     """full marks where evidence, or a calculation in the script, works out to the criterion's amount.
 
-    The amount is that of the criterion's own bracket, "(375,000 x GBP32)". Arithmetic runs in one Arrow
-    function over at most twelve pieces of each row.
+    The amount is the one after GBP where the criterion's own bracket, "(375,000 x GBP32)", works out to it,
+    else that of the bracket, else the one after GBP; only a bracket is looked for in the script. A criterion about income takes only
+    evidence that speaks of it. Arithmetic runs in one Arrow function over at most twelve pieces of each row.
     """
-    amount = arithmetic.bracket_value(F.col("criterion"))
+    bracket, stated = arithmetic.bracket_value(F.col("criterion")), C.expected_amount(F.regexp_replace("criterion", r"\([^)]*\)", " "))
     brackets = F.regexp_extract_all("text", F.lit(r"\(?[0-9][0-9.,£$mkp% ]*(?:[x×*/+-] ?[0-9£$.,mkp%() ]+)+"), F.lit(0))
-    df = df.withColumn("_amount", amount).withColumn("_pieces", F.when(F.col("_amount").isNotNull() & (F.col("marks_awarded") < F.col("max_possible")), F.slice(F.concat("evidence", brackets), 1, 12)))
+    in_evidence = F.flatten(F.transform("evidence", lambda e: F.concat(F.array(e), F.regexp_extract_all(e, F.lit(r"\(?[0-9][0-9.,£$mkp% ]*(?:[x×*/+-] ?[0-9£$.,mkp%() ]+)+"), F.lit(0)))))
+    income = F.col("criterion").rlike(INCOME) & ~F.array_join("evidence", " ").rlike(INCOME_EVIDENCE)
+    wanted = (F.col("marks_awarded") < F.col("max_possible")) & ~F.coalesce(income, F.lit(False))
+    df = df.withColumn("_amount", F.coalesce(bracket, stated))
+    pieces = F.when(bracket.isNotNull(), F.concat(in_evidence, brackets)).otherwise(in_evidence)
+    df = df.withColumn("_pieces", F.when(F.col("_amount").isNotNull() & wanted, F.slice(F.array_distinct(pieces), 1, 12)))
     df = df.withColumn("_values", arithmetic.evaluate_all("_pieces"))
     hit = F.exists("_values", lambda v: F.abs(v - F.col("_amount")) <= F.greatest(F.lit(2.0), 1e-6 * F.abs(F.col("_amount"))))
     df = df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
@@ -145,12 +149,16 @@ def calculated(df: DataFrame) -> DataFrame:
 
 
 def strict_numbers(df: DataFrame) -> DataFrame:
-    """full marks need every figure of the criterion in the evidence, unless the reason grants an own figure and the figure need not be exact."""
+    """full marks need every figure of the criterion in the evidence, or the result of its bracket, unless the reason
+    grants an own figure, or it rests on other figures, and the figure need not be exact."""
     figures = F.filter(X.numbers(F.regexp_replace("criterion", r"(?i)\b(?:19|20)[0-9]{2}\b", "")), lambda n: F.length(F.regexp_replace(n, "[^0-9]", "")) >= 2)
     said = F.array_join("evidence", " ")
     all_there = F.forall(figures, lambda n: X.value_in_text(n.try_cast("double"), said) | F.contains(F.regexp_replace(said, "[, ]", ""), n))
-    own = F.col("reason").rlike(r"(?i)\bown.?figure\b|\bof\b") & ~F.col("exact_match")
-    return _zero_if(df, "F15", (F.col("marks_awarded") >= F.col("max_possible")) & (F.size(figures) > 0) & ~own & ~all_there, "Marks revoked (figures not in the evidence).")
+    result = arithmetic.bracket_value(F.col("criterion"))
+    derived = F.coalesce(F.exists(C.expected_spellings(result), lambda v: F.contains(F.lower(F.regexp_replace(said, "[, ]", "")), F.regexp_replace(v, " ", ""))), F.lit(False))
+    rests = F.size(F.coalesce("of_source_ids", F.array().cast("array<string>"))) > 0 if "of_source_ids" in df.columns else F.lit(False)
+    own = (F.col("reason").rlike(r"(?i)\bown.?figure\b|\bof\b") | rests) & ~F.col("exact_match")
+    return _zero_if(df, "F15", (F.col("marks_awarded") >= F.col("max_possible")) & (F.size(figures) > 0) & ~own & ~all_there & ~derived, "Marks revoked (figures not in the evidence).")
 
 
 def journal_direction(df: DataFrame) -> DataFrame:
@@ -211,3 +219,8 @@ def partial_credit(df: DataFrame) -> DataFrame:
     """F14, not in the chain: half the maximum, in quarters, where evidence stands in the script but no marks were given."""
     present = X.let(X.evidence_norm(F.col("text")), lambda t: F.exists(F.transform("evidence", X.evidence_norm), lambda e: is_searchable(e) & is_present(e, t)))
     return _set(df, "F14", F.when((F.col("marks_awarded") == 0) & present, X.quarter(F.col("max_possible") / 2)).otherwise(F.col("marks_awarded")), "Partial credit.")
+
+
+def displayed(df: DataFrame) -> DataFrame:
+    """rows that are shown: those with marks, and those whose marks were given elsewhere."""
+    return df.filter((F.col("marks_awarded") > 0) | F.coalesce(F.contains("reason", F.lit("Marks given above/below")), F.lit(False)))

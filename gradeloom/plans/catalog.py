@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain_queries, more_queries, queries as first  # noqa: F401  they register themselves
+from . import domain_queries, guard_queries, more_queries, queries as first, set_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
