@@ -142,7 +142,7 @@ def keyword_score(keywords: Column, text: Column) -> Column:
 
 def comma_pattern(digits: Column) -> Column:
     """A pattern for a whole number with or without comma groups, spaces around the commas allowed."""
-    grouped = F.regexp_replace(X.grouped(digits.try_cast("long")), ",", r"\\\\s*,\\\\s*")
+    grouped = F.replace(X.grouped(digits.try_cast("long")), F.lit(","), F.lit(r"\s*,\s*"))
     return F.when(~digits.rlike("^[0-9]+$") | (F.length(digits) <= 3), digits).otherwise(F.concat(F.lit("(?:"), digits, F.lit("|"), grouped, F.lit(")")))
 
 

@@ -351,7 +351,9 @@ def sections(text: Column) -> Column:
     label "" and is left out if it is empty; no headers, no parts."""
     header = r"(?m)^[ \t]*-{3,}[ \t]*([^\n]*?[^ \t\n])[ \t]*-{3,}[ \t]*$"
     labels = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(header), F.lit(1)))
-    bodies = F.transform(F.split(text, header), lambda b, i: F.regexp_replace(F.regexp_replace(b, "\n$", ""), F.when(i == 0, F.lit("^$")).otherwise(F.lit("^\n")), F.lit("")))
+    # The line ends around a header belong to it; the last part has none behind it.
+    inner = lambda b, i, n: F.regexp_replace(F.when(i < n - 1, F.regexp_replace(b, r"\n\z", "")).otherwise(b), F.when(i == 0, F.lit(r"\z.")).otherwise(F.lit(r"\A\n")), F.lit(""))
+    bodies = let(F.split(text, header, -1), lambda bs: F.transform(bs, lambda b, i: inner(b, i, F.size(bs))))
     every = F.zip_with(labels, bodies, lambda a, b: F.struct(a.alias("label"), F.coalesce(b, F.lit("")).alias("body")))
     return F.when(F.size(labels) > 1, F.filter(every, lambda s, i: (i > 0) | (s["body"] != ""))).when(text.isNotNull(), F.array().cast("array<struct<label:string,body:string>>"))
 
