@@ -20,14 +20,13 @@ component; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER_CODE, U64, drop_stored, lean, mix, records, released, span_hashes, steps, stored, utf8, word_spans
+from .common import BASE, LOWER_CODE, U64, drop_stored, join_keys, lean, mix, records, released, span_hashes, steps, stored, utf8, word_spans
 
 SYMBOLS, SYMBOL_BITS, CHUNK, ERRORS = 60, 16, 5, 1
 #: Largest number of ids sent to all executors as a filter (8 bytes each); beyond it the filter is a shuffled join.
@@ -36,8 +35,6 @@ BROADCAST_IDS = 500_000
 CLOSEST = 3
 #: Rounds in which members of a key also meet its best linked member.
 HUB_ROUNDS = 2
-#: A shingle with more rows than this is joined in so many tasks.
-SALT_OVER, SALTS = 500, 16
 
 _rng = np.random.Generator(np.random.PCG64(77))
 SEEDS = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -163,17 +160,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _salted(rows: DataFrame, other: DataFrame, on: str, parts: int = SALTS, most: int = SALT_OVER) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join on ``on`` with the rows of frequent keys dealt over ``parts`` tasks: ``rows`` at random, ``other`` copied.
-
-    Both need ``n_key``, the number of rows of their key.
-    """
-    frequent = F.col("n_key") > most
-    salt = F.when(frequent, F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(parts))).otherwise(0)
-    copies = F.when(frequent, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("salt", salt.cast("int")), other.withColumn("salt", F.explode(copies))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -216,14 +202,12 @@ def _apart(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rare = rare.select("rep", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), lacking)).alias("at", "x")).filter("x.df > 1")
     rare = stored(rare.select("rep", "component", "n", "at", F.col("x.shingle").alias("shingle")), "rare")
     joins = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_key")).filter("lo < hi").select("shingle", "n_key")
-    # Sets of the wanted similarity have sizes of the same class or of neighbouring ones, so classes part a shingle's rows too.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n").cast("long")
-    rare = rare.join(joins, "shingle").withColumn("class", size_class)
-    x, y = _salted(rare, rare.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))), "shingle")
-    x = x.select("shingle", "class", "salt", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("at")).alias("left_a"))
-    y = y.select("shingle", "class", "salt", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("at")).alias("left_b"))
+    # Stored, so that both sides of the join stand alone behind their exchanges and Spark may split the rows of a frequent shingle.
+    rare = stored(join_keys(rare, joins, ["shingle"], "n_key"), "rare")
+    x = rare.select("shingle", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"), (F.col("n") - F.col("at")).alias("left_a"))
+    y = rare.select("shingle", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), (F.col("n") - F.col("at")).alias("left_b"))
     can = (F.col("of_a") < F.col("of_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return x.join(y, ["shingle", "class", "salt"]).filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return x.join(y, "shingle").filter(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, STEP_BYTES, U64, drop_stored, gram_hashes, lean, mix, powers, records, released, steps, stored, utf8
+from .common import BASE, BYTE_CODE, STEP_BYTES, U64, drop_stored, gram_hashes, join_keys, lean, mix, powers, records, released, steps, stored, utf8
 from .winnow import _sliding_min
 
 LENGTH, GRAM, HOT = 200, 64, 1024
@@ -42,8 +42,6 @@ LENGTH, GRAM, HOT = 200, 64, 1024
 INDEX_BYTES = 1 << 20
 #: As in minhash: most document keys (16 bytes each) that are sent to all executors as a filter.
 BROADCAST_IDS = 500_000
-#: Rows that make a key of a join frequent, and most frequent keys (at most 24 bytes each) that are sent to all executors.
-FREQUENT, BROADCAST_KEYS = 1024, 200_000
 KEY = ["doc_id", "digest"]
 RUN = "gram long, span long, first int, windows int, offset int"
 
@@ -271,24 +269,6 @@ def _finish(batches):
         yield records(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in schema.names}, schema)
 
 
-def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join of a stored table with unique keys, ``weight`` being how many rows each has.
-
-    Frequent keys (``FREQUENT`` rows, or more where too many keys have that) go to all executors, so
-    their rows stay where they are; the others meet in a shuffle, where no key is frequent.
-    """
-    reach = np.zeros(64, np.int64)
-    for r in keys.filter(F.col(weight) >= FREQUENT).groupBy(F.floor(F.log2(weight) + 1e-9).cast("int").alias("p")).count().collect():
-        reach[r.p] = r["count"]
-    if not reach.any():
-        return rows.join(keys, on)
-    above = np.cumsum(reach[::-1])[::-1]
-    least = max(FREQUENT, 1 << int(np.argmax(above <= BROADCAST_KEYS)))
-    hot, cold = keys.filter(F.col(weight) >= least), keys.filter(F.col(weight) < least)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
-    return rows.join(F.broadcast(hot), on).unionByName(rest)
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, first, windows): all windows of ``docs`` (doc_id, digest, text) that repeat, as runs."""
     made = stored(docs.filter(F.octet_length("text") >= LENGTH).select(*KEY, "text").mapInArrow(released(_runs), f"doc_id long, digest long, runs array<struct<{RUN.replace(' ', ':')}>>".replace(",:", ", ")), "runs")

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gradeloom.llm import hmm, langid, leaks, pieces, suffix, tokenfiles, winnow
+from gradeloom.llm import common, hmm, langid, leaks, pieces, suffix, tokenfiles, winnow
 
 WORDS = {"en": "the and that with from this have which their would about there".split(), "de": "und der die das nicht mit sich auch eine werden über für".split(), "fr": "les des une dans pour qui sur avec pas être à où".split()}
 ODD = [(900, None), (901, ""), (902, " \n "), (903, "7 8 9 --- !!"), (None, "no id here"), (904, "a"), (905, "same text twice in two rows"), (905, "same text twice in two rows"), (906, "日本語 ünïcode 😀 " * 5)]
@@ -236,7 +236,7 @@ def test_token_counts(spark, tmp_path):
 def test_hot_keys_are_split_without_loss(spark, monkeypatch, hot, frequent):
     """A line that all documents hold, shared stretches of many lengths around it: as brute force finds them."""
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "FREQUENT", frequent)
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     rng = random.Random(17)
     line = "".join(rng.choice("abcdefgh ") for _ in range(130))
     left, right = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(2))
