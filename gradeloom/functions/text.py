@@ -159,8 +159,8 @@ def marks_value(marks: Column) -> Column:
 
 
 def marks_text(x: Column, places: int = 2) -> Column:
-    """Marks without trailing zeros."""
-    return F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"\.?0+$", "")
+    """Marks without trailing zeros, half to even."""
+    return F.regexp_replace(F.format_string(f"%.{places}f", F.bround(x.cast("double"), places)), r"\.?0+$", "")
 
 
 def page_list(text: Column) -> Column:

@@ -54,6 +54,18 @@ def audited_score(sections: DataFrame, caps: DataFrame) -> DataFrame:
     return sections.groupBy("submission_id").agg(F.sum("marks_awarded").alias("s")).join(caps, "submission_id", "left").select("submission_id", X.half(F.least("s", F.coalesce("cap", "s"))).alias("score"))
 
 
+def trusted_sections(leaves: DataFrame, trust: float = 0.75) -> DataFrame:
+    """(submission_id, parent_section, section_marks, section_cap, trusted): whether the judge gave a capped section ``trust`` of its cap; leaves as in ``sections``."""
+    own = leaves.filter("parent_section is not null and section_cap is not null").groupBy("submission_id", "parent_section").agg(F.sum("marks_awarded").alias("section_marks"), F.max("section_cap").alias("section_cap"))
+    return own.withColumn("trusted", (F.col("section_cap") > 0) & (F.col("section_marks") >= trust * F.col("section_cap")))
+
+
+def with_leaf(items: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Holistic items (submission_id, model_answer_id, sub_question, ...) with their leaf's section, cap and maximum; unknown leaves keep nulls."""
+    meta = leaves.select("model_answer_id", "sub_question", F.col("max_marks").alias("leaf_max"), "section_cap", *(c for c in ("parent_section",) if c in leaves.columns))
+    return items.join(meta, ["model_answer_id", "sub_question"], "left")
+
+
 def best_sentences(scripts: DataFrame, criteria: DataFrame) -> DataFrame:
     """For each criterion (submission_id, criterion_pos, keywords) the sentence of its script with the highest share of keywords.
 

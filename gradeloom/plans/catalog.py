@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain_queries, function_queries, guard_queries, more_queries, queries as first, set_queries  # noqa: F401  they register themselves
+from . import chain_queries, domain_queries, function_queries, guard_queries, more_queries, queries as first, set_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

@@ -19,13 +19,55 @@ def submissions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(good).select("doc.*", "source_filename", "extracted_at"), parsed.filter(~good).select("value", "source_filename")
 
 
+def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of rows with a JSON ``value``: the submission's own keys as columns, unknown ones and nulls dropped; rows that do not parse or have no parts are bad."""
+    doc = lines.withColumn("doc", F.from_json("value", SUBMISSION))
+    good, bad = quarantine(doc, F.size("doc.sub_parts") >= 1)
+    return good.select(*(c for c in lines.columns if c != "value"), "doc.*"), bad.drop("doc")
+
+
 def judged(raw: DataFrame) -> DataFrame:
-    """Rows of the judge's answers (submission_id, response): JSON isolated from chat, null where there is none."""
-    doc = raw.withColumn("doc", F.from_json(X.isolate_json(F.col("response")), NUMERICAL))
+    """Rows of the judge's answers (submission_id, response): JSON isolated from chat, also where its grades are a string of JSON; none where there is none."""
+    said = X.isolate_json(F.col("response"))
+    whole = F.from_json(said, NUMERICAL)
+    inner = F.from_json(F.concat(F.lit('{"grades":'), F.get_json_object(said, "$.grades"), F.lit("}")), NUMERICAL)
+    doc = raw.withColumn("doc", F.coalesce(F.when(F.size(whole["grades"]) >= 1, whole), inner))
     grade = doc.select("submission_id", F.explode("doc.grades").alias("g"))
     return grade.select("submission_id", "g.question_number", F.posexplode("g.breakdown").alias("item_pos", "b")).select("submission_id", "question_number", "item_pos", "b.criterion_id", "b.criterion", "b.marks_awarded", "b.max_possible", "b.reason", X.evidence_list(F.col("b.evidence")).alias("evidence"), "b.column_header")
 
 
+def pruned(df: DataFrame, keys: list[str]) -> DataFrame:
+    """S3: the columns of an allow-list that the table has, so that the scan reads no others."""
+    return df.select(*(k for k in keys if k in df.columns))
+
+
+def lookup(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` with the row of ``df`` that has their key; keys that ``df`` lacks, and null ones, find nothing."""
+    return wanted.join(df, key)
+
+
+def load(jobs: DataFrame, students: DataFrame, models: DataFrame, grades: DataFrame | None = None) -> DataFrame:
+    """Jobs (submission_id, model_answer_id, grade_id) with their three documents; a job whose student's document is missing fails the query."""
+    found = jobs.join(students.withColumn("_student", F.lit(True)), "submission_id", "left")
+    found = found.withColumn("_checked", F.assert_true(F.col("_student").isNotNull(), F.concat(F.lit("no student document "), F.coalesce(F.col("submission_id").cast("string"), F.lit("null")))))
+    found = found.filter(F.col("_checked").isNull()).drop("_student", "_checked").join(models, "model_answer_id", "left")
+    return found if grades is None else found.join(grades, "grade_id", "left")
+
+
+def question_block(parts: DataFrame, question: str) -> DataFrame:
+    """The parts of one question: from a label with its number on, up to one with another; parts before any number belong to it."""
+    number = F.nullif(F.regexp_extract("label", "([0-9]+)", 1), F.lit(""))
+    before = Window.partitionBy("submission_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("_q", F.coalesce(F.last(number, ignorenulls=True).over(before), F.lit(question))).filter(F.col("_q") == question).drop("_q")
+
+
+def saved(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Rows appended to a table with an id made of their key and content; returns (key, id)."""
+    made = df.withColumn("id", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    made.write.mode("append").parquet(path)
+    return made.select(key, "id")
+
+
 def letter_labels(parts: DataFrame, question: str) -> DataFrame:
     """Lone letters take the number before them, "4.2" then "A)" is "4.2(A)"; before any number they take "<question>.1".
 
