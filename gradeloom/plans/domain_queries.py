@@ -37,23 +37,6 @@ def d01_row_guard_chain(spark, sf_dir):
     return out.select("submission_id", "criterion_id", "marks_awarded", F.array_join(F.transform("audit", lambda a: a["guard"]), ",").alias("guards"))
 
 
-@query()
-def d02_arithmetic(spark, sf_dir):
-    """Values of "quantity x size / line number" written as text, for every judged row."""
-    li = table(spark, sf_dir, "lineitem")
-    said = F.concat(F.lit("("), F.format_number("l_quantity", 0), F.lit(" x £"), F.floor("l_extendedprice"), F.lit(") / "), F.col("l_linenumber"))
-    return li.select("l_orderkey", "l_linenumber", said.alias("said"), arithmetic.value_of(said).alias("value"))
-
-
-@query()
-def d03_subset_recovery(spark, sf_dir):
-    """Lines of an order as producers of whole-pound figures, looked for in a text that states the order's smaller sums."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.floor(F.col("l_extendedprice") / 100)).alias("figure"))
-    rows = li.select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("item_pos"), F.concat(F.lit("line "), F.col("l_linenumber")).alias("criterion"), F.lit(0.0).alias("marks_awarded"), F.lit(1.0).alias("max_possible"), F.lit("OF1").alias("of_component_of"), F.col("figure").alias("of_produces"), F.lit(False).alias("blocked"))
-    text = li.groupBy(F.col("l_orderkey").alias("submission_id")).agg(F.concat_ws(" ", F.min("figure"), F.max("figure"), F.sum(F.when(F.col("l_linenumber") <= 2, F.col("figure")))).alias("text"))
-    return recovery.recover(rows, text).select("submission_id", "item_pos", "marks_awarded", "recovered")
-
-
 @query()
 def d04_evidence_lines(spark, sf_dir):
     """L2 on every script: the line that its second sentence stands in."""

@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .queries import _NUMBERS_SQL, _SENTENCES_SQL, _TOKENS_SQL, MARKS_SQL, _marks, query, table
-
-
-@query(f"""
-WITH k AS (SELECT item_id, unnest(list_distinct({_TOKENS_SQL.format(c='text', n=8)})) AS w FROM benchmark),
-n AS (SELECT item_id, count(*) AS total FROM k GROUP BY item_id),
-s AS (SELECT doc_id, i, unnest(list_distinct({_TOKENS_SQL.format(c='s', n=8)})) AS w FROM (SELECT doc_id, ss[i] AS s, i FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES_SQL.format(c='text')} AS ss FROM documents)))),
-m AS (SELECT item_id, doc_id, i, count(*) AS matched FROM k JOIN s USING (w) GROUP BY 1, 2, 3)
-SELECT item_id, doc_id, CAST(i - 1 AS BIGINT) AS sentence, matched, total FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id, i) AS r FROM m) JOIN n USING (item_id) WHERE r = 1
-""")
-def q24_keyword_score(spark, sf_dir):
-    k = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"), 8)).alias("ws"))
-    total = k.select("item_id", F.size("ws").cast("long").alias("total"))
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "s")).select("doc_id", "i", F.explode(F.array_distinct(X.tokens(F.col("s"), 8))).alias("w"))
-    m = k.select("item_id", F.explode("ws").alias("w")).join(s, "w").groupBy("item_id", "doc_id", "i").agg(F.count("*").alias("matched"))
-    best = m.groupBy("item_id").agg(F.max(F.struct("matched", (-F.col("doc_id")).alias("d"), (-F.col("i")).alias("i"))).alias("x"))
-    return best.join(total, "item_id").select("item_id", (-F.col("x.d")).alias("doc_id"), (-F.col("x.i")).cast("long").alias("sentence"), "x.matched", "total")
+from .queries import MARKS_SQL, _marks, query, table
 
 
 @query(r"""
@@ -34,21 +17,9 @@ def q25_prose_density(spark, sf_dir):
     return d.select("doc_id", F.length(F.regexp_replace("text", "[^0-9]", "")).cast("long").alias("digits"), F.length(F.regexp_replace("text", r"[ \t\n\r]", "")).cast("long").alias("solid"), X.is_prose(F.col("text")).alias("is_prose"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, ls[i] AS line, i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(ls[i], '|')),
-c AS (SELECT doc_id, i, list_transform(string_split(line, '|'), lambda x: trim(x)) AS cells FROM l)
-SELECT doc_id, CAST(i - 1 AS BIGINT) AS line, CAST(len(cells) AS BIGINT) AS n_cells, cells[1] AS first_cell, CAST(coalesce(list_position(list_transform(cells, lambda x: regexp_matches(x, '[0-9]')), true), 0) AS BIGINT) AS figure_at FROM c
-""")
-def q26_table_cells(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("|"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x")).filter(F.contains("x", F.lit("|")))
-    cells = lines.withColumn("cells", F.transform(F.split("x", r"\|"), lambda c: F.trim(c)))
-    figure = F.array_position(F.transform("cells", lambda c: c.rlike("[0-9]")), True)
-    return cells.select("doc_id", F.col("line").cast("long").alias("line"), F.size("cells").cast("long").alias("n_cells"), F.get("cells", 0).alias("first_cell"), figure.alias("figure_at"))
-
-
 @query("""
 WITH v AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_quantity AS BIGINT)))) AS vs, max(CAST(l_quantity AS BIGINT)) + min(CAST(l_quantity AS BIGINT)) AS target FROM lineitem GROUP BY l_orderkey),
-s AS (SELECT l_orderkey, target, vs, list_transform(range(1, CAST(pow(2, least(len(vs), 12)) AS BIGINT)), lambda m: list_sum(list_transform(range(0, least(len(vs), 12)), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN vs[i + 1] ELSE 0 END))) AS sums FROM v)
+s AS (SELECT l_orderkey, target, vs, CASE WHEN len(vs) > 12 THEN vs ELSE list_transform(range(1, CAST(pow(2, least(len(vs), 12)) AS BIGINT)), lambda m: list_sum(list_transform(range(0, len(vs)), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN vs[i + 1] ELSE 0 END))) END AS sums FROM v)
 SELECT l_orderkey, len(vs) AS n, CAST(target AS BIGINT) AS target, len(list_filter(sums, lambda x: x = target)) AS subsets FROM s
 """)
 def q27_subset_sums(spark, sf_dir):
@@ -56,7 +27,7 @@ def q27_subset_sums(spark, sf_dir):
 
     q = F.col("l_quantity").cast("long")
     v = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(q)).alias("vs"), (F.max(q) + F.min(q)).alias("target"))
-    hits = F.filter(subset_sums(F.slice("vs", 1, 12)), lambda x: x == F.col("target"))
+    hits = F.filter(subset_sums(F.col("vs")), lambda x: x == F.col("target"))
     return v.select("l_orderkey", F.size("vs").cast("long").alias("n"), "target", F.size(hits).cast("long").alias("subsets"))
 
 
@@ -72,25 +43,6 @@ def q28_running_cap(spark, sf_dir):
     return running_cap(p, ["l_orderkey"], ["l_linenumber"], "marks", 1.5).select("l_orderkey", "l_linenumber", "marks", "awarded")
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'N' THEN 1000000 ELSE l_linenumber END, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rubric_rank FROM lineitem
-""")
-def q29_rubric_order(spark, sf_dir):
-    position = F.coalesce(F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")), F.lit(1_000_000))
-    order = Window.partitionBy("l_orderkey").orderBy(position, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.row_number().over(order).cast("long").alias("rubric_rank"))
-
-
-@query("""
-WITH b AS (SELECT conv_id, turn, length(text) AS n, last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM conversations)
-SELECT conv_id, block, count(*) AS parts, CAST(sum(n) AS BIGINT) AS chars FROM b WHERE block = 'user' GROUP BY conv_id, block
-""")
-def q30_last_ffill_qid(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    b = table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("n"), F.last(F.when(F.col("role") != "assistant", F.col("role")), ignorenulls=True).over(w).alias("block"))
-    return b.filter("block = 'user'").groupBy("conv_id", "block").agg(F.count("*").alias("parts"), F.sum("n").alias("chars"))
-
-
 _MESSAGES = [("error", "Error 429: insufficient_quota"), ("view", "Connection timed out"), ("click", "401 invalid_api_key"), ("signup", "no such file"), ("purchase", "mongo server said no")]
 
 
@@ -105,38 +57,6 @@ def q31_error_classify(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.error_class(F.concat_ws(" ", said[F.col("event_type")], "props")).alias("kind"))
 
 
-@query(f"""
-WITH n AS (SELECT doc_id, n_chars, list_filter(list_transform({_NUMBERS_SQL.format(c='text')}, lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x > 0 AND x <= 100) AS ns FROM documents)
-SELECT doc_id, coalesce(list_max(ns), CAST(n_chars AS DOUBLE)) AS max_marks FROM n
-""")
-def q32_max_marks_resolve(spark, sf_dir):
-    ns = F.filter(F.transform(X.numbers(F.col("text")), lambda x: x.try_cast("double")), lambda x: (x > 0) & (x <= 100))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.array_max(ns), F.col("n_chars").cast("double")).alias("max_marks"))
-
-
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {MARKS_SQL} AS marks FROM lineitem WHERE {MARKS_SQL} > 0 OR l_linestatus = 'F'")
-def q33_display_filter(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").withColumn("marks", _marks()).filter((F.col("marks") > 0) | (F.col("l_linestatus") == "F")).select("l_orderkey", "l_linenumber", "l_partkey", "marks")
-
-
-@query(f"""
-SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE {MARKS_SQL} > 0) AS placed, count(*) FILTER (WHERE {MARKS_SQL} > 0) / greatest(count(*), 1) AS rate FROM lineitem GROUP BY l_suppkey
-""")
-def q34_summary_rate(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(_marks() > 0).alias("placed"))
-    return g.withColumn("rate", F.col("placed") / F.greatest("total", F.lit(1)))
-
-
-@query(r"""
-SELECT conv_id, turn, md5(trim(regexp_extract(text, '^([^.]*)\.', 1))) AS anchor, md5(CASE WHEN contains(text, '.') THEN trim(regexp_extract(text, '(?s)^[^.]*\. *(.*)$', 1)) ELSE trim(text) END) AS note FROM conversations
-""")
-def q35_comment_split(spark, sf_dir):
-    has = F.contains("text", F.lit("."))
-    anchor = F.trim(F.regexp_extract("text", r"^([^.]*)\.", 1))
-    note = F.when(has, F.trim(F.regexp_extract("text", r"(?s)^[^.]*\. *(.*)$", 1))).otherwise(F.trim("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(anchor).alias("anchor"), F.md5(note).alias("note"))
-
-
 @query(r"""
 WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark)
 SELECT item_id, i AS at, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
@@ -146,39 +66,6 @@ def q36_ngrams(spark, sf_dir):
     return w.select("item_id", F.posexplode(X.ngrams(F.col("ws"), 5)).alias("i", "gram")).select("item_id", (F.col("i") + 1).cast("long").alias("at"), "gram")
 
 
-@query(f"""
-WITH r AS (SELECT l_orderkey, l_suppkey % 3 AS aggregate, l_linenumber, {MARKS_SQL} AS marks FROM lineitem)
-SELECT l_orderkey, aggregate, min(l_linenumber) AS position, sum(marks) AS marks, count(*) AS components FROM r WHERE marks > 0 GROUP BY 1, 2 HAVING count(*) >= 2
-""")
-def q37_merge_components(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("aggregate"), "l_linenumber", _marks().alias("marks")).filter("marks > 0")
-    return r.groupBy("l_orderkey", "aggregate").agg(F.min("l_linenumber").alias("position"), F.sum("marks").alias("marks"), F.count("*").alias("components")).filter("components >= 2")
-
-
-@query(f"""
-WITH r AS (SELECT l_orderkey, l_linenumber, max(l_suppkey % 2) AS part, sum({MARKS_SQL}) AS marks FROM lineitem GROUP BY 1, 2)
-SELECT z.l_orderkey, z.l_linenumber, count(*) AS siblings, max(s.marks) AS restored FROM r z JOIN r s ON z.l_orderkey = s.l_orderkey AND z.part <> s.part AND s.marks > 0 WHERE z.marks = 0 GROUP BY 1, 2
-""")
-def q38_cross_context_restore(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_suppkey") % 2).alias("part"), F.sum(_marks()).alias("marks"))
-    s = r.filter("marks > 0").select("l_orderkey", F.col("part").alias("other"), F.col("marks").alias("given"))
-    return r.filter("marks = 0").join(s, "l_orderkey").filter("part <> other").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("siblings"), F.max("given").alias("restored"))
-
-
-@query("""
-WITH t AS (SELECT p_brand, p_partkey, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) AS ws FROM part)
-SELECT p_brand, count(*) AS pairs, CAST(sum(len(list_filter(a_ws, lambda w: NOT list_contains(b_ws, w)))) AS BIGINT) AS own_words FROM (
-  SELECT a.p_brand, a.ws AS a_ws, b.ws AS b_ws FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) GROUP BY p_brand
-""")
-def q39_focus_mismatch(spark, sf_dir):
-    # Over all pairs of a brand, each word of a row counts once for every other row that lacks it: no pairs are needed.
-    t = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{3,}"), F.lit(0))).alias("ws"))
-    n = t.groupBy("p_brand").agg(F.count("*").alias("n"))
-    has = t.select("p_brand", F.explode("ws").alias("w")).groupBy("p_brand", "w").agg(F.count("*").alias("h"))
-    own = has.join(n, "p_brand").groupBy("p_brand").agg(F.sum(F.col("h") * (F.col("n") - F.col("h"))).alias("own_words"))
-    return n.join(own, "p_brand", "left").filter("n > 1").select("p_brand", (F.col("n") * (F.col("n") - 1)).alias("pairs"), F.coalesce("own_words", F.lit(0)).alias("own_words"))
-
-
 @query(r"""
 SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
   '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS t FROM pages)
@@ -204,11 +91,3 @@ def q42_page_list(spark, sf_dir):
     e = F.col("event_id")
     pages = X.page_list(F.concat_ws(",", e % 9 + 1, F.concat_ws("-", e % 4 + 1, e % 4 + 1 + e % 3), F.lit("x")))
     return table(spark, sf_dir, "events").select("event_id", F.get(pages, 0).alias("first_page"), F.size(pages).cast("long").alias("n_pages"))
-
-
-@query(f"""
-SELECT question_id, title, coalesce(nullif(max_marks, 0), total_marks) AS marks FROM (SELECT p_partkey AS question_id, coalesce(nullif(p_name, ''), 'Untitled') AS title, p_size % 5 AS max_marks, p_size AS total_marks FROM part)
-""")
-def q43_question_list(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("question_id"), F.coalesce(F.nullif("p_name", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif(F.col("p_size") % 5, F.lit(0)), "p_size").alias("marks"))

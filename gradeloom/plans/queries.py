@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -58,66 +58,6 @@ def q02_report_total_rows(spark, sf_dir):
     return sets.select("l_orderkey", F.when(total, "TOTAL").otherwise(F.concat(F.lit("line "), F.col("l_linenumber"))).alias("item"), F.when(total, F.least(X.half_up(F.col("s")), F.lit(7.0))).otherwise(F.col("s")).alias("marks"))
 
 
-@query(f"""
-SELECT l_orderkey, l_returnflag, round_even(least(sum({MARKS_SQL}), 2.0) / 0.5, 0) * 0.5 AS section_marks, count(*) AS leaves
-FROM lineitem GROUP BY l_orderkey, l_returnflag
-""")
-def q03_section_cap(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(X.half(F.least(F.sum(_marks()), F.lit(2.0))).alias("section_marks"), F.count("*").alias("leaves"))
-
-
-@query(f"""
-SELECT l_orderkey AS orderkey, sum({MARKS_SQL}) AS marks, 'assessed' AS reason FROM lineitem GROUP BY l_orderkey
-UNION ALL SELECT o_orderkey, 0.0, 'NOT ASSESSED' FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
-""")
-def q04_completeness(spark, sf_dir):
-    judged = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.sum(_marks()).alias("marks"))
-    missing = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey")).join(judged, "orderkey", "left_anti")
-    return judged.withColumn("reason", F.lit("assessed")).unionByName(missing.select("orderkey", F.lit(0.0).alias("marks"), F.lit("NOT ASSESSED").alias("reason")))
-
-
-@query("""
-SELECT min(p_partkey) AS p_partkey, lower(trim(p_name)) AS key, max(p_retailprice) AS marks, count(*) AS copies FROM part GROUP BY lower(trim(p_name))
-""")
-def q05_criteria_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_name")).alias("key")).agg(F.min("p_partkey").alias("p_partkey"), F.max("p_retailprice").alias("marks"), F.count("*").alias("copies")).select("p_partkey", "key", "marks", "copies")
-
-
-@query(f"""
-WITH p AS (SELECT l_orderkey, l_linenumber, sum({MARKS_SQL}) AS marks FROM lineitem GROUP BY 1, 2),
-w AS (SELECT *, sum(CASE WHEN marks <= 0.5 THEN marks ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)
-  - CASE WHEN marks <= 0.5 THEN marks ELSE 0 END AS micro FROM p)
-SELECT l_orderkey, l_linenumber, CASE WHEN marks >= 1 AND micro < 0.8 * marks THEN 0.0 ELSE marks END AS marks, micro FROM w
-""")
-def q06_broad_gating(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(_marks()).alias("marks"))
-    small = F.when(F.col("marks") <= 0.5, F.col("marks")).otherwise(0.0)
-    near = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(-2, 2)
-    w = p.withColumn("micro", F.sum(small).over(near) - small)
-    return w.select("l_orderkey", "l_linenumber", F.when((F.col("marks") >= 1) & (F.col("micro") < 0.8 * F.col("marks")), 0.0).otherwise(F.col("marks")).alias("marks"), "micro")
-
-
-@query("""
-WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
-w AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS located FROM c)
-SELECT l_suppkey, l_returnflag, n, located, located >= 3 AND 2 * n > located AS is_home FROM w
-""")
-def q07_majority_home(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
-    located = F.sum("n").over(Window.partitionBy("l_suppkey"))
-    return c.withColumn("located", located).withColumn("is_home", (F.col("located") >= 3) & (2 * F.col("n") > F.col("located"))).select("l_suppkey", "l_returnflag", "n", "located", "is_home")
-
-
-@query(f"""
-SELECT l_orderkey, l_returnflag, marks, l_extendedprice, l_partkey FROM (
-  SELECT *, {MARKS_SQL} AS marks, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY {MARKS_SQL} DESC, l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r = 1
-""")
-def q08_keeper_rank(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("marks", _marks())
-    order = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(F.desc("marks"), F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
-    return rows.withColumn("r", F.row_number().over(order)).filter("r = 1").select("l_orderkey", "l_returnflag", "marks", "l_extendedprice", "l_partkey")
-
-
 def _norm_sql(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(translate({c}, '{X.NBSP}{X.TIMES}{X.EN_DASH}', ' x-')), '[^a-z0-9%/().,\- ]', ' ', 'g'), ' +', ' ', 'g'))"
 
@@ -126,6 +66,10 @@ def _runs(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(X.ngrams(words, n), lambda g: F.xxhash64(g)))
 
 
+#: Most short texts whose runs (16 bytes each) are sent to all executors.
+BROADCAST_TEXTS = 500_000
+
+
 def contained(long: DataFrame, short: DataFrame, by: list[str]) -> DataFrame:
     """Pairs (long_id, short_id, both texts) whose ``short_norm`` is part of ``long_norm``.
 
@@ -136,8 +80,11 @@ def contained(long: DataFrame, short: DataFrame, by: list[str]) -> DataFrame:
     words = F.split("short_norm", " ")
     middle = X.let(words, lambda w: F.when(F.size(w) >= 6, F.xxhash64(F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int") - 1, 4), " "))))
     keyed = short.select(*by, "short_id", middle.alias("run"))
+    # A query set of this size goes to the rows, so that the runs of the long texts stay where they are.
+    keyed = keyed.filter("run is not null")
+    keyed = F.broadcast(keyed) if short.count() <= BROADCAST_TEXTS else keyed
     runs = long.select(*by, "long_id", F.explode(_runs(F.split("long_norm", " "), 4)).alias("run"))
-    met = runs.join(keyed.filter("run is not null"), [*by, "run"]).select("long_id", "short_id").distinct()
+    met = runs.join(keyed, [*by, "run"]).select("long_id", "short_id").distinct()
     met = met.join(long.drop(*by), "long_id").join(short.drop(*by), "short_id").filter(F.contains("long_norm", "short_norm"))
     bare = short.filter(F.size(words) < 6)
     rest = long.join(bare, by).filter(F.contains("long_norm", "short_norm")) if by else long.join(bare, F.contains("long_norm", "short_norm"))
@@ -158,31 +105,6 @@ def q09_evidence_presence(spark, sf_dir):
 _SENTENCES_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace({c}, '([.!?])[ \t\n\r]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
 
 
-@query(f"""
-WITH s AS (SELECT doc_id, {_norm_sql('s')} AS key FROM (SELECT doc_id, unnest({_SENTENCES_SQL.format(c='text')}) AS s FROM documents)),
-b AS (SELECT DISTINCT {_norm_sql('s')} AS key FROM (SELECT unnest({_SENTENCES_SQL.format(c='text')}) AS s FROM benchmark)),
-n AS (SELECT doc_id, key FROM s WHERE length(key) >= 12)
-SELECT doc_id, count(*) AS sentences, count(b.key) AS tainted FROM n LEFT JOIN b USING (key) GROUP BY doc_id
-""")
-def q10_taint(spark, sf_dir):
-    def keys(name, *cols):
-        return table(spark, sf_dir, name).select(*cols, F.explode(X.sentences(F.col("text"))).alias("s")).select(*cols, X.evidence_norm(F.col("s")).alias("key"))
-
-    known = keys("benchmark").distinct().withColumn("hit", F.lit(True))
-    return keys("documents", "doc_id").filter("length(key) >= 12").join(known, "key", "left").groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count("hit").alias("tainted"))
-
-
-@query(r"""
-WITH l AS (SELECT doc_id, ls[i] AS line, i AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-s AS (SELECT doc_id, line, sum(CASE WHEN regexp_matches(line, '[^.]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l)
-SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM s GROUP BY doc_id, section
-""")
-def q11_section_split(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    running = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.sum(F.when(F.col("line").rlike("[^.]$"), 1).otherwise(0)).over(running)).groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
-
-
 @query(f"""
 WITH s AS (SELECT doc_id, {_SENTENCES_SQL.format(c='text')} AS ss FROM documents)
 SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS BIGINT) AS longest FROM s
@@ -233,17 +155,6 @@ def q14_value_variants(spark, sf_dir):
 _NUMBERS_SQL = r"list_transform(regexp_extract_all({c}, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda n: replace(n, ',', ''))"
 
 
-@query(f"""
-WITH v AS (SELECT size, unnest({_VARIANTS_SQL}) AS n FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS size, CAST(p_size AS BIGINT) AS v FROM part)),
-d AS (SELECT doc_id, unnest(list_distinct({_NUMBERS_SQL.format(c='text')})) AS n FROM documents)
-SELECT size, count(DISTINCT doc_id) AS n_docs FROM v JOIN d USING (n) GROUP BY size
-""")
-def q15_value_in_text(spark, sf_dir):
-    v = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("size")).distinct().select("size", F.explode(X.value_variants(F.col("size"))).alias("n"))
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]")).select("doc_id", F.explode(F.array_distinct(X.numbers(F.col("text")))).alias("n"))
-    return v.join(d, "n").select("size", "doc_id").distinct().groupBy("size").agg(F.count("*").alias("n_docs"))
-
-
 @query(f"""
 SELECT doc_id, n AS number, count(*) AS times FROM (SELECT doc_id, unnest({_NUMBERS_SQL.format(c='text')}) AS n FROM documents) WHERE length(regexp_replace(n, '[^0-9]', '', 'g')) >= 2 GROUP BY doc_id, n
 """)
@@ -252,78 +163,9 @@ def q16_numbers_extract(spark, sf_dir):
     return d.filter(F.length(F.regexp_replace("number", "[^0-9]", "")) >= 2).groupBy("doc_id", "number").agg(F.count("*").alias("times"))
 
 
-@query(rf"""
-WITH a AS (SELECT doc_id, lower(translate(text, '{X.NBSP}{X.EN_DASH}{X.EM_DASH}−', ' ---')) AS x FROM documents),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '[£$€]|\bgbp\b|\busd\b', '', 'g'), '\(([0-9][0-9.,]*)\)', '-\1', 'g'), '([0-9]) ?(?:million|mn)\b', '\1m', 'g') AS x FROM a)
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(x, '[(),;:]', ' ', 'g'), '[ \t\n]+', ' ', 'g'))) AS digest FROM b WHERE NOT regexp_matches(x, '[0-9][, ][0-9]')
-""")
-def q17_symbol_norm(spark, sf_dir):
-    # Texts whose digit groups stand apart are left to unit tests: the comparison SQL has no look-ahead.
-    plain = F.lower(F.translate("text", X.NBSP + X.EN_DASH + X.EM_DASH + "−", " ---"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[£$€]|\bgbp\b|\busd\b", ""), r"\(([0-9][0-9.,]*)\)", "-$1"), r"([0-9]) ?(?:million|mn)\b", "$1m")
-    return table(spark, sf_dir, "documents").filter(~plain.rlike("[0-9][, ][0-9]")).select("doc_id", F.md5(X.symbol_norm(F.col("text"))).alias("digest"))
-
-
 @query(r"""
 SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
   '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' {3,}', '  ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g') AS t FROM documents)
 """)
 def q18_clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
-
-
-@query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations
-""")
-def q19_forward_fill_labels(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("label"))
-
-
-@query("""
-SELECT conv_id, md5(string_agg('--- ' || turn || ' ---' || chr(10) || text, chr(10) ORDER BY turn, role, text)) AS digest, count(*) AS parts FROM conversations GROUP BY conv_id
-""")
-def q20_ordered_flatten(spark, sf_dir):
-    part = F.concat(F.lit("--- "), F.col("turn"), F.lit(" ---\n"), F.col("text"))
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", part.alias("part")))).alias("parts"))
-    return c.select("conv_id", F.md5(F.array_join("parts.part", "\n")).alias("digest"), F.size("parts").cast("long").alias("parts"))
-
-
-@query(f"""
-WITH j AS (SELECT DISTINCT {_norm_sql('line')} AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)),
-c AS (SELECT item_id, {_norm_sql('text')} AS m FROM benchmark),
-x AS (SELECT n, item_id, CASE WHEN n = m THEN 1 WHEN starts_with(m, n) OR starts_with(n, m) THEN 2 ELSE 3 END AS tier, abs(length(n) - length(m)) AS gap
-  FROM j JOIN c ON left(n, 20) = left(m, 20) WHERE length(n) >= 20 AND length(m) >= 20 AND (starts_with(m, n) OR starts_with(n, m) OR (length(n) >= 40 AND length(m) >= 40 AND left(n, 40) = left(m, 40))))
-SELECT md5(n) AS item, item_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY tier, gap, item_id) AS r FROM x) WHERE r = 1
-""")
-def q21_prefix_resolution(spark, sf_dir):
-    from ..operators.resolve import resolve_text
-
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(X.evidence_norm(F.col("line")).alias("item_norm")).distinct()
-    criteria = table(spark, sf_dir, "benchmark").select("item_id", X.evidence_norm(F.col("text")).alias("criterion_norm"), F.col("item_id").alias("position"))
-    return resolve_text(lines, criteria, ["item_norm"]).select(F.md5("item_norm").alias("item"), "item_id", "tier")
-
-
-@query(f"""
-WITH b AS (SELECT DISTINCT {_norm_sql('s')} AS key FROM (SELECT unnest({_SENTENCES_SQL.format(c='text')}) AS s FROM benchmark)),
-d AS (SELECT doc_id, {_norm_sql('s')} AS key, i FROM (SELECT doc_id, ss[i] AS s, i FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES_SQL.format(c='text')} AS ss FROM documents)))),
-h AS (SELECT doc_id, key, i, count(*) OVER (PARTITION BY doc_id, key) AS n FROM d JOIN b USING (key) WHERE length(key) >= 8)
-SELECT doc_id, md5(key) AS evidence, CAST(i - 1 AS BIGINT) AS section FROM h WHERE n = 1
-""")
-def q22_locate_unique_section(spark, sf_dir):
-    keys = table(spark, sf_dir, "benchmark").select(F.explode(X.sentences(F.col("text"))).alias("s")).select(X.evidence_norm(F.col("s")).alias("key")).distinct()
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "s")).select("doc_id", "i", X.evidence_norm(F.col("s")).alias("key"))
-    one = d.filter("length(key) >= 8").join(keys, "key").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("i").alias("i")).filter("n = 1")
-    return one.select("doc_id", F.md5("key").alias("evidence"), F.col("i").cast("long").alias("section"))
-
-
-@query(f"""
-WITH d AS (SELECT doc_id, source, {_norm_sql('text')} AS t FROM documents)
-SELECT a.doc_id AS short_id, b.doc_id AS long_id FROM d a JOIN d b ON a.source = b.source AND contains(b.t, a.t) AND length(b.t) > length(a.t) AND length(b.t) <= 4 * length(a.t) WHERE len(string_split(a.t, ' ')) >= 6 AND length(a.t) >= 12
-""")
-def q23_dup_containment(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", X.evidence_norm(F.col("text")).alias("t"))
-    long = d.select("source", F.col("doc_id").alias("long_id"), F.col("t").alias("long_norm"))
-    short = d.select("source", F.col("doc_id").alias("short_id"), F.col("t").alias("short_norm")).filter((F.size(F.split("short_norm", " ")) >= 6) & (F.length("short_norm") >= 12))
-    pairs = contained(long, short, ["source"])
-    return pairs.filter("length(long_norm) > length(short_norm) and length(long_norm) <= 4 * length(short_norm)").select("short_id", "long_id")
