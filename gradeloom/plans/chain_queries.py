@@ -130,6 +130,53 @@ def p04_criteria(spark, sf_dir):
     return rubric.criteria(_documents(spark, sf_dir)).select("model_answer_id", F.col("pos").cast("long").alias("pos"), "question_number", "criterion_id", "description", "marks")
 
 
+def _each_documents(spark, sf_dir):
+    """A document for each part: an answer of question 1 and one of question 2 with a line of figures worth half a mark each, and own-figure definitions."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, F.concat("p_name", F.lit(" 12; hr; "), "p_type", F.lit(" 13;"), "p_brand", F.lit(" 14"))).when(k == 1, F.concat(F.lit("80,000 48,000 "), "p_size", F.lit(",453 1,920"))).otherwise(F.concat("p_name", F.lit(" in all 7")))
+    item = F.struct(line.alias("description"), F.concat(F.lit("1/2 mk each max "), F.col("p_size") % 2 + 1).alias("marks"))
+    of = lambda v: F.create_map(F.lit("OF1"), F.struct(v.alias("value"), F.lit("GBP").alias("unit")), F.concat(F.lit("X"), "p_size"), F.struct(F.lit(7).alias("value"), F.lit("m").alias("unit")))
+    answer = lambda n, text, v: F.struct(F.lit(n).alias("question_number"), text.alias("answer"), F.array(item).alias("marking_criteria"), of(v).alias("of_definitions"))
+    return p.select(F.col("p_partkey").cast("string").alias("model_answer_id"), F.to_json(F.struct(F.lit("Audit").alias("question_title"), F.array(answer("1", F.col("p_name"), F.col("p_size")), answer("Question 2", F.col("p_type"), F.col("p_size") + 1)).alias("answers"))).alias("doc"))
+
+
+_EACH_SQL = """WITH d AS (SELECT p_partkey, p_size % 2 + 1 AS most, CASE p_partkey % 3 WHEN 0 THEN [p_name || ' 12', p_type || ' 13', p_brand || ' 14'] WHEN 1 THEN ['80,000', '48,000', p_size || ',453', '1,920'] ELSE [p_name || ' in all 7'] END AS ps FROM part),
+e AS (SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 2 THEN ps ELSE ps[1:2 * most] END) AS description, CASE WHEN p_partkey % 3 = 2 THEN CAST(most AS DOUBLE) ELSE 0.5::DOUBLE END AS marks FROM d)"""
+
+
+@query(_EACH_SQL + " SELECT CAST(p_partkey AS VARCHAR) AS model_answer_id, q AS question_number, description, marks FROM e, (SELECT unnest(['1', 'Question 2']) AS q)")
+def p05_each_parts(spark, sf_dir):
+    return rubric.criteria(_each_documents(spark, sf_dir)).select("model_answer_id", "question_number", "description", "marks")
+
+
+@query(_EACH_SQL + " SELECT CAST(p_partkey AS VARCHAR) AS model_answer_id, 'Question 2' AS question_number, description, marks FROM e")
+def p04_one_question(spark, sf_dir):
+    return rubric.criteria(_each_documents(spark, sf_dir), "2").select("model_answer_id", "question_number", "description", "marks")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS model_answer_id, p_name || chr(10) || chr(10) || p_type AS answer FROM part")
+def p04_answer_texts(spark, sf_dir):
+    return rubric.answer_texts(_each_documents(spark, sf_dir))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS model_answer_id, 'OF1' AS of_id, CAST(p_size + 1 AS DOUBLE) AS value, 'GBP' AS unit FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'X' || p_size, 7.0, 'm' FROM part")
+def a12_of_definitions(spark, sf_dir):
+    return rubric.of_definitions(_each_documents(spark, sf_dir)).drop("label")
+
+
+@query("SELECT DISTINCT p_brand AS model_answer_id, 5.0::DOUBLE AS max_marks FROM part")
+def p08_paper_marks(spark, sf_dir):
+    paper = spark.createDataFrame([(" 1.1", "3 to 5"), ("9", "8")], "sub_question string, marks string")
+    return rubric.leaves(_documents(spark, sf_dir), paper).select("model_answer_id", "max_marks")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS model_answer_id, p_partkey % 4 = 0 AS holistic FROM part")
+def p04_holistic(spark, sf_dir):
+    doc = F.when(F.col("p_partkey") % 4 == 0, '{"answers": [{"answer": "x"}]}').otherwise('{"answers": [{"marking_criteria": [{"description": "Cost of sales 12", "marks": 1}]}]}')
+    return rubric.holistic(table(spark, sf_dir, "part").select(text("p_partkey").alias("model_answer_id"), doc.alias("doc")))
+
+
 @query(_CRITERIA_SQL + f", n AS (SELECT *, {_norm_sql('own')} AS key FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, key ORDER BY p_partkey) AS r, max(m) OVER (PARTITION BY p_brand, key) AS most FROM (SELECT *, 'x' AS z FROM n)) SELECT p_brand AS model_answer_id, p_partkey AS pos, most AS marks FROM r WHERE r = 1")
 def a08_deduplicate(spark, sf_dir):
     return rubric.deduplicate(_flat(spark, sf_dir)).select("model_answer_id", "pos", "marks")
