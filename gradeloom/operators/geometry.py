@@ -245,24 +245,52 @@ def _score_places(labels: list[dict], words: list[tuple], width: float, height:
         yield spot
 
 
+def _pages(batches: Iterator[pd.DataFrame], columns: list[str], size: int = 4096) -> Iterator[list[list[tuple]]]:
+    """The rows of each page (first two columns), some thousand rows of pages together; rows come sorted by page."""
+    done: list[list[tuple]] = []
+    page: list[tuple] = []
+    count = 0
+    for batch in batches:
+        for row in batch[columns].itertuples(index=False, name=None):
+            if page and row[:2] != page[-1][:2]:
+                done.append(page)
+                count += len(page)
+                page = []
+                if count >= size:
+                    yield done
+                    done, count = [], 0
+            page.append(row)
+    if page:
+        done.append(page)
+    if done:
+        yield done
+
+
 def place_scores(labels: DataFrame, words: DataFrame, page_width: float, page_height: float, font: float = 9.0) -> DataFrame:
     """Where each score label of (RECT, order, label, x0 ...) goes, so that labels of a page touch neither each other nor, where there is room, its text.
 
     Behind a figure right of the rectangle, else right of the rectangle; near before far, above the row only if the row is full.
     One page's labels are placed one after the other, so a page is a task's smallest part.
     """
-    page = ["submission_id", "page"]
-
-    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["order", "rect_id"]).reset_index(drop=True)
-        text = list(right[["w_x0", "w_y0", "w_x1", "w_y1", "w_text"]].itertuples(index=False, name=None))
-        spots = list(_score_places(left.to_dict("records"), text, page_width, page_height, font))
-        return left[["submission_id", "rect_id", "page", "label"]].assign(x=[float(s[0]) for s in spots], y=[float(s[1]) for s in spots])
-
     kinds = dict(labels.dtypes)
-    schema = f"submission_id {kinds['submission_id']}, rect_id {kinds['rect_id']}, page {kinds['page']}, label string, x double, y double"
-    known = words.join(labels.select(*page).distinct(), page, "left_semi").select(*(F.col(c).alias("w_" + c) for c in (*page, *BOX, "text")))
-    return labels.select(*RECT, "order", "label", *BOX).groupBy(*page).cogroup(known.groupBy("w_submission_id", "w_page")).applyInPandas(place, schema)
+    columns = ["submission_id", "page", "kind", "order", "rect_id", *BOX, "said"]
+    names = ["submission_id", "rect_id", "page", "label", "x", "y"]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pages in _pages(batches, columns):
+            out = []
+            for rows in pages:
+                text = [(*r[5:9], r[9] or "") for r in rows if r[2] == 0]
+                own = [r for r in rows if r[2] == 1]
+                spots = _score_places([dict(zip(columns, r, strict=True)) for r in own], text, page_width, page_height, font)
+                out += [(r[0], r[4], r[1], r[9], float(x), float(y)) for r, (x, y) in zip(own, spots, strict=True)]
+            yield pd.DataFrame(out, columns=names)
+
+    known = words.join(labels.select("submission_id", "page").distinct(), ["submission_id", "page"], "left_semi")
+    known = known.select("submission_id", "page", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("order"), F.lit(0).cast(kinds["rect_id"]).alias("rect_id"), *BOX, F.col("text").alias("said"))
+    mine = labels.select("submission_id", "page", F.lit(1).alias("kind"), F.col("order").cast("long").alias("order"), "rect_id", *BOX, F.col("label").cast("string").alias("said"))
+    rows = known.unionByName(mine).repartition("submission_id", "page").sortWithinPartitions("submission_id", "page", "kind", "order", "rect_id")
+    return rows.mapInPandas(place, f"submission_id {kinds['submission_id']}, rect_id {kinds['rect_id']}, page {kinds['page']}, label string, x double, y double")
 
 
 def place_notes(notes: DataFrame, page_width: float, page_height: float, gap: float = 14.0) -> DataFrame:
@@ -270,27 +298,29 @@ def place_notes(notes: DataFrame, page_width: float, page_height: float, gap: fl
 
     ``notes``: RECT, order, and x1, y0 of the anchor's line (null without one), y_min, y_max (bounds of the question, null without).
     """
-    def place(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["order", "rect_id"]).reset_index(drop=True)
-        used: list[float] = []
-        xs, ys = [], []
-        for r in batch.to_dict("records"):
-            low = 0.0 if pd.isna(r["y_min"]) else r["y_min"]
-            high = page_height - 20 if pd.isna(r["y_max"]) else r["y_max"]
-            anchored = not pd.isna(r["y0"])
-            x = max(min(r["x1"] + 6, page_width - 20), 10) if anchored else max(page_width - 24, 10)
-            first = max(min(r["y0"] - 1, page_height - 20), 20) if anchored else max(120.0, page_height / 4, low + 10)
-            around = [first] + [first + s * k * 16 for k in range(1, 5) for s in (1, -1)]
-            fits = [min(max(y, 20), page_height - 20, max(high - 15, 20)) for y in around]
-            y = next((y for y in fits if all(abs(y - u) > gap for u in used)), fits[-1])
-            used.append(y)
-            xs.append(float(x))
-            ys.append(float(y))
-        return batch[["submission_id", "rect_id", "page"]].assign(x=xs, y=ys)
-
     kinds = dict(notes.dtypes)
-    schema = f"submission_id {kinds['submission_id']}, rect_id {kinds['rect_id']}, page {kinds['page']}, x double, y double"
-    return notes.select(*RECT, "order", F.col("x1").cast("double").alias("x1"), F.col("y0").cast("double").alias("y0"), F.col("y_min").cast("double").alias("y_min"), F.col("y_max").cast("double").alias("y_max")).groupBy("submission_id", "page").applyInPandas(place, schema)
+    columns = ["submission_id", "page", "rect_id", "x1", "y0", "y_min", "y_max"]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pages in _pages(batches, columns):
+            out = []
+            for rows in pages:
+                used: list[float] = []
+                for submission, page, rect, x1, y0, y_min, y_max in rows:
+                    low = 0.0 if pd.isna(y_min) else y_min
+                    high = page_height - 20 if pd.isna(y_max) else y_max
+                    x = max(page_width - 24, 10) if pd.isna(y0) else max(min(x1 + 6, page_width - 20), 10)
+                    first = max(120.0, page_height / 4, low + 10) if pd.isna(y0) else max(min(y0 - 1, page_height - 20), 20)
+                    around = [first] + [first + s * k * 16 for k in range(1, 5) for s in (1, -1)]
+                    fits = [min(max(y, 20), page_height - 20, max(high - 15, 20)) for y in around]
+                    y = next((y for y in fits if all(abs(y - u) > gap for u in used)), fits[-1])
+                    used.append(y)
+                    out.append((submission, rect, page, float(x), float(y)))
+            yield pd.DataFrame(out, columns=["submission_id", "rect_id", "page", "x", "y"])
+
+    rows = notes.select("submission_id", "page", "rect_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y0", "y_min", "y_max")), F.col("order").alias("_order"))
+    rows = rows.repartition("submission_id", "page").sortWithinPartitions("submission_id", "page", "_order", "rect_id")
+    return rows.mapInPandas(place, f"submission_id {kinds['submission_id']}, rect_id {kinds['rect_id']}, page {kinds['page']}, x double, y double")
 
 
 def extracted(pages: DataFrame, extractor, schema: str) -> DataFrame:
