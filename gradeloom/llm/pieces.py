@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from .common import lean, list_column, records, released, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments, and characters of segments, whose ids a worker keeps; the memory is emptied when it is full.
+#: Segments, and characters of segments, whose ids a worker keeps; those least used go when the memory is full.
 KNOWN_SEGMENTS, KNOWN_CHARS = 400_000, 4 << 20
 #: Characters of new segments that are indexed together, and of texts that are answered together.
-INDEX_CHARS, STEP_CHARS = 1 << 19, 1 << 20
+INDEX_CHARS, STEP_CHARS = 1 << 20, 1 << 21
 #: Letters and marks between which segments may be cut as well, where no piece has such a letter before such a mark.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
 SPACE = "▁"
@@ -225,13 +225,25 @@ class Pieces:
         made = [self.encode_segments(fresh[lo:hi]) for lo, hi in steps(np.concatenate([[0], ends]), INDEX_CHARS)]
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         self.chars += int(ends[-1])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
         sizes = np.concatenate([self.sizes, *(n for _, n in made)])
         self.flat, self.sizes, self.starts = np.concatenate([self.flat, *(x for x, _ in made)]), sizes, np.cumsum(sizes) - sizes
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.flat, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the segments used at least twice, up to half of what fits; none at first."""
+        names, uses = list(getattr(self, "known", ())), getattr(self, "uses", np.zeros(0, np.int64))
+        chars = np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(-uses, kind="stable")
+        fits = (uses[order] > 1) & (np.cumsum(chars[order]) <= KNOWN_CHARS // 2) & (np.arange(len(order)) < KNOWN_SEGMENTS // 2)
+        kept = np.sort(order[fits])
+        if len(kept):
+            each = self.sizes[kept]
+            self.flat = self.flat[np.repeat(self.starts[kept], each) + _ramp(each)]
+        else:
+            each, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known: dict[str, int] = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.chars, self.uses = int(chars[kept].sum()), uses[kept] // 2
+        self.sizes, self.starts = each, np.cumsum(each) - each
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids of the texts and the number of ids of each."""
@@ -239,13 +251,14 @@ class Pieces:
         fresh = set(itertools.chain.from_iterable(segments)).difference(self.known)
         if fresh and (len(self.known) + len(fresh) > KNOWN_SEGMENTS or self.chars > KNOWN_CHARS):
             self._forget()
-            fresh = set(itertools.chain.from_iterable(segments))
+            fresh = set(itertools.chain.from_iterable(segments)).difference(self.known)
         if fresh:
             self._learn(list(fresh))
         number = self.known.__getitem__
         index = np.fromiter(map(number, itertools.chain.from_iterable(segments)), np.int64)
         if not len(index):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        self.uses += np.bincount(index, minlength=len(self.uses))
         each = self.sizes[index]
         rows = np.repeat(np.arange(len(texts)), [len(r) for r in segments])
         counts = np.bincount(rows, each, len(texts)).astype(np.int64)
