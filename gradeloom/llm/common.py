@@ -52,6 +52,12 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shipped(spark: SparkSession, path: str):
+    """A vocabulary file of the driver (some MB at most) for all executors, which need not have it themselves."""
+    with open(path, "rb") as f:
+        return lean(spark).sparkContext.broadcast(f.read())
+
+
 def _release() -> None:
     """Give freed memory back to the system: idle workers keep what their allocators hold otherwise."""
     pa.default_memory_pool().release_unused()

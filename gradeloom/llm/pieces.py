@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, list_column, records, released, steps
+from .common import list_column, records, released, shipped, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments, and characters of segments, whose ids a worker keeps; those least used go when the memory is full.
@@ -38,10 +38,10 @@ SPACE = "▁"
 
 
 class Pieces:
-    def __init__(self, model: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        lib = sentencepiece.SentencePieceProcessor(model_file=model)
+        lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = lib.get_piece_size()
         names = [lib.id_to_piece(i) for i in range(size)]
         special = [lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) for i in range(size)]
@@ -283,7 +283,8 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def pieces(model: str) -> Pieces:
+def pieces(model: bytes) -> Pieces:
+    """A worker keeps the tables of the model it met last."""
     return Pieces(model)
 
 
@@ -305,10 +306,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            known = pieces(sent.value)
             for lo, hi in _text_steps(texts):
                 part = texts[lo:hi]
-                ids, counts = pieces(model).encode([t or "" for t in part])
-                back = pieces(model).decode(ids, counts)
+                ids, counts = known.encode([t or "" for t in part])
+                back = known.decode(ids, counts)
                 missing = np.array([t is None for t in part])
                 lists = list_column(ids, counts, pa.int32())
                 if missing.any():
@@ -316,7 +318,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = [t is None or t.encode() == b for t, b in zip(part, back, strict=True)]
                 yield records({"doc_id": batch.column(0).slice(lo, hi - lo), "n_tokens": counts, "token_ids": lists, "round_trip": same}, schema)
 
-    lean(docs.sparkSession)
+    sent = shipped(docs.sparkSession, model)
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(released(run), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
@@ -329,8 +331,8 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             lists = batch.column(1).to_pylist()
             counts = np.array([len(x or ()) for x in lists], np.int64)
             ids = np.array([i for x in lists for i in x or ()], np.int32)
-            texts = pieces(model).decode(ids, counts)
+            texts = pieces(sent.value).decode(ids, counts)
             yield records({"doc_id": batch.column(0), "text": [None if x is None else t.decode("utf-8", "replace") for x, t in zip(lists, texts, strict=True)]}, schema)
 
-    lean(encoded.sparkSession)
+    sent = shipped(encoded.sparkSession, model)
     return encoded.selectExpr("cast(doc_id as long) doc_id", "token_ids").mapInArrow(released(run), "doc_id long, text string")

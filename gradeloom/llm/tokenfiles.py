@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, released, shared_dir, stored
+from .common import released, shared_dir, shipped, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -43,11 +43,14 @@ NO_ID = 1 << 70
 
 
 @functools.lru_cache(1)
-def tokenizer(path: str):
+def tokenizer(ranks: str | bytes):
+    """The tokenizer of a file of base64 tokens and ranks, given by its path or content; a worker keeps the last one."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if isinstance(ranks, str):
+        with open(ranks, "rb") as f:
+            ranks = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("flat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -65,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     """Tokenise (doc_id, text) into flat files below ``path``, none of which has over ``file_bytes`` unless one text alone does."""
 
     def run(batches):
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer(sent.value).encode_ordinary
         for batch in batches:
             rows, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -82,7 +85,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
         column = pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(rows))])
         return pa.RecordBatch.from_arrays([column], names=["value"])
 
-    lean(docs.sparkSession)
+    sent = shipped(docs.sparkSession, vocabulary)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     longest = docs.agg(F.max(F.octet_length("text"))).head()[0] or 0
     docs_per_file = max(1, min(docs_per_file, file_bytes // (2 * (longest + HEADER + 1))))
