@@ -12,7 +12,9 @@ followed by the first.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -152,33 +154,43 @@ def _compare(batches):
 def with_followers(docs: DataFrame, parts: int) -> DataFrame:
     """(bucket, guest, doc_id, packed text): ranges of ids, each sorted and closed by the start of the next range.
 
-    Only range bounds and the first id of each range reach the driver: two numbers for each of ``parts`` ranges.
+    Only range bounds and the first id of each range reach the driver: two numbers for each of ``parts`` ranges. Rows of an id that
+    fills several ranges, or without an id, follow each other by a hash of their text and are dealt out by it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     cuts = [i / parts for i in range(1, parts)]
-    bounds = np.unique(np.array(ids.agg(F.percentile_approx("id", F.array(*map(F.lit, cuts)), 10_000)).head()[0] or [], np.int64)) if cuts else np.zeros(0, np.int64)
+    found = np.array(ids.agg(F.percentile_approx("id", F.array(*map(F.lit, cuts)), 10_000)).head()[0] or [], np.int64) if cuts else np.zeros(0, np.int64)
+    distinct, times = np.unique(found, return_counts=True)
+    # (id, hash) that start a range; an id that fills several has its rows dealt out by the hash of their text.
+    bounds = [(i, (k << 32) // n) for i, n in zip(distinct.tolist(), times.tolist(), strict=True) for k in range(n)]
+    if len(distinct) < len(found):
+        ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+    else:
+        ids = ids.withColumn("h", F.lit(0).cast("long"))
+    split = len(distinct) < len(found)
 
     @F.pandas_udf("int")
-    def bucket_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.to_numpy(np.int64), "right").astype(np.int32))
+    def bucket_of(x: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, key) for key in zip(x.tolist(), h.tolist(), strict=True)], dtype="int32")
 
-    firsts = dict(sorted((b, i) for b, i in ids.groupBy(bucket_of("id").alias("b")).agg(F.min("id")).collect()))
+    firsts = {b: tuple(i) for b, i in sorted(ids.groupBy(bucket_of("id", "h").alias("b")).agg(F.min(F.struct("id", "h"))).collect())}
     order = list(firsts)
     before = {b: order[k - 1] for k, b in enumerate(order)}
 
-    schema = pa.schema([("bucket", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("h", pa.int64()), ("packed", pa.binary())])
 
     def place(batches):
         for batch in batches:
             rows, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packed = zstandard.compress((text or "").encode("utf-8", "surrogatepass"), 6)
-                key = NO_ID if doc_id is None else doc_id
-                own = int(np.searchsorted(bounds, key, "right"))
-                rows.append((own, False, doc_id, packed))
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                packed = zstandard.compress(raw, 6)
+                key = (NO_ID if doc_id is None else doc_id, zlib.crc32(raw) if split else 0)
+                own = bisect.bisect_right(bounds, key)
+                rows.append((own, False, doc_id, key[1], packed))
                 if firsts[own] == key:
-                    rows.append((before[own], True, doc_id, packed))
+                    rows.append((before[own], True, doc_id, key[1], packed))
                 size += len(packed)
                 if size > STEP:
                     yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
@@ -187,8 +199,8 @@ def with_followers(docs: DataFrame, parts: int) -> DataFrame:
                 yield records(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
 
     # Texts travel packed: the exchange is the operator's only large one.
-    placed = docs.mapInArrow(released(place), "bucket int, guest boolean, doc_id long, packed binary")
-    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "packed")
+    placed = docs.mapInArrow(released(place), "bucket int, guest boolean, doc_id long, h long, packed binary")
+    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "h", "packed").drop("h")
 
 
 def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:

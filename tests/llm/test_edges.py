@@ -1,5 +1,6 @@
 """Whole results against plain versions, and the cases every operator must take: empty tables, clashing columns, long texts."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -228,3 +229,16 @@ def test_odd_rows_go_through_the_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out if r.doc_id is not None} >= set(range(40)) and all(r.token_ids is not None for r in out)
+
+
+def test_one_id_on_most_rows(spark):
+    """Rows of a frequent id are dealt out by their texts; every row comes back, followed by its neighbour in that order."""
+    rng = random.Random(19)
+    rows = [(7 if k % 3 else k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(20))) for k in range(300)] + [(None, f"no id {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    want = sorted(((i, len(t), winnow.edited(t, order[(k + 1) % len(order)][1])) for k, (i, t) in enumerate(order)), key=repr)
+    parts = winnow.with_followers(df, 8).filter("not guest").groupBy("bucket").count().collect()
+    assert len(parts) >= 6 and max(r["count"] for r in parts) < 150
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in winnow.compare_with_edits(df, 8).collect()), key=repr)
+    assert got == sorted(((i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in want), key=repr)
