@@ -58,12 +58,26 @@ def shipped(spark: SparkSession, path: str):
         return lean(spark).sparkContext.broadcast(f.read())
 
 
+#: For the C library: how much free memory it keeps, from which size on a block is its own mapping, by how much it grows.
+MALLOC = ((-1, 64 << 20), (-3, 32 << 20), (-2, 4 << 20))
+
+
+def _settle() -> None:
+    """Arrays of some MB come and go in every step; a task takes their memory from the system once, not each time."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for key, value in MALLOC:
+            ctypes.CDLL(None).mallopt(key, value)
+    except AttributeError:  # another C library
+        pass
+
+
 def _release() -> None:
     """Give freed memory back to the system: idle workers keep what their allocators hold otherwise."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # another C library
+    except AttributeError:
         pass
 
 
@@ -71,7 +85,7 @@ def released(run):
     """A function for mapInArrow whose worker holds no freed memory once its task is done."""
 
     def wrapped(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
+        _settle()
         try:
             yield from run(batches)
         finally:
