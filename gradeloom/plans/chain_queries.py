@@ -408,6 +408,28 @@ def j19_accept_restatements(spark, sf_dir):
     return out.groupBy("submission_id").agg(F.count("*").alias("notes"))
 
 
+_WORDS4 = f"list_distinct(list_filter(regexp_extract_all(lower(regexp_replace({{c}}, '[0-9]', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({_STOP_SQL}, w)))"
+_NUMBERS3 = "list_distinct(list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3))"
+
+
+@query(f"""{VIEW}, l AS (SELECT submission_id, line, unnest({_NUMBERS3.format(c='line')}) AS k, {_WORDS4.format(c='line')} AS ws FROM (SELECT DISTINCT submission_id, unnest(string_split(text, chr(10))) AS line FROM script)),
+c AS (SELECT submission_id, criterion_id, unnest({_NUMBERS3.format(c='criterion')}) AS k, {_WORDS4.format(c='criterion')} AS ss FROM r)
+SELECT DISTINCT submission_id, criterion_id, line FROM l JOIN c USING (submission_id, k) WHERE len(ws) = 0 OR len(list_intersect(ws, ss)) > 0""")
+def d06_flag_restatements(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    lines = rows.select("submission_id", "text").dropDuplicates(["submission_id"]).select("submission_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    return restatements.flag_restatements(lines, rows.select("submission_id", "criterion_id", F.col("criterion").alias("evidence")))
+
+
+@query(f"{VIEW} SELECT submission_id, item_pos, CASE WHEN item_pos % 2 = 0 THEN 0.25 ELSE max_possible END AS marks_awarded FROM r")
+def d01_in_turn(spark, sf_dir):
+    """The first judge answers every second pair, and the others without marks; the second one gives all of them."""
+    rows = prepared(spark, sf_dir)
+    pairs = rows.select("submission_id", "text", F.col("item_pos").alias("pos"), "criterion_id", F.col("criterion").alias("description"), F.col("max_possible").alias("marks"), "category", "exact_match")
+    answer = lambda marks: lambda p: p.select("submission_id", F.col("pos").alias("item_pos"), "criterion_id", marks.cast("double").alias("marks_awarded"))
+    return judge.in_turn(pairs, [answer(F.when(F.col("pos") % 2 == 0, 0.25)), answer(F.col("marks"))]).select(*KEY, "marks_awarded")
+
+
 _FOUR = f"list_distinct(list_filter(regexp_extract_all(lower({{c}}), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({_STOP_SQL}, w)))"
 
 

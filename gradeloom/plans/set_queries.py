@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import criteria as C
 from ..operators import finalize, recovery
 from ..operators import set_guards as S
 from .guard_queries import KEY, SAID, any_sql, in_text_sql, marks, prepared, variants_sql, words_sql
 from .marking_view import VIEW
-from .queries import _STOP_SQL, _norm_sql, query
+from .queries import _norm_sql, query
 
 _KEY_SQL = _norm_sql("replace(array_to_string(evidence, ' '), '|', ' ')")
 _COMMON = "[" + ", ".join(f"'{w}'" for w in S.COMMON_WORDS) + "]"
@@ -117,21 +118,25 @@ def g06_column(spark, sf_dir):
     return marks(S.column(table))
 
 
-def _tok(c: str, n: int) -> str:
-    return f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: length(w) >= {n} AND NOT list_contains({_STOP_SQL}, w))"
+_FOCUS_STOP = "[" + ", ".join(f"'{w}'" for w in C.FOCUS_STOP) + "]"
+_WORDS3 = "list_transform(regexp_extract_all({c}, '[A-Za-z]{{3,}}'), lambda w: lower(w))"
+_MEETS = "len(list_filter({heads}, lambda o: starts_with(o, left(t, 5)) OR starts_with(t, left(o, 5)))) > 0"
 
 
-def _share(ws: str) -> str:
-    return f"CASE WHEN len({ws}) > 0 THEN len(list_filter({ws}, lambda w: len(list_filter(said_w, lambda s: starts_with(s, left(w, 5)))) > 0)) / len({ws}) ELSE 0.0 END"
-
-
-@query(f"""{VIEW}, b AS (SELECT submission_id, grp, item_pos, {_tok('criterion', 4)} AS ws, {_tok(SAID, 4)} AS said_w, marks_awarded FROM r),
-p AS (SELECT a.submission_id, a.item_pos, o.item_pos AS rival, a.said_w, list_distinct(list_filter(a.ws, lambda w: NOT list_contains(o.ws, w))) AS mine, list_distinct(list_filter(o.ws, lambda w: NOT list_contains(a.ws, w))) AS theirs
-  FROM b a JOIN b o ON a.submission_id = o.submission_id AND a.grp = o.grp AND a.item_pos <> o.item_pos WHERE a.marks_awarded > 0),
-f AS (SELECT submission_id, item_pos, min(rival) AS focus_rival FROM p WHERE {_share('mine')} <= 0.40 AND {_share('theirs')} >= 0.70 GROUP BY 1, 2)
-SELECT submission_id, item_pos, focus_rival FROM r LEFT JOIN f USING (submission_id, item_pos)""")
+@query(f"""{VIEW}, b AS (SELECT submission_id, grp, item_pos, list_distinct(list_filter({_WORDS3.format(c='criterion_focus')}, lambda w: NOT list_contains({_FOCUS_STOP}, w))) AS said_w, {_WORDS3.format(c='criterion')} AS mine
+  FROM (SELECT *, CASE WHEN item_pos % 2 = 0 THEN lag(criterion) OVER (PARTITION BY submission_id, grp ORDER BY item_pos) ELSE criterion END AS criterion_focus FROM r)),
+p AS (SELECT a.submission_id, a.item_pos, o.item_pos AS rival, len(list_filter(a.said_w, lambda t: ({_MEETS.format(heads='a.mine')}) <> ({_MEETS.format(heads='o.mine')}))) AS n,
+  len(list_filter(a.said_w, lambda t: NOT ({_MEETS.format(heads='a.mine')}) AND ({_MEETS.format(heads='o.mine')}))) AS other, len(list_filter(a.said_w, lambda t: {_MEETS.format(heads='o.mine')})) AS whole
+  FROM b a JOIN b o ON a.submission_id = o.submission_id AND a.grp = o.grp AND a.item_pos <> o.item_pos WHERE len(a.said_w) >= 2),
+f AS (SELECT submission_id, item_pos, max(CASE WHEN n > 0 THEN other / n END) AS share, max((whole, -rival)) AS x FROM p GROUP BY 1, 2)
+SELECT submission_id, item_pos, CASE WHEN share >= 0.70 AND 1 - share <= 0.40 THEN -x[2] END AS focus_rival FROM r LEFT JOIN f USING (submission_id, item_pos)""")
 def g07_focus(spark, sf_dir):
-    return S.focus(prepared(spark, sf_dir)).select(*KEY, "focus_rival")
+    """Every second row's judge speaks of the row before it in its group."""
+    from pyspark.sql import Window
+
+    before = F.lag("criterion").over(Window.partitionBy("submission_id", "group").orderBy("item_pos"))
+    rows = prepared(spark, sf_dir).withColumn("criterion_focus", F.when(F.col("item_pos") % 2 == 0, before).otherwise(F.col("criterion")))
+    return S.focus(rows).select(*KEY, "focus_rival")
 
 
 _SECTION_SQL = rf"""{VIEW}, ln AS (SELECT submission_id, ls[i] AS line, i FROM (SELECT submission_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM script)),
