@@ -47,7 +47,7 @@ def _words(values: list[str]) -> Column:
 
 
 def expected_amount(criterion: Column) -> Column:
-    """The first amount after GBP, "GBP5.4 million" or "GBP630,000", in full; null without one."""
+    """The first amount after GBP, "GBP2.6 million" or "GBP910,000", in full; null without one."""
     amount = r"(?i)\bgbp\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(million|m|thousand|k)?\b"
     scale = F.lower(F.regexp_extract(criterion, amount, 2))
     number = F.regexp_replace(F.regexp_extract(criterion, amount, 1), ",", "").try_cast("double")
@@ -94,7 +94,7 @@ def focus_score(tokens: Column, of: Column) -> Column:
 
 
 def group_key(criterion_id: Column, *of_ids: Column) -> Column:
-    """Letters that start the id ("MM01" is MM), else the part before the point of the first own-figure id; empty without either."""
+    """Letters that start the id ("AB12" is AB), else the part before the point of the first own-figure id; empty without either."""
     letters = F.nullif(F.upper(F.regexp_extract(criterion_id, "^([A-Za-z]+)", 1)), F.lit(""))
     return F.coalesce(letters, *(F.nullif(F.upper(F.trim(F.substring_index(o, ".", 1))), F.lit("")) for o in of_ids), F.lit(""))
 

@@ -273,6 +273,7 @@ def has_commentary(text: Column) -> Column:
 def error_class(message: Column) -> Column:
     """Kind of an error by its text, the first that fits: quota, rate, auth, network, file, database, else unexpected."""
     low = F.lower(message)
+    # The phrases that tell the kinds.
     return (
         F.when(low.contains("insufficient_quota") | (low.contains("429") & low.contains("quota")), "quota")
         .when(low.rlike("429|rate_limit|rate limit"), "rate")

@@ -203,6 +203,7 @@ def main_score_place(lines: DataFrame, question: str, heading: str | None = None
     A heading is a line near the left margin that starts with the script's own heading or a usual form of the question's
     number, with text in the 80 points below it or in the last fifth of the page.
     """
+    # Usual forms of a question's heading.
     forms = [heading] if heading else []
     forms += [f"Question {question}", f"Q-{question.zfill(2)}", f"Q-{question}", f"Q.{question}", f"Q{question}", f"Answer {question}", f"Ans.{question}", f"Ans {question}"]
     rank = F.array_position(F.transform(F.array(*map(F.lit, forms)), lambda f: F.startswith(F.lower(F.trim("text")), F.lower(f)) & ~F.rlike(F.substr(F.trim("text"), F.length(f) + 1), F.lit("^[0-9]"))), True)

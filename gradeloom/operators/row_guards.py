@@ -118,18 +118,22 @@ NEGATION_STOP = [
 ]
 
 
+# Spellings of "number of", words that require, words that deny.
+NUMBER_OF, REQUIRES, DENIES = r"\bnos?\.?\s+of\b", r"\brequired\b|\bnecessary\b|\bmust\b", r"\b(?:no|not)\s+(?:\w+\s+){0,2}"
+
+
 def negation(df: DataFrame) -> DataFrame:
     """a criterion that requires something is not met by evidence that denies it; "no of" means number of."""
     words = F.filter(F.regexp_extract_all(F.lower("criterion"), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(NEGATION_STOP))
-    said = F.regexp_replace(F.lower(F.array_join("evidence", " ")), r"\bnos?\.?\s+of\b", "number of")
-    denies = F.exists(F.slice(words, 1, 6), lambda w: F.rlike(said, F.concat(F.lit(r"\b(?:no|not)\s+(?:\w+\s+){0,2}"), F.left(w, F.lit(7)))))
-    return _zero_if(df, "F11", F.lower("criterion").rlike(r"\brequired\b|\bnecessary\b|\bmust\b") & denies, "Marks revoked (evidence contradicts the criterion).")
+    said = F.regexp_replace(F.lower(F.array_join("evidence", " ")), NUMBER_OF, "number of")
+    denies = F.exists(F.slice(words, 1, 6), lambda w: F.rlike(said, F.concat(F.lit(DENIES), F.left(w, F.lit(7)))))
+    return _zero_if(df, "F11", F.lower("criterion").rlike(REQUIRES) & denies, "Marks revoked (evidence contradicts the criterion).")
 
 
 def calculated(df: DataFrame) -> DataFrame:
     """full marks where evidence, or a calculation in the script, works out to the criterion's amount.
 
-    The amount is the one after GBP where the criterion's own bracket, "(375,000 x GBP32)", works out to it,
+    The amount is the one after GBP where the criterion's own bracket, "(416,000 x GBP25)", works out to it,
     else that of the bracket, else the one after GBP; only a bracket is looked for in the script. A criterion about income takes only
     evidence that speaks of it. Arithmetic runs in one Arrow function over at most twelve pieces of each row.
     """

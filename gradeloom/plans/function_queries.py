@@ -186,7 +186,7 @@ def x21_salient_numbers(spark, sf_dir):
 @query("SELECT p_partkey, " + _short_sql("q").replace("%.6f", "%.2f") + " AS marks, CASE p_partkey % 4 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN CAST(p_size AS DOUBLE) END AS parsed FROM (SELECT *, p_size / 4.0 AS q FROM part)")
 def x22_marks_text(spark, sf_dir):
     k = F.col("p_partkey") % 4
-    said = F.when(k == 0, F.concat("p_size", F.lit(" 1/2"))).when(k == 1, "1/2 mk each max 4").when(k == 2, F.col("p_size").cast("string")).otherwise("HR")
+    said = F.when(k == 0, F.concat("p_size", F.lit(" 1/2"))).when(k == 1, "1/2 mk each max 3").when(k == 2, F.col("p_size").cast("string")).otherwise("HR")
     return table(spark, sf_dir, "part").select("p_partkey", X.marks_text(F.col("p_size") / 4.0).alias("marks"), X.marks_value(said).alias("parsed"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import finalize, holistic, recovery, resolve, row_guards, rubric, set_guards
 
 COLUMNS = "submission_id string, item_pos int, criterion_id string, criterion string, category string, exact_match boolean, marks_awarded double, max_possible double, reason string, evidence array<string>"
-TEXT = "--- 1 ---\nGoodwill is the excess of consideration over net assets\nDr Goodwill 12,000\nShares 375,000 x 32 = 12,000,000\n--- 2 ---\nshare of post acq reserves 3,850,000.00"
+TEXT = "--- 1 ---\nGoodwill is the excess of consideration over net assets\nDr Goodwill 12,000\nShares 416,000 x 25 = 10,400,000\n--- 2 ---\nshare of post acq reserves 3,850,000.00"
 
 
 def judged(spark, *rows):
@@ -29,7 +29,7 @@ def test_row_guards(spark):
         ("Invented", "", False, 0.5, 0.5, "", ["this sentence stands nowhere in the script at all"]),
         ("Copied", "", False, 0.5, 0.5, "", ["Define goodwill for the group"]),
         ("Cr Goodwill 12,000", "journal", False, 1.0, 1.0, "", ["Dr Goodwill 12,000"]),
-        ("Cost of shares (375,000 x 32)", "calculation", False, 0.0, 1.0, "", []),
+        ("Cost of shares (416,000 x 25)", "calculation", False, 0.0, 1.0, "", []),
         ("Dr Goodwill 12,000", "journal", False, 0.0, 1.0, "", []),
         (None, None, None, None, None, None, None),
     )
@@ -59,7 +59,7 @@ def test_set_guards(spark):
         [
             (("Investment 12,000 13,000 14,000", "", False, 1.0, 1.0, "", ["12,000 13,000 14,000 15,000"]), none),
             (("Investment 12,000 again", "", False, 0.5, 0.5, "", ["12,000 13,000 14,000"]), none),
-            (("'25% x £7.2m x 9/12 = 1,350'.", "", False, 0.5, 0.5, "", ["1,400"]), none),
+            (("'40% x £9.6m x 5/12 = 1,600'.", "", False, 0.5, 0.5, "", ["1,400"]), none),
             (("Reserves", "", False, 0.5, 0.5, "", ["Less 3,125"]), ("h", 2, None, None, None, 3125.0, True, None, None)),
             (("Point", "", False, 0.5, 0.5, "No share working present here", ["x"]), ("k", 3, None, None, None, None, None, None, None)),
         ],
@@ -70,7 +70,7 @@ def test_set_guards(spark):
     assert marks(set_guards.contradiction(out)) == marks(set_guards.sign(out)) == marks(out)
 
 
-@pytest.mark.parametrize("text,want", [("'25% × £7.2m × 9/12 = 1,350'.", "1350"), ("'25% × (£12.75m − £2.75m) = 2,500'", "2500"), ("'Less net assets … = (18,400)'", "18400"), ("'… = 1,350.'", None)])
+@pytest.mark.parametrize("text,want", [("'40% × £9.6m × 5/12 = 1,600'.", "1600"), ("'30% × (£46.25m − £6.25m) = 12,000'", "12000"), ("'Less liabilities … = (27,300)'", "27300"), ("'… = 1,600.'", None)])
 def test_parent_result(spark, text, want):
     assert spark.range(1).select(set_guards.parent_result(F.lit(text)).alias("x")).head().x == want
 
@@ -95,7 +95,7 @@ def test_recovery_goes_to_singles_beyond_twelve(spark):
     assert (n.n, n.m) == (13, 31)
 
 
-DOC = {"answers": [{"question_number": "1", "marking_criteria": [{"description": "Goodwill at acquisition", "marks": "3 1/2", "sub_criteria": [{"description": "Cost of shares issued", "marks": 0.5, "criterion_id": "G1"}, {"description": "hr", "marks": 1}]}, {"description": "Whole question total given", "marks": 6}],
+DOC = {"answers": [{"question_number": "1", "marking_criteria": [{"description": "Goodwill at acquisition", "marks": "2 1/4", "sub_criteria": [{"description": "Cost of shares issued", "marks": 0.5, "criterion_id": "G1"}, {"description": "hr", "marks": 1}]}, {"description": "Whole question total given", "marks": 6}],
                     "sub_answers": [{"question_number": "1.1", "subsection_max": 4, "sub_answers": [{"question_number": "1.1a", "marks": 3, "marking_criteria": [{"description": "Tutorial note on the adjustment", "marks": 1}, {"description": "Reserves at year end", "marks": 1}]}]}]}]}
 
 
