@@ -88,7 +88,8 @@ def _runs(batches):
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by their first ``depth`` symbols at least, and the symbols before them in that order.
 
-    Symbols are below 512; the text is a ring, so the one before each suffix always exists.
+    Symbols are below 512; the text is a ring, so the one before each suffix always exists. Suffixes that are equal as
+    far as they are looked at stand in any order: intervals of strings no longer than ``depth`` are the same in all of them.
     """
     n = len(text)
     padded = np.resize(text.astype(U64), n + 7)
@@ -97,7 +98,7 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = (key << U64(9)) | padded[j : j + n]
     size = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, bool)
         ordered = key[order]
         np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
@@ -136,7 +137,7 @@ def undecided(before: np.ndarray, length: int) -> np.ndarray:
         owner = np.repeat(np.arange(len(lows)), sizes)
         members = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lows, sizes)
         to = back[members]
-        by = np.argsort(to, kind="stable")
+        by = np.argsort(to)
         to, owner = to[by], owner[by]
         new = np.ones(total, bool)
         new[1:] = (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | symbol_start[to[1:]]
