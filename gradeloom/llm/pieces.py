@@ -92,7 +92,7 @@ class Pieces:
         for j in range(4):
             key = (key << np.uint64(16)) | padded[j : j + len(key)]
         four = key  # four symbols in one number
-        order = np.argsort(key[:n], kind="stable")
+        order = np.argsort(key[:n])
         size = 4
         while size < self.longest:
             ordered = key[order]
@@ -102,7 +102,7 @@ class Pieces:
             rank[order] = np.cumsum(new)
             key = (rank[:n] << np.uint64(32)) | rank[size : size + n]
             size *= 2
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
         four = np.concatenate([four, np.zeros(self.width, np.uint64)])
         count, columns = self.table.shape
 
@@ -127,7 +127,7 @@ class Pieces:
         piece = np.repeat(np.arange(count), sizes)
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
         position = order[place]
-        by = np.argsort(position, kind="stable")
+        by = np.argsort(position)
         return position[by], piece[by]
 
     def relax(self, codes: np.ndarray, word_of: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ class Pieces:
         symbols[between] = 0
         start, piece = self.edges(symbols)
         # Best first, for good: of several edges over a character the last one written is then the best.
-        by = np.argsort(self.rank[piece] << 32 | start, kind="stable")[::-1]
+        by = np.argsort(self.rank[piece] << 32 | start)[::-1]
         start, piece = start[by], piece[by]
         end = start + self.lengths[piece]
         rank, word = self.rank[piece], word_of[start]
