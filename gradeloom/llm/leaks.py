@@ -198,7 +198,7 @@ class Items:
                 self.fewest[i] -= len(gone)
                 lo += n
             codes, item, place = codes[keep], item[keep], place[keep]
-            by = np.argsort(codes, kind="stable")
+            by = np.argsort(codes)
             bits = max(16, min(24, (8 * len(codes)).bit_length()))
             present = np.zeros(1 << bits, bool)
             present[gram_bins(codes, bits)] = True
@@ -206,7 +206,7 @@ class Items:
         walked = np.flatnonzero(self.most > 0)
         keys = bucket_keys([texts[i] for i in walked.tolist()])
         number = np.repeat(walked.astype(np.int32), WALKS * TABLES)
-        by = np.argsort(keys.ravel(), kind="stable")
+        by = np.argsort(keys.ravel())
         self.buckets, self.held = keys.ravel()[by], number[by]
 
     def bands(self, data: np.ndarray):
@@ -229,7 +229,7 @@ class Items:
                 width = 2 * self.most[own] + 1
                 for shift in (0, 1):
                     key = own << 40 | (diff + self.widest + shift * width) // (2 * width)
-                    by = np.argsort(key, kind="stable")
+                    by = np.argsort(key)
                     first = np.flatnonzero(np.diff(key[by], prepend=-1))
                     sizes = np.diff(first, append=len(by))
                     whose = own[by[first]]
