@@ -307,16 +307,14 @@ class Items:
         return [(row, self.ids[item], e, end) for (row, item), (e, end) in sorted(out.items())]
 
 
-_INDEX: dict[tuple[int, float], Items] = {}
+_LAST: list = []
 
 
 def _index(sent, share: float) -> Items:
-    """A worker keeps the index of the block it met last."""
-    key = id(sent.value), share
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = Items(*sent.value, share)
-    return _INDEX[key]
+    """A worker keeps the index of the block it met last, with the block, by which it knows it."""
+    if not _LAST or _LAST[0] is not sent.value or _LAST[1] != share:
+        _LAST[:] = [sent.value, share, Items(*sent.value, share)]
+    return _LAST[2]
 
 
 def _blocks(items: DataFrame):
