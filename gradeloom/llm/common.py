@@ -62,8 +62,21 @@ def shipped(spark: SparkSession, path: str):
 MALLOC = ((-1, 64 << 20), (-3, 32 << 20), (-2, 4 << 20))
 
 
-def _settle() -> None:
-    """Arrays of some MB come and go in every step; a task takes their memory from the system once, not each time."""
+#: What empties the things that operators keep in a worker from task to task, and the operator that ran last.
+KEPT: list = []
+_last = [""]
+
+
+def _settle(operator: str) -> None:
+    """Arrays of some MB come and go in every step; a task takes their memory from the system once, not each time.
+
+    A worker that another operator used before drops what that one kept.
+    """
+    if operator != _last[0]:
+        for empty in KEPT:
+            empty()
+        _last[0] = operator
+        _release()
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         for key, value in MALLOC:
@@ -85,7 +98,7 @@ def released(run):
     """A function for mapInArrow whose worker holds no freed memory once its task is done."""
 
     def wrapped(batches):
-        _settle()
+        _settle(run.__module__)
         try:
             yield from run(batches)
         finally:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, lean, mix, released, steps, utf8
+from .common import KEPT, LOWER, SPACE, U64, lean, mix, released, steps, utf8
 
 SHARE, GRAM = 0.1, 8
 WALKS, TABLES, SAMPLE = 32, 8, 5
@@ -308,6 +308,7 @@ class Items:
 
 
 _LAST: list = []
+KEPT.append(_LAST.clear)
 
 
 def _index(sent, share: float) -> Items:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import list_column, records, released, shipped, steps
+from .common import KEPT, list_column, records, released, shipped, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments, and characters of segments, whose ids a worker keeps; those least used go when the memory is full.
@@ -288,6 +288,9 @@ def pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
+KEPT.append(pieces.cache_clear)
+
+
 def _text_steps(texts: list[str | None]):
     lo, size = 0, 0
     for i, t in enumerate(texts):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, shipped, stored
+from .common import KEPT, released, shared_dir, shipped, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -54,6 +54,9 @@ def tokenizer(ranks: str | bytes):
     return tiktoken.Encoding("flat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+KEPT.append(tokenizer.cache_clear)
+
+
 def spelled(doc_id: int | None) -> list[int]:
     value = NO_ID if doc_id is None else doc_id % 2**64
     return [value >> 15 * i & 0x7FFF for i in range(HEADER)]
