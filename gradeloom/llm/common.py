@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 #: Rows that make a key of a join frequent, and most frequent keys (at most 24 bytes each) that are sent to all executors.
@@ -111,7 +112,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradeloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Partitions of the size the session advises, however many cores are free: a small table is one file.
+    before = spark.conf.get(PARALLEL_FIRST, "true")
+    spark.conf.set(PARALLEL_FIRST, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(PARALLEL_FIRST, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
