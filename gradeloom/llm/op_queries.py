@@ -131,3 +131,9 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spellings import group_variants
+
+    return group_variants(_documents(spark, sf_dir))
