@@ -139,7 +139,8 @@ class Packer:
             self.place([Piece(doc_id, total - rest, ids[total - rest :].copy(), total)], rest)
         if self.n_open > self.most_open:
             last = self.merge()
-            self.place(last, sum(len(p.ids) for p in last))
+            if last:
+                self.place(last, sum(len(p.ids) for p in last))
 
     def place(self, pieces: list[Piece], s: int) -> None:
         h = self.level(s)
