@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import numbers as N
 from . import text as X
 
 # Words after which a criterion speaks of something else; words that say nothing about its focus.
@@ -39,7 +40,6 @@ ALIGNMENT_STOP = [
 # Phrases and words of headings.
 HEADING_PHRASES = r"calculated as follows|is as follows|^revised consolidated statement|^the basic eps"
 HEADING_KEYWORDS = r"calculated|as follows|accounting|treatment|journal|statement|revised|electrostatic"
-JOURNAL_LINE = r"(?i)^\s*(?:debit|credit|dr\b|cr\b)\b"
 
 
 def _words(values: list[str]) -> Column:
@@ -67,8 +67,7 @@ def expected_spellings(value: Column) -> Column:
 
 def working_line(value: Column, text: Column) -> Column:
     """The first line, not of a journal, that states the value as a number of its own; null without one."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(JOURNAL_LINE))
-    return F.get(F.filter(lines, lambda x: X.value_in_text(value, x)), 0)
+    return N.first_line(value, N.working_index(text))
 
 
 def head(criterion: Column) -> Column:

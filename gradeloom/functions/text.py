@@ -110,21 +110,18 @@ def value_variants(value: Column) -> Column:
 
 
 def variant_in_text(variant: Column, text: Column) -> Column:
-    """Whether a spelling stands in the text as a number of its own; one or two bare digits need a million word."""
-    literal = F.regexp_replace(variant, r"([.])", r"\\\\$1")
+    """Whether one spelling stands in the text as a number of its own; one or two bare digits need a million word. Figures are
+    looked up in all their spellings by numbers.value_in_text."""
+    literal = F.regexp_replace(variant, r"([.])", r"\\$1")
     plain = F.concat(F.lit(r"(?i)(?<![0-9.,])"), literal, F.lit(r"(?![0-9])"))
     small = F.concat(F.lit(r"(?i)(?<![0-9.,])"), literal, F.lit(r" ?(?:m|mn|million)\b"))
     return F.when(variant.rlike("^[0-9]{1,2}$"), F.rlike(text, small)).otherwise(F.rlike(text, plain))
 
 
-def value_in_text(value: Column, text: Column) -> Column:
-    return F.exists(value_variants(value), lambda v: variant_in_text(v, text))
-
-
 def is_deduction(value: Column, text: Column) -> Column:
     """Whether the text writes the figure in brackets or after less, deduct or minus."""
     def written(v: Column) -> Column:
-        v = F.regexp_replace(v, r"([.])", r"\\\\$1")
+        v = F.regexp_replace(v, r"([.])", r"\\$1")
         return F.rlike(text, F.concat(F.lit(r"(?i)\([£$€]? ?"), v, F.lit(r"(?:m|k)?\)|\b(?:less|deduct|minus)\b[^0-9\n]{0,40}[£$€]?"), v, F.lit("(?![0-9])")))
 
     return F.exists(value_variants(value), written)

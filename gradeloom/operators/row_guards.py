@@ -1,8 +1,8 @@
 """Row guards: each takes judged rows and returns them with marks taken back, given or kept.
 
 Rows: submission_id, item_pos, criterion, category, exact_match, marks_awarded, max_possible, reason,
-evidence (array), and ``text`` (the script) and ``reference`` (question and rubric text) joined by
-``submission_id`` once before the chain. All guards are projections, so a chain of them is one stage.
+evidence (array), and ``text`` (the script), ``reference`` (question and rubric text) and ``journal_lines``
+(the script's lines with Dr or Cr and the keys of their numbers) joined by ``submission_id`` once before the chain. All guards are projections, so a chain of them is one stage.
 Each guard that changes marks appends (guard, delta, reason) to ``audit``. Nulls: marks and maxima
 count as 0, evidence as empty, texts as empty.
 """
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic
 from ..functions import criteria as C
+from ..functions import numbers as N
 from ..functions import text as X
 
+# Fixed value: the sides of a journal.
+SIDE = r"(?i)\b(?:dr|cr)\b"
 AUDIT = "array<struct<guard:string,delta:double,reason:string>>"
 
 
@@ -32,7 +35,9 @@ def prepare(judged: DataFrame, scripts: DataFrame) -> DataFrame:
         "exact_match": F.coalesce("exact_match", F.lit(False)),
         "audit": F.array().cast(AUDIT),
     })
-    s = scripts.select("submission_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("reference", F.lit("")).alias("reference"))
+    text = F.coalesce("text", F.lit(""))
+    # The journal lines of a script are indexed once, not for each of its rows.
+    s = scripts.select("submission_id", text.alias("text"), F.coalesce("reference", F.lit("")).alias("reference"), N.line_index(text, SIDE).alias("journal_lines"))
     return j.join(s, "submission_id", "left").fillna("", ["text", "reference"])
 
 
@@ -157,7 +162,8 @@ def strict_numbers(df: DataFrame) -> DataFrame:
     grants an own figure, or it rests on other figures, and the figure need not be exact."""
     figures = F.filter(X.numbers(F.regexp_replace("criterion", r"(?i)\b(?:19|20)[0-9]{2}\b", "")), lambda n: F.length(F.regexp_replace(n, "[^0-9]", "")) >= 2)
     said = F.array_join("evidence", " ")
-    all_there = F.forall(figures, lambda n: X.value_in_text(n.try_cast("double"), said) | F.contains(F.regexp_replace(said, "[, ]", ""), n))
+    seen = F.struct(N.number_keys(said).alias("keys"), F.regexp_replace(said, "[, ]", "").alias("joined"))
+    all_there = X.let(seen, lambda s: F.forall(figures, lambda n: N.stands_in(n.try_cast("double"), s["keys"]) | F.contains(s["joined"], n)))
     result = arithmetic.bracket_value(F.col("criterion"))
     derived = F.coalesce(F.exists(C.expected_spellings(result), lambda v: F.contains(F.lower(F.regexp_replace(said, "[, ]", "")), F.regexp_replace(v, " ", ""))), F.lit(False))
     rests = F.size(F.coalesce("of_source_ids", F.array().cast("array<string>"))) > 0 if "of_source_ids" in df.columns else F.lit(False)
@@ -171,7 +177,7 @@ def journal_direction(df: DataFrame) -> DataFrame:
     said = F.lower(F.array_join("evidence", " "))
     df = _zero_if(df, "F16", (side != "") & ~F.when(side == "dr", said.rlike(r"\bdr\b|\bdebit")).otherwise(said.rlike(r"\bcr\b|\bcredit")), "Marks revoked (journal side missing).")
     figures = X.salient_numbers(F.col("criterion"))
-    there = F.exists(figures, lambda n: X.value_in_text(n.try_cast("double"), said))
+    there = X.let(N.number_keys(said), lambda keys: F.exists(figures, lambda n: N.stands_in(n.try_cast("double"), keys)))
     lesser = F.greatest(F.lit(0.25), F.least(X.quarter(F.col("max_possible") / 2), F.col("max_possible") - 0.25))
     reduce = (side != "") & (F.size(figures) > 0) & (F.col("marks_awarded") >= F.col("max_possible")) & (F.col("max_possible") > 0.25) & ~there
     return _set(df, "F16", F.when(reduce, lesser).otherwise(F.col("marks_awarded")), "Own figure: journal amount differs.")
@@ -183,15 +189,14 @@ def journal_line(df: DataFrame) -> DataFrame:
     words = F.filter(X.tokens(F.col("criterion"), 4), lambda w: ~w.rlike("[0-9]"))
     figures = X.salient_numbers(F.col("criterion"))
 
-    def fits(line: Column) -> Column:
+    def fits(line: Column, keys: Column) -> Column:
         low = F.lower(line)
-        return F.rlike(low, F.concat(F.lit(r"\b"), side, F.lit(r"\b"))) & F.exists(figures, lambda n: X.value_in_text(n.try_cast("double"), low)) & F.exists(words, lambda w: F.contains(low, w))
+        return F.rlike(low, F.concat(F.lit(r"\b"), side, F.lit(r"\b"))) & F.exists(figures, lambda n: N.stands_in(n.try_cast("double"), keys)) & F.exists(words, lambda w: F.contains(low, w))
 
-    lines = F.filter(F.split("text", "\n"), fits)
-    due = (side != "") & (F.col("marks_awarded") == 0) & (F.size(lines) > 0)
-    df = df.withColumn("_line", F.when(due, F.get(lines, 0)))
+    due = (side != "") & (F.col("marks_awarded") == 0)
+    df = df.withColumn("_line", F.when(due, F.get(F.filter("journal_lines", lambda r: fits(r["line"], r["keys"])), 0)["line"]))
     df = _set(df, "F17", F.when(F.col("_line").isNotNull(), F.col("max_possible")).otherwise(F.col("marks_awarded")), "Full marks (journal line found).")
-    return df.withColumn("evidence", F.when(F.col("_line").isNotNull(), F.concat("evidence", F.array(F.trim("_line")))).otherwise(F.col("evidence"))).drop("_line")
+    return df.withColumn("evidence", F.when(F.col("_line").isNotNull(), F.concat("evidence", F.array("_line"))).otherwise(F.col("evidence"))).drop("_line")
 
 
 def own_figure_flag(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic
 from ..functions import criteria as C
+from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import finalize
 from .guard_queries import ALIGNED, ALIGNED_STEPS, KEY, SAID, any_sql, in_text_sql, prepared, variants_sql, words_sql
@@ -34,7 +35,7 @@ def x01_evidence_norm(spark, sf_dir):
 
 @query(f"""{VIEW} SELECT submission_id, item_pos, {in_text_sql('expected_amount', 'text')} AS present FROM r""")
 def x03_value_in_text(spark, sf_dir):
-    return over_rows(spark, sf_dir, X.value_in_text(F.col("expected_amount"), F.col("text")).alias("present"))
+    return over_rows(spark, sf_dir, N.value_in_text(F.col("expected_amount"), F.col("text")).alias("present"))
 
 
 _TOKENS = [("'£' || format('{:,}', f)", "CAST(f AS DOUBLE)"), ("(f / 1000.0) || 'm'", "f / 1000.0 * 1000000"), ("n || 'k'", "n * 1000.0"), ("n || 'p'", "n / 100.0"), ("n || '%'", "n / 100.0"), ("n || '/12'", "n / 12.0"), ("'see ' || n", "CAST(NULL AS DOUBLE)")]
