@@ -39,11 +39,12 @@ def rank_pages(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     return both.withColumn("page_rank", F.row_number().over(order)).select("submission_id", "evidence_id", "page", "shared", "page_rank")
 
 
-def find_evidence(lines: DataFrame, evidence: DataFrame) -> DataFrame:
+def find_evidence(lines: DataFrame, evidence: DataFrame, near_misses: bool = True) -> DataFrame:
     """L2: the line each piece of evidence stands in: literally (1), normalised (2), as a table row (3), nearly (4).
 
     Tier, then page rank, then position decide. Near misses share a figure of two digits, have twelve
-    characters and a ratio of 0.82; only pairs that share a figure reach the Python ratio.
+    characters and a ratio of 0.82; only pairs that share a figure reach the Python ratio. ``fragment`` is the longest part of the
+    evidence that the line has literally, null without one.
     """
     e = evidence.withColumn("e_norm", X.symbol_norm(F.col("evidence"))).withColumn("fragment", F.explode(X.candidate_fragments(F.col("evidence"))))
     line = lines.withColumn("l_norm", X.symbol_norm(F.col("text")))
@@ -52,17 +53,23 @@ def find_evidence(lines: DataFrame, evidence: DataFrame) -> DataFrame:
     normal = (F.length("e_norm") >= LEAST_NORM) & (F.contains("l_norm", X.symbol_norm(F.col("fragment"))) | (F.contains("e_norm", F.col("l_norm")) & (F.length("l_norm") >= LEAST_NORM)))
     row = F.exists(X.row_variants(F.col("fragment")), lambda v: F.contains(F.lower("text"), F.lower(v)))
     tier = F.when(literal, 1).when(normal, 2).when(row, 3)
-    exact = pairs.withColumn("tier", tier).filter("tier is not null")
+    exact = pairs.withColumn("tier", tier).filter("tier is not null").withColumns({"score": F.lit(1.0), "fragment": F.when(F.col("tier") == 1, F.col("fragment"))})
     keys = ["submission_id", "evidence_id"]
+    if not near_misses:
+        return _best_line(exact, lines, evidence)
     left = evidence.join(exact.select(*keys).distinct(), keys, "left_anti").withColumn("e_norm", X.symbol_norm(F.col("evidence"))).filter(F.length("e_norm") >= LEAST_NEAR)
     number = left.select("*", F.explode(X.salient_numbers(F.col("evidence"))).alias("n"))
     on_line = line.select("*", F.explode(X.salient_numbers(F.col("text"))).alias("n"))
     near = number.join(on_line, ["submission_id", "n"]).drop("n").dropDuplicates([*keys, "page", "block", "line"])
     near = near.withColumn("score", ratio("e_norm", "l_norm")).filter(F.col("score") >= NEAR).withColumn("tier", F.lit(4))
-    every = exact.withColumn("score", F.lit(1.0)).drop("fragment").unionByName(near)
+    return _best_line(exact.unionByName(near, allowMissingColumns=True), lines, evidence)
+
+
+def _best_line(every: DataFrame, lines: DataFrame, evidence: DataFrame) -> DataFrame:
+    keys = ["submission_id", "evidence_id"]
     every = every.join(rank_pages(lines, evidence), [*keys, "page"], "left")
-    best = Window.partitionBy(*keys).orderBy("tier", F.desc("score"), "page_rank", "page", "y0", "x0")
-    return every.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*keys, "evidence", "tier", "score", "page", "x0", "y0", "x1", "y1", "text")
+    best = Window.partitionBy(*keys).orderBy("tier", F.desc("score"), "page_rank", "page", "y0", "x0", F.desc(F.length("fragment")))
+    return every.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*keys, "evidence", "tier", "score", "page", "x0", "y0", "x1", "y1", "text", "block", "line", "fragment")
 
 
 def value_rows(labels: DataFrame, words: DataFrame, gap: float = 18.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chain_queries, domain_queries, function_queries, guard_queries, layout_queries, more_queries, queries as first, set_queries, sink_queries  # noqa: F401  they register themselves
+from . import annotation_queries, chain_queries, domain_queries, function_queries, guard_queries, layout_queries, more_queries, queries as first, set_queries, sink_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
