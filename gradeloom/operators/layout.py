@@ -47,11 +47,13 @@ def find_evidence(lines: DataFrame, evidence: DataFrame, near_misses: bool = Tru
     evidence that the line has literally, null without one.
     """
     e = evidence.withColumn("e_norm", X.symbol_norm(F.col("evidence"))).withColumn("fragment", F.explode(X.candidate_fragments(F.col("evidence"))))
-    line = lines.withColumn("l_norm", X.symbol_norm(F.col("text")))
-    pairs = e.join(line, "submission_id").filter(~X.is_heading_line(F.col("text")))
-    literal = F.contains(F.lower("text"), F.lower("fragment"))
-    normal = (F.length("e_norm") >= LEAST_NORM) & (F.contains("l_norm", X.symbol_norm(F.col("fragment"))) | (F.contains("e_norm", F.col("l_norm")) & (F.length("l_norm") >= LEAST_NORM)))
-    row = F.exists(X.row_variants(F.col("fragment")), lambda v: F.contains(F.lower("text"), F.lower(v)))
+    # What each side alone decides is worked out before they meet.
+    e = e.withColumns({"f_low": F.lower("fragment"), "f_norm": X.symbol_norm(F.col("fragment")), "f_rows": F.transform(X.row_variants(F.col("fragment")), F.lower)})
+    line = lines.withColumns({"l_norm": X.symbol_norm(F.col("text")), "l_low": F.lower("text")})
+    pairs = e.join(line.filter(~X.is_heading_line(F.col("text"))), "submission_id")
+    literal = F.contains("l_low", F.col("f_low"))
+    normal = (F.length("e_norm") >= LEAST_NORM) & (F.contains("l_norm", F.col("f_norm")) | (F.contains("e_norm", F.col("l_norm")) & (F.length("l_norm") >= LEAST_NORM)))
+    row = F.exists("f_rows", lambda v: F.contains("l_low", v))
     tier = F.when(literal, 1).when(normal, 2).when(row, 3)
     exact = pairs.withColumn("tier", tier).filter("tier is not null").withColumns({"score": F.lit(1.0), "fragment": F.when(F.col("tier") == 1, F.col("fragment"))})
     keys = ["submission_id", "evidence_id"]
