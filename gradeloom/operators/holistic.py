@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import criteria as C
 from ..functions import text as X
 
 LEAST_WORDS, MOST_WORDS = 4, 6
@@ -66,35 +67,74 @@ def with_leaf(items: DataFrame, leaves: DataFrame) -> DataFrame:
     return items.join(meta, ["model_answer_id", "sub_question"], "left")
 
 
-def best_sentences(scripts: DataFrame, criteria: DataFrame) -> DataFrame:
-    """For each criterion (submission_id, criterion_pos, keywords) the sentence of its script with the highest share of keywords.
+def best_sentences(scripts: DataFrame, criteria: DataFrame, least: float = 0.34) -> DataFrame:
+    """For each criterion (submission_id, criterion_pos, keywords, description) the sentence of its script that supports it best.
 
-    A keyword counts if its first five letters start a word of the sentence; ties go to the earlier sentence.
+    A sentence's score is the share of the keywords that it has (A15); without keywords the description's first six words of over four
+    letters are asked for. Ties go to the earlier sentence; criteria whose best score is below ``least`` are not returned.
     """
     s = scripts.select("submission_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_pos", "sentence"))
-    words = F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9]+"), F.lit(0))
-    hit = F.filter("keywords", lambda k: F.exists(words, lambda w: F.startswith(w, F.left(F.lower(k), F.lit(5)))))
-    scored = criteria.join(s, "submission_id").withColumn("score", F.size(hit) / F.greatest(F.size("keywords"), F.lit(1)))
+    words = F.slice(F.filter(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(r"\w+"), F.lit(0)), lambda w: F.length(w) > 4), 1, 6)
+    asked = criteria.withColumn("keywords", F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(words)).filter("size(keywords) > 0")
+    scored = asked.join(s, "submission_id").withColumn("score", C.keyword_score(F.col("keywords"), F.col("sentence"))).filter((F.col("score") > 0) & (F.col("score") >= least))
     best = scored.groupBy("submission_id", "criterion_pos").agg(F.max(F.struct("score", (-F.col("sentence_pos")).alias("p"), "sentence")).alias("x"))
     return best.select("submission_id", "criterion_pos", "x.score", (-F.col("x.p")).alias("sentence_pos"), "x.sentence")
 
 
+def anchors(sentence: Column, keywords: Column) -> Column:
+    """Runs of five, four and six words of a sentence, those around a keyword first, each as its distinct words: what a tick may stand on."""
+    words = F.filter(F.split(F.lower(sentence), r"\s+"), lambda w: w != "")
+    stems = F.filter(F.flatten(F.transform(keywords, lambda k: F.regexp_extract_all(F.lower(k), F.lit("[a-z]+"), F.lit(0)))), lambda w: F.length(w) >= 3)
+
+    def runs(x: Column) -> Column:
+        hits = F.transform(x["words"], lambda w: X.let(F.array(F.regexp_replace(w, "[^a-z]+", "")), lambda said: F.exists(x["stems"], lambda k: C.stem_match(k, said))))
+        each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x["words"]) - n + 1, F.lit(1))), lambda i: F.struct(F.array_contains(F.slice(hits, i, F.lit(n)), True).alias("near"), F.slice(x["words"], i, F.lit(n)).alias("run")))
+        every = F.filter(F.concat(each(5), each(4), each(6)), lambda r: F.size(r["run"]) >= LEAST_WORDS)
+        ranked = F.concat(F.filter(every, lambda r: r["near"]), F.filter(every, lambda r: ~r["near"]))
+        return F.transform(ranked, lambda r: F.array_distinct(F.regexp_extract_all(F.array_join(r["run"], " "), F.lit(r"\w+"), F.lit(0))))
+
+    return X.let(F.struct(words.alias("words"), stems.alias("stems")), runs)
+
+
 def coverage_audit(rows: DataFrame, new: float = 0.55, more: float = 0.34, per_sentence: int = 4, trust: float = 0.75) -> DataFrame:
-    """Ticks for criteria that a sentence clearly meets, under sentence, leaf and section caps.
+    """Ticks for criteria that a sentence clearly meets, under sentence, leaf and section caps at once.
 
-    ``rows``: submission_id, section, section_cap, section_marks, leaf, leaf_max, criterion_pos, marks (of the
-    criterion), existing (ticks), score and sentence_pos of its best sentence. Sections the judge gave ``trust``
-    of the cap are left alone. Added ticks are prefix sums under each cap in rubric order. Returns added ticks.
+    ``rows``: submission_id, section, section_cap, section_marks, leaf, leaf_max, leaf_ticks, criterion_pos, marks (of the
+    criterion), existing (ticks), score and sentence_pos of its best sentence, and where present anchors (see ``anchors``). Sections the
+    judge gave ``trust`` of the cap are left alone. Rows are taken in rubric order; each gets as many ticks as it lacks, as long as
+    its sentence has under ``per_sentence``, its leaf and section have room, and there is an anchor that shares no word with those taken
+    in its sentence. Returns ``rows`` with added ticks.
     """
+    has = "anchors" in rows.columns
     wanted = F.greatest(F.round(F.col("marks") * 2).cast("int") - F.col("existing"), F.lit(0))
     fits = F.col("score") >= F.when(F.col("existing") > 0, more).otherwise(new)
     open_ = F.coalesce(F.col("section_marks") < trust * F.col("section_cap"), F.lit(True))
-    r = rows.withColumn("added", F.when(fits & open_, wanted).otherwise(0))
-
-    def capped(df: DataFrame, by: list[str], room) -> DataFrame:
-        before = F.coalesce(F.sum("added").over(Window.partitionBy("submission_id", *by).orderBy("criterion_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return df.withColumn("added", F.greatest(F.least(F.col("added"), room - before), F.lit(0)))
-
-    r = capped(r, ["sentence_pos"], F.lit(per_sentence))
-    r = capped(r, ["leaf"], F.floor(F.col("leaf_max") * 2) - F.col("leaf_ticks"))
-    return capped(r, ["section"], F.floor(F.coalesce(F.col("section_cap") - F.col("section_marks"), F.lit(1e6)) * 2))
+    room = lambda c: F.greatest(F.coalesce(c.cast("int"), F.lit(1_000_000)), F.lit(0))
+    r = rows.withColumn("_want", F.when(fits & open_, wanted).otherwise(0))
+    mine = F.struct(
+        "criterion_pos", F.coalesce(F.col("sentence_pos").cast("long"), F.lit(-1)).alias("sentence"), F.col("leaf").cast("string").alias("leaf"), F.col("section").cast("string").alias("section"), F.col("_want").cast("int").alias("want"),
+        room(F.floor(F.col("leaf_max") * 2) - F.col("leaf_ticks")).alias("leaf_room"), room(F.ceil((F.col("section_cap") - F.col("section_marks")) * 2)).alias("section_room"),
+        (F.col("anchors") if has else F.array().cast("array<array<string>>")).alias("anchors"),
+    )
+    kind = "array<struct<criterion_pos:bigint,sentence:bigint,leaf:string,section:string,added:int,words:array<string>>>"
+
+    def take(done: Column, x: Column) -> Column:
+        used = lambda name: F.aggregate(F.filter(done, lambda d: d[name].eqNullSafe(x[name])), F.lit(0), lambda a, d: a + d["added"])
+        least = F.greatest(F.least(x["want"], F.lit(per_sentence) - used("sentence"), x["leaf_room"] - used("leaf"), x["section_room"] - used("section")), F.lit(0))
+        said = F.flatten(F.transform(F.filter(done, lambda d: d["sentence"] == x["sentence"]), lambda d: d["words"]))
+        start = F.struct(F.lit(0).alias("n"), said.alias("said"), F.array().cast("array<string>").alias("own"))
+
+        def tick(s: Column, a: Column) -> Column:
+            free = (s["n"] < least) & ~F.coalesce(F.arrays_overlap(s["said"], a), F.lit(False))
+            return F.when(free, F.struct((s["n"] + 1).alias("n"), F.concat(s["said"], a).alias("said"), F.concat(s["own"], a).alias("own"))).otherwise(s)
+
+        got = F.aggregate(x["anchors"], start, tick)
+        added, words = (got["n"], got["own"]) if has else (least, F.array().cast("array<string>"))
+        one = F.struct(x["criterion_pos"].cast("bigint").alias("criterion_pos"), x["sentence"].alias("sentence"), x["leaf"].alias("leaf"), x["section"].alias("section"), added.alias("added"), words.alias("words"))
+        return F.when(x["want"] > 0, F.concat(done, F.array(one))).otherwise(done)
+
+    # Rows of one script only: tens, not a growing group.
+    folded = r.groupBy("submission_id").agg(F.array_sort(F.collect_list(mine)).alias("_rows")).select("submission_id", F.explode(F.aggregate("_rows", F.array().cast(kind), take)).alias("x"))
+    folded = folded.select("submission_id", F.col("x.criterion_pos").alias("criterion_pos"), F.col("x.added").alias("added"))
+    out = r.drop("_want").withColumn("criterion_pos", F.col("criterion_pos").cast("bigint")).join(folded, ["submission_id", "criterion_pos"], "left")
+    return out.withColumn("added", F.coalesce("added", F.lit(0)))

@@ -85,8 +85,7 @@ def is_present(norm: Column, text_norm: Column) -> Column:
 
 def evidence_presence(df: DataFrame) -> DataFrame:
     """some searchable piece of evidence must stand in the script."""
-    present = X.let(X.evidence_norm(F.col("text")), lambda t: F.exists(F.transform("evidence", X.evidence_norm), lambda e: is_searchable(e) & is_present(e, t)))
-    return _zero_if(df, "F7", ~present, "Marks revoked (evidence not found in the script).")
+    return _zero_if(df, "F7", ~in_script(), "Marks revoked (evidence not found in the script).")
 
 
 def taint(df: DataFrame) -> DataFrame:
@@ -135,26 +134,42 @@ def negation(df: DataFrame) -> DataFrame:
     return _zero_if(df, "F11", F.lower("criterion").rlike(REQUIRES) & denies, "Marks revoked (evidence contradicts the criterion).")
 
 
+#: A calculation as it is written: figures with operators between them.
+CALCULATION = r"\(?[0-9][0-9.,£$mkp% ]*(?:[x×*/+-] ?[0-9£$.,mkp%() ]+)+"
+MOST_PIECES = 12
+
+
+def in_script() -> Column:
+    """Whether some searchable piece of the row's evidence stands in its script."""
+    return X.let(X.evidence_norm(F.col("text")), lambda t: F.exists(F.transform("evidence", X.evidence_norm), lambda e: is_searchable(e) & is_present(e, t)))
+
+
 def calculated(df: DataFrame) -> DataFrame:
-    """full marks where evidence, or a calculation in the script, works out to the criterion's amount.
+    """full marks where a calculation works out to the amount a criterion states after GBP.
 
-    The amount is the one after GBP where the criterion's own bracket, "(416,000 x GBP25)", works out to it,
-    else that of the bracket, else the one after GBP; only a bracket is looked for in the script. A criterion about income takes only
-    evidence that speaks of it. Arithmetic runs in one Arrow function over at most twelve pieces of each row.
+    F12: a row without marks whose own bracket, "(416,000 x GBP25)", works out to the stated amount gets them if any
+    calculation of the script does; it becomes the first evidence. F13: a row with less than its maximum, some of whose evidence stands in the
+    script, gets them if one of the first ``MOST_PIECES`` different calculations in its evidence does. A criterion about
+    income takes only what speaks of it. Arithmetic runs in Arrow functions.
     """
-    bracket, stated = arithmetic.bracket_value(F.col("criterion")), C.expected_amount(F.regexp_replace("criterion", r"\([^)]*\)", " "))
-    brackets = F.regexp_extract_all("text", F.lit(r"\(?[0-9][0-9.,£$mkp% ]*(?:[x×*/+-] ?[0-9£$.,mkp%() ]+)+"), F.lit(0))
-    in_evidence = F.flatten(F.transform("evidence", lambda e: F.concat(F.array(e), F.regexp_extract_all(e, F.lit(r"\(?[0-9][0-9.,£$mkp% ]*(?:[x×*/+-] ?[0-9£$.,mkp%() ]+)+"), F.lit(0)))))
-    income = F.col("criterion").rlike(INCOME) & ~F.array_join("evidence", " ").rlike(INCOME_EVIDENCE)
-    wanted = (F.col("marks_awarded") < F.col("max_possible")) & ~F.coalesce(income, F.lit(False))
-    df = df.withColumn("_amount", F.coalesce(bracket, stated))
-    pieces = F.when(bracket.isNotNull(), F.concat(in_evidence, brackets)).otherwise(in_evidence)
-    df = df.withColumn("_pieces", F.when(F.col("_amount").isNotNull() & wanted, F.slice(F.array_distinct(pieces), 1, 12)))
-    df = df.withColumn("_values", arithmetic.evaluate_all("_pieces"))
-    hit = F.exists("_values", lambda v: F.abs(v - F.col("_amount")) <= F.greatest(F.lit(2.0), 1e-6 * F.abs(F.col("_amount"))))
+    bracket, stated = arithmetic.bracket_value(F.col("criterion")), C.expected_amount(F.col("criterion"))
+    near = F.abs(bracket - stated) <= F.greatest(F.lit(2.0), 1e-6 * F.greatest(F.abs(bracket), F.abs(stated)))
+    found = lambda c: F.regexp_extract_all(c, F.lit(CALCULATION), F.lit(0))
+    said = F.array_join("evidence", " ")
+    key = lambda e: F.lower(F.regexp_replace(e, r"\s+", ""))
+    first = F.aggregate(found(said), F.array().cast("array<string>"), lambda acc, e: F.when(F.exists(acc, lambda x: key(x) == key(e)), acc).otherwise(F.concat(acc, F.array(e))))
+    income = F.col("criterion").rlike(INCOME)
+    lost = (F.col("marks_awarded") == 0) & (F.col("max_possible") > 0) & F.coalesce(near, F.lit(False))
+    short = (F.col("marks_awarded") < F.col("max_possible")) & stated.isNotNull() & (~income | said.rlike(INCOME)) & in_script()
+    # Neither search needs what the other finds: a row that F12 credits has all its marks.
+    df = df.withColumns({"_amount": stated, "_script": F.when(lost, F.array_distinct(found("text"))), "_said": F.when(short, F.slice(first, 1, MOST_PIECES))})
+    df = df.withColumns({"_made": arithmetic.first_that_makes("_script", "_amount"), "_agrees": arithmetic.first_that_makes("_said", "_amount")})
+    hit = F.col("_made").isNotNull() & (~income | F.concat_ws(" ", "evidence", "_made").rlike(INCOME))
     df = df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    df = _set(df, "F12", F.when(F.col("_hit"), F.col("max_possible")).otherwise(F.col("marks_awarded")), "Full marks (calculation agrees).")
-    return df.withColumn("evidence", F.when(F.col("_hit"), F.array_union("evidence", "_pieces")).otherwise(F.col("evidence"))).drop("_amount", "_pieces", "_values", "_hit")
+    df = _set(df, "F12", F.when(F.col("_hit"), F.col("max_possible")).otherwise(F.col("marks_awarded")), "Full marks (calculation found in the script).")
+    df = _set(df, "F13", F.when(F.col("_agrees").isNotNull(), F.col("max_possible")).otherwise(F.col("marks_awarded")), "Full marks (calculation agrees).")
+    df = df.withColumn("evidence", F.when(F.col("_hit") & ~F.array_contains("evidence", F.col("_made")), F.concat(F.array("_made"), "evidence")).otherwise(F.col("evidence")))
+    return df.drop("_amount", "_script", "_made", "_said", "_agrees", "_hit")
 
 
 def strict_numbers(df: DataFrame) -> DataFrame:
@@ -226,8 +241,7 @@ def apply(rows: DataFrame) -> DataFrame:
 
 def partial_credit(df: DataFrame) -> DataFrame:
     """F14, not in the chain: half the maximum, in quarters, where evidence stands in the script but no marks were given."""
-    present = X.let(X.evidence_norm(F.col("text")), lambda t: F.exists(F.transform("evidence", X.evidence_norm), lambda e: is_searchable(e) & is_present(e, t)))
-    return _set(df, "F14", F.when((F.col("marks_awarded") == 0) & present, X.quarter(F.col("max_possible") / 2)).otherwise(F.col("marks_awarded")), "Partial credit.")
+    return _set(df, "F14", F.when((F.col("marks_awarded") == 0) & in_script(), X.quarter(F.col("max_possible") / 2)).otherwise(F.col("marks_awarded")), "Partial credit.")
 
 
 def displayed(df: DataFrame) -> DataFrame:

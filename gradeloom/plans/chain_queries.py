@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import finalize, holistic, judge, resolve, restatements, rubric
 from ..sources import tables
+from .function_queries import _stem_sql
 from .guard_queries import KEY, in_text_sql, prepared
 from .marking_view import VIEW, judged, scripts
 from .queries import _SENTENCES_SQL, _STOP_SQL, _norm_sql, query, table
@@ -236,11 +237,13 @@ def _rubric_rows(spark, sf_dir):
 i AS (SELECT submission_id, item_pos, CASE WHEN item_pos % 4 = 0 THEN upper(criterion_id) END AS id, {_norm_sql("CASE item_pos % 4 WHEN 2 THEN left(criterion, 30) WHEN 3 THEN left(criterion, 45) || ' but otherwise' ELSE upper(criterion) END")} AS jn FROM judged),
 t0 AS (SELECT i.submission_id, i.item_pos, c.position, 0 AS tier FROM i JOIN c USING (submission_id) WHERE i.id = c.id),
 t1 AS (SELECT i.submission_id, i.item_pos, min(c.position) AS position, 1 AS tier FROM i JOIN c USING (submission_id) WHERE i.jn = c.cn AND NOT EXISTS (SELECT 1 FROM t0 WHERE t0.submission_id = i.submission_id AND t0.item_pos = i.item_pos) GROUP BY 1, 2),
-taken AS (SELECT DISTINCT submission_id, position FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1)),
 lo AS (SELECT i.submission_id, i.item_pos, c.position, CASE WHEN length(jn) >= 20 AND length(cn) >= 20 AND (starts_with(jn, cn) OR starts_with(cn, jn)) THEN 2 WHEN length(jn) >= 40 AND length(cn) >= 40 AND left(jn, 40) = left(cn, 40) THEN 3 END AS tier, abs(length(jn) - length(cn)) AS gap FROM i JOIN c USING (submission_id)
   WHERE length(jn) >= 20 AND left(jn, 20) = left(cn, 20) AND NOT EXISTS (SELECT 1 FROM t0 WHERE t0.submission_id = i.submission_id AND t0.item_pos = i.item_pos) AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.submission_id = i.submission_id AND t1.item_pos = i.item_pos)),
-t2 AS (SELECT * FROM (SELECT lo.submission_id, lo.item_pos, lo.position, tier, row_number() OVER (PARTITION BY lo.submission_id, lo.item_pos ORDER BY tier, taken.position IS NOT NULL, gap, lo.position) AS rk FROM lo LEFT JOIN taken ON taken.submission_id = lo.submission_id AND taken.position = lo.position WHERE tier IS NOT NULL) WHERE rk = 1)
-SELECT submission_id, item_pos, position, tier FROM t0 UNION ALL SELECT submission_id, item_pos, position, tier FROM t1 UNION ALL SELECT submission_id, item_pos, position, tier FROM t2""")
+op AS (SELECT submission_id, item_pos, min(tier) AS tier, list(position ORDER BY gap, position) AS options FROM (SELECT *, min(tier) OVER (PARTITION BY submission_id, item_pos) AS best FROM lo WHERE tier IS NOT NULL) WHERE tier = best GROUP BY 1, 2),
+every AS (SELECT submission_id, list({{'item_pos': item_pos, 'tier': tier, 'options': options}} ORDER BY item_pos) AS items FROM (SELECT submission_id, item_pos, tier, [position] AS options FROM t0 UNION ALL SELECT submission_id, item_pos, tier, [position] FROM t1 UNION ALL SELECT submission_id, item_pos, tier, options FROM op) GROUP BY submission_id),
+fold AS (SELECT submission_id, items, 0 AS i, CAST([] AS INTEGER[]) AS got FROM every
+  UNION ALL SELECT submission_id, items, i + 1, list_append(got, CASE WHEN items[i + 1].tier < 2 THEN items[i + 1].options[1] ELSE coalesce(list_filter(items[i + 1].options, lambda o: NOT list_contains(got, o))[1], items[i + 1].options[1]) END) FROM fold WHERE i < len(items))
+SELECT submission_id, unnest(list_transform(items, lambda x: x.item_pos)) AS item_pos, unnest(got) AS position, unnest(list_transform(items, lambda x: x.tier)) AS tier FROM fold WHERE i = len(items)""")
 def j01_resolve(spark, sf_dir):
     items, rubric_rows = _rubric_rows(spark, sf_dir)
     return resolve.resolve(items, rubric_rows).select(*KEY, "position", "tier")
@@ -287,7 +290,7 @@ def j05_complete(spark, sf_dir):
     return _incomplete(spark, sf_dir).select(*KEY, "position", "marks_awarded", "max_possible", F.startswith("reason", F.lit("NOT ASSESSED")).alias("missing"))
 
 
-@query(f"{_COMPLETE_SQL} SELECT submission_id, count(*) AS rows, count(*) FILTER (WHERE missing) AS not_assessed, coalesce(sum(max_possible) FILTER (WHERE missing), 0) AS lost, count(*) FILTER (WHERE marks_awarded > 0) / greatest(count(*), 1) AS placed_rate FROM full_rows GROUP BY submission_id")
+@query(f"{_COMPLETE_SQL} SELECT submission_id, count(*) AS rows, count(*) FILTER (WHERE missing) AS not_assessed, coalesce(sum(max_possible) FILTER (WHERE missing), 0) AS lost FROM full_rows GROUP BY submission_id")
 def a13_summary(spark, sf_dir):
     return finalize.summary(_incomplete(spark, sf_dir))
 
@@ -349,27 +352,30 @@ def p20_ticks(spark, sf_dir):
     return holistic.ticks(points.withColumns({"text": said, "marks": F.col("item_pos") % 3 + 0.5})).select(*KEY, "tick", "marks", "key_phrase")
 
 
-_STARTS = "len(list_filter(ks, lambda k: len(list_filter(ws, lambda w: starts_with(w, left(lower(k), 5)))) > 0)) / greatest(len(ks), 1)"
+_KEYWORD = f"CASE WHEN regexp_matches(k, '[ /-]') THEN contains(low, k) OR (len(list_filter(regexp_extract_all(k, '[a-z]+'), lambda w: length(w) >= 4)) > 0 AND len(list_filter(list_filter(regexp_extract_all(k, '[a-z]+'), lambda w: length(w) >= 4), lambda w: {_stem_sql('w', 'said_w')})) >= greatest(1, (len(list_filter(regexp_extract_all(k, '[a-z]+'), lambda w: length(w) >= 4)) + 1) // 2)) ELSE length(k) >= 3 AND {_stem_sql('k', 'said_w')} END"
 
 
-@query(f"""{VIEW}, s AS (SELECT submission_id, ss[i] AS sentence, i - 1 AS sentence_pos FROM (SELECT submission_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT submission_id, {_SENTENCES_SQL.format(c='text')} AS ss FROM script))),
-k AS (SELECT submission_id, item_pos, regexp_extract_all(lower(criterion), '[a-z]{{4,}}') AS ks FROM judged),
-x AS (SELECT k.submission_id, item_pos, sentence, sentence_pos, {_STARTS} AS score FROM k JOIN (SELECT *, regexp_extract_all(lower(sentence), '[a-z0-9]+') AS ws FROM s) s USING (submission_id))
-SELECT submission_id, item_pos, score, CAST(sentence_pos AS INTEGER) AS sentence_pos FROM (SELECT *, row_number() OVER (PARTITION BY submission_id, item_pos ORDER BY score DESC, sentence_pos) AS rk FROM x) WHERE rk = 1""")
+@query(f"""{VIEW}, s AS (SELECT submission_id, lower(ss[i]) AS low, regexp_extract_all(lower(ss[i]), '[a-z]+') AS said_w, i - 1 AS sentence_pos FROM (SELECT submission_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT submission_id, {_SENTENCES_SQL.format(c='text')} AS ss FROM script))),
+k AS (SELECT submission_id, item_pos, CASE WHEN item_pos % 4 = 3 THEN list_transform(list_filter(regexp_extract_all(criterion, '\\w+'), lambda w: length(w) > 4)[1:6], lambda w: lower(w)) ELSE list_prepend(lower(regexp_extract(criterion, '^\\w+ \\w+')), regexp_extract_all(lower(criterion), '[a-z]{{4,}}')) END AS ks FROM judged),
+x AS (SELECT k.submission_id, item_pos, sentence_pos, len(list_filter(ks, lambda k: k <> '' AND {_KEYWORD})) / len(ks) AS score FROM k JOIN s USING (submission_id) WHERE len(ks) > 0)
+SELECT submission_id, item_pos, score, CAST(sentence_pos AS INTEGER) AS sentence_pos FROM (SELECT *, row_number() OVER (PARTITION BY submission_id, item_pos ORDER BY score DESC, sentence_pos) AS rk FROM x WHERE score > 0 AND score >= 0.34) WHERE rk = 1""")
 def j12_best_sentences(spark, sf_dir):
+    """The keywords are a criterion's first two words and its words; every fourth row has none."""
     rows = judged(spark, sf_dir)
-    wanted = rows.select("submission_id", F.col("item_pos").alias("criterion_pos"), F.regexp_extract_all(F.lower("criterion"), F.lit("[a-z]{4,}"), F.lit(0)).alias("keywords"))
+    said = F.concat(F.array(F.regexp_extract("criterion", r"^\w+ \w+", 0)), F.regexp_extract_all(F.lower("criterion"), F.lit("[a-z]{4,}"), F.lit(0)))
+    wanted = rows.select("submission_id", F.col("item_pos").alias("criterion_pos"), F.when(F.col("item_pos") % 4 != 3, said).otherwise(F.array().cast("array<string>")).alias("keywords"), F.col("criterion").alias("description"))
     return holistic.best_sentences(scripts(rows), wanted).select("submission_id", F.col("criterion_pos").alias("item_pos"), "score", "sentence_pos")
 
 
-def _capped_sql(name: str, source: str, by: str, room: str) -> str:
-    return f"{name} AS (SELECT *, greatest(least(a, {room} - coalesce(sum(a) OVER (PARTITION BY submission_id, {by} ORDER BY item_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS b FROM {source})"
+_USED = "coalesce(list_sum(list_transform(list_filter(done, lambda d: d.{c} = x.{c}), lambda d: d.added)), 0)"
 
 
-@query(f"""{VIEW}, x AS (SELECT *, f % 7 / 7.0 AS score, item_pos % 3 AS sentence_pos, item_pos // 2 AS leaf, item_pos % 2 AS existing, n % 3 / 2.0 AS section_marks FROM r),
-a0 AS (SELECT *, CASE WHEN score >= CASE WHEN existing > 0 THEN 0.34 ELSE 0.55 END AND section_marks < 0.75 * 2 THEN greatest(CAST(round(max_possible * 2) AS INTEGER) - existing, 0) ELSE 0 END AS a FROM x),
-{_capped_sql('b1', 'a0', 'sentence_pos', '4')}, a1 AS (SELECT * REPLACE (b AS a) FROM b1), {_capped_sql('b2', '(SELECT * EXCLUDE (b) FROM a1)', 'leaf', '3')}, a2 AS (SELECT * REPLACE (b AS a) FROM b2),
-{_capped_sql('b3', '(SELECT * EXCLUDE (b) FROM a2)', 'grp', 'CAST(floor((2 - section_marks) * 2) AS BIGINT)')} SELECT submission_id, item_pos, CAST(b AS BIGINT) AS added FROM b3""")
+@query(f"""{VIEW}, x AS (SELECT *, f % 7 / 7.0 AS score, item_pos % 3 AS sentence, item_pos // 2 AS leaf, item_pos % 2 AS existing, n % 3 / 2.0 AS section_marks FROM r),
+w AS (SELECT *, CASE WHEN score >= CASE WHEN existing > 0 THEN 0.34 ELSE 0.55 END AND section_marks < 0.75 * 2 THEN greatest(CAST(round(max_possible * 2) AS INTEGER) - existing, 0) ELSE 0 END AS want, CAST(ceil((2 - section_marks) * 2) AS INTEGER) AS section_room FROM x),
+every AS (SELECT submission_id, list({{'item_pos': item_pos, 'sentence': sentence, 'leaf': leaf, 'grp': grp, 'want': want, 'section_room': section_room}} ORDER BY item_pos) AS items FROM w GROUP BY submission_id),
+fold AS (SELECT submission_id, items, 0 AS i, CAST([] AS STRUCT(sentence INTEGER, leaf INTEGER, grp VARCHAR, added INTEGER)[]) AS done FROM every
+  UNION ALL SELECT submission_id, items, i + 1, list_append(done, {{'sentence': x.sentence, 'leaf': x.leaf, 'grp': x.grp, 'added': CAST(greatest(least(x.want, 4 - {_USED.format(c='sentence')}, 3 - {_USED.format(c='leaf')}, x.section_room - {_USED.format(c='grp')}), 0) AS INTEGER)}}) FROM (SELECT *, items[i + 1] AS x FROM fold WHERE i < len(items)))
+SELECT submission_id, unnest(list_transform(items, lambda y: y.item_pos)) AS item_pos, CAST(unnest(list_transform(done, lambda d: d.added)) AS BIGINT) AS added FROM fold WHERE i = len(items)""")
 def g14_coverage_audit(spark, sf_dir):
     from .function_queries import _with_numbers
 
@@ -379,7 +385,7 @@ def g14_coverage_audit(spark, sf_dir):
         "submission_id", F.col("group").alias("section"), F.lit(2.0).alias("section_cap"), (F.col("n") % 3 / 2.0).alias("section_marks"), F.floor(pos / 2).alias("leaf"), F.lit(1.5).alias("leaf_max"), F.lit(0).alias("leaf_ticks"),
         pos.alias("criterion_pos"), F.col("max_possible").alias("marks"), (pos % 2).alias("existing"), (F.col("f") % 7 / 7.0).alias("score"), (pos % 3).alias("sentence_pos"),
     )
-    return holistic.coverage_audit(rows).select("submission_id", F.col("criterion_pos").alias("item_pos"), F.col("added").cast("long").alias("added"))
+    return holistic.coverage_audit(rows).select("submission_id", F.col("criterion_pos").cast("int").alias("item_pos"), F.col("added").cast("long").alias("added"))
 
 
 # Restatements and judges

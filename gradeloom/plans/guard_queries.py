@@ -128,13 +128,16 @@ def f11_negation(spark, sf_dir):
     return marks(G.negation(prepared(spark, sf_dir)))
 
 
-# Of the view's texts, only the evidence "= n x f" and the scripts' lines of that form are calculations.
-@query(f"""{VIEW}, calc AS (SELECT submission_id, list(p) AS made FROM raw WHERE said = 8 AND NOT withheld GROUP BY submission_id)
-SELECT submission_id, item_pos, CASE WHEN kind = 2 AND marks_awarded < max_possible AND (said = 8 OR (made IS NOT NULL AND len(list_filter(made, lambda x: abs(x - p) <= 2)) > 0)) THEN max_possible ELSE marks_awarded END AS marks_awarded
-FROM judged LEFT JOIN calc USING (submission_id)""")
+# Of the view's texts, only the evidence "= n x f" and the scripts' lines of that form are calculations; every row asks for the product of its own figures.
+@query(f"""{VIEW}, calc AS (SELECT submission_id, list(p) AS made FROM raw WHERE said = 8 AND NOT withheld GROUP BY submission_id),
+t AS (SELECT r.*, made, {_norm_sql('text')} AS tn, {_EVIDENCE_NORM} AS en FROM r LEFT JOIN calc USING (submission_id))
+SELECT submission_id, item_pos, CASE WHEN (marks_awarded = 0 AND made IS NOT NULL AND len(list_filter(made, lambda x: abs(x - p) <= greatest(2, 1e-6 * p))) > 0)
+  OR (marks_awarded < max_possible AND said = 8 AND {any_sql('en', 'e', f'{_SEARCHABLE} AND {_PRESENT}')}) THEN max_possible ELSE marks_awarded END AS marks_awarded FROM t""")
 def f12_calculated(spark, sf_dir):
-    # Rows with up to twelve pieces decide as all their pieces do: longer lists of calculations are in no script of the view's brackets.
-    return marks(G.calculated(prepared(spark, sf_dir)))
+    from .function_queries import _with_numbers
+
+    rows = prepared(spark, sf_dir).join(_with_numbers(spark, sf_dir), KEY)
+    return marks(G.calculated(rows.withColumn("criterion", F.concat(F.lit("Worth GBP"), F.col("n") * F.col("f"), F.lit(" ("), "n", F.lit(" x GBP"), "f", F.lit(")")))))
 
 
 @query(f"""{VIEW}, t AS (SELECT *, {_norm_sql('text')} AS tn, {_EVIDENCE_NORM} AS en FROM r)

@@ -109,12 +109,15 @@ def g05_sign(spark, sf_dir):
     return marks(S.sign(prepared(spark, sf_dir)))
 
 
-@query(f"{VIEW} SELECT submission_id, item_pos, CASE WHEN marks_awarded > 0 AND column_header = CASE WHEN item_pos % 2 = 0 THEN 'NCI' ELSE 'Total' END THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM r")
+@query(f"{VIEW} SELECT submission_id, item_pos, CASE WHEN marks_awarded > 0 AND item_pos % 3 <> 0 AND ((column_header = 'NCI' AND item_pos % 2 = 0) OR (column_header = 'Total' AND item_pos % 2 = 1)) THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM r")
 def g06_column(spark, sf_dir):
+    """The figure stands under the total, under the other interest, or, in every third row, under both."""
     rows = prepared(spark, sf_dir)
     figure = F.col("expected_amount").cast("long")
-    cells = F.when(F.col("item_pos") % 2 == 0, F.concat(F.lit("Row | 77 | "), figure)).otherwise(F.concat(F.lit("Row | "), figure, F.lit(" | 77")))
-    table = rows.withColumns({"text": F.concat(F.lit("Item | NCI | Total\n"), "text"), "column": F.col("column_header"), "evidence": F.array(F.lit("no table here"), cells)})
+    low = F.when((F.col("item_pos") % 2 == 1) | (F.col("item_pos") % 3 == 0), figure).otherwise(F.lit(77))
+    high = F.when((F.col("item_pos") % 2 == 0) | (F.col("item_pos") % 3 == 0), figure).otherwise(F.lit(77))
+    cells = F.concat(F.lit("Row | "), low, F.lit(" | 5 | "), high)
+    table = rows.withColumns({"text": F.concat(F.lit("Item | Non-controlling interest | Retained earnings | Total equity\n"), "text"), "column": F.col("column_header"), "evidence": F.array(F.lit("no table here"), F.lit("Other | 1 | 2 | 3"), cells)})
     return marks(S.column(table))
 
 
@@ -167,9 +170,12 @@ def g09_contradiction(spark, sf_dir):
     return marks(S.contradiction(prepared(spark, sf_dir)))
 
 
-@query(f"""{VIEW}, w AS (SELECT *, coalesce(sum(CASE WHEN max_possible <= 0.5 THEN max_possible ELSE 0 END) OVER x, 0) AS possible, coalesce(sum(CASE WHEN max_possible <= 0.5 THEN marks_awarded ELSE 0 END) OVER x, 0) AS earned FROM r
-  WINDOW x AS (PARTITION BY submission_id ORDER BY position RANGE BETWEEN 18 PRECEDING AND 18 FOLLOWING))
-SELECT submission_id, item_pos, CASE WHEN marks_awarded > 0 AND NOT regexp_matches(criterion, '[0-9]') AND max_possible BETWEEN 1 AND 2 AND possible >= 0.75 * max_possible AND earned < 0.8 * possible THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM w""")
+_SMALL = "CASE WHEN max_possible > 0 AND max_possible <= 0.5 AND position IS NOT NULL THEN {c} ELSE 0 END"
+
+
+@query(f"""{VIEW}, w AS (SELECT *, sum({_SMALL.format(c='max_possible')}) OVER x - sum({_SMALL.format(c='max_possible')}) OVER y AS possible, sum({_SMALL.format(c='marks_awarded')}) OVER x - sum({_SMALL.format(c='marks_awarded')}) OVER y AS earned FROM r
+  WINDOW x AS (PARTITION BY submission_id ORDER BY position RANGE BETWEEN 18 PRECEDING AND 18 FOLLOWING), y AS (PARTITION BY submission_id, position))
+SELECT submission_id, item_pos, CASE WHEN marks_awarded > 0 AND position IS NOT NULL AND NOT regexp_matches(criterion, '[0-9]') AND max_possible BETWEEN 1 AND 2 AND possible >= 0.75 * max_possible AND earned < 0.8 * possible THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM w""")
 def g10_broad_gating(spark, sf_dir):
     return marks(S.broad_gating(prepared(spark, sf_dir)))
 
@@ -190,8 +196,13 @@ def g11_superset(spark, sf_dir):
     return marks(S.superset(rows.withColumn("every", every).withColumn("criterion", F.when(F.col("item_pos") % 3 == 0, F.col("every")).otherwise(F.col("criterion")))))
 
 
-@query(f"""{VIEW}, k AS (SELECT *, {_KEY_SQL} AS key FROM r), w AS (SELECT *, row_number() OVER (PARTITION BY submission_id, key ORDER BY marks_awarded DESC, item_pos) AS rk FROM k)
-SELECT submission_id, item_pos, CASE WHEN marks_awarded > 0 AND length(key) >= 20 AND rk > 1 THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM w""")
+@query(f"""{VIEW}, k AS (SELECT *, list_distinct(list_filter(list_transform(evidence, lambda x: {_norm_sql('x')}), lambda e: length(e) >= 20)) AS ks FROM r),
+o AS (SELECT submission_id, list({{'item_pos': item_pos, 'ks': ks}} ORDER BY marks_awarded DESC, item_pos) AS items FROM k WHERE marks_awarded > 0 GROUP BY submission_id),
+step AS (SELECT submission_id, items, 0 AS i, CAST([] AS VARCHAR[]) AS claimed, CAST([] AS INTEGER[]) AS gone FROM o
+  UNION ALL SELECT submission_id, items, i + 1, list_concat(claimed, CASE WHEN met > 0 THEN (items[i + 1].ks)[1:met - 1] ELSE items[i + 1].ks END), CASE WHEN met > 0 THEN list_append(gone, items[i + 1].item_pos) ELSE gone END
+  FROM (SELECT *, coalesce(list_position(list_transform(items[i + 1].ks, lambda k: list_contains(claimed, k)), true), 0) AS met FROM step WHERE i < len(items))),
+last AS (SELECT submission_id, gone FROM step WHERE i = len(items))
+SELECT r.submission_id, r.item_pos, CASE WHEN marks_awarded > 0 AND coalesce(list_contains(gone, r.item_pos), false) THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM r LEFT JOIN last USING (submission_id)""")
 def g12_reuse(spark, sf_dir):
     return marks(S.reuse(prepared(spark, sf_dir)))
 
