@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from gradeloom.llm import leaks
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -45,3 +47,25 @@ def test_short_items(spark):
     for parts in (1, len(rows)):
         out = leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id"), spark.createDataFrame(items, "item_id long, text string"))
         assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+
+
+def test_recall_by_kind_of_edit():
+    """A tenth of the bytes deleted, inserted, replaced: each kind by itself, of copies whose exact distance is within the limit."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice(LETTERS[:14]) for _ in range(rng.randint(2, 8)))
+    items = [" ".join(word() for _ in range(rng.randint(20, 60))).encode() for _ in range(100)]
+    index = leaks.Items(list(range(100)), items, leaks.SHARE)
+    for kind in "dis":
+        rows, want = [], []
+        for i, item in enumerate(items * 3):
+            copy = bytearray(item)
+            for _ in range(len(item) // 10):
+                at = rng.randrange(1, len(copy) - 1)
+                copy[at : at + (kind != "i")] = b"" if kind == "d" else rng.choice(LETTERS).encode()
+            text = " ".join(word() for _ in range(rng.randint(1, 30))).encode() + b" " + bytes(copy) + b" " + word().encode()
+            if leaks.edits(item, text)[0] <= len(item) // 10:
+                want.append((len(rows), i % 100))
+            rows.append(text)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        got = {(r, i) for r, i, _, _ in index.search([(0, np.frombuffer(b"".join(rows), np.uint8), offsets)])}
+        assert len(want) > 250 and len(got & set(want)) >= 0.985 * len(want)
