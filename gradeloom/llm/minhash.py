@@ -5,12 +5,13 @@ A document's set holds the hashes of its distinct word shingles. ``SYMBOLS`` min
 two signatures that differ in at most ``threshold()`` symbols have, by pigeonhole, a chunk with at
 most ``ERRORS`` wrong symbols, so enumerating which symbols of a chunk may be wrong gives index
 keys on which all such pairs meet. At a set similarity of 0.8 a symbol differs with probability
-0.2, so the threshold lies 3.7 standard deviations above the mean.
+0.2, so the threshold lies 3.7 standard deviations above the mean. It only orders the work: a pair above it that
+shares a key is still compared by its sets in the end. A pair at 0.8 shares no key with a probability of about 1e-7.
 
 Links are confirmed on whole sets. Equal sets are collapsed before anything is joined. Inside a
 key no pairs are emitted at first: every member meets the key's smallest id, then its best linked member; components are
-built from confirmed links; later rounds look only at pairs that still lie in different components and
-share one of their rarest shingles, which sets of the wanted similarity must.
+built from confirmed links; later rounds look at all pairs that still lie in different components, have keys that join
+components, and share one of their rarest shingles, which sets of the wanted similarity must.
 
 Defined results: null, empty and blank texts have an empty set and no links; rows with a null id
 keep their set size and get a null component and ``kept`` false; rows that repeat an id share its
@@ -253,7 +254,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
         found = components(links.union(same_id) if repeats else links)
         mixed = stored(_mixed(met, found), "mixed")
         candidates = _to_hubs(mixed, links) if hubs else _apart(mixed, sets, percent)
-        open_pairs = stored(close(candidates.join(tested, ["a", "b"], "left_anti")), "open")
+        new_pairs = candidates.join(tested, ["a", "b"], "left_anti")
+        # Signatures say which pairs to try first; the last word has the join of rare shingles, which goes by the sets alone.
+        open_pairs = stored(close(new_pairs) if hubs else new_pairs, "open")
         more = stored(_confirmed(open_pairs, sets, percent), "confirmed")
         new = bool(more.head(1))
         if not hubs and not new:

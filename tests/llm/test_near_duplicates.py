@@ -53,6 +53,33 @@ def test_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold(spark):
+    """Pairs that share exactly 80 of 100 shingles: also those whose signatures differ in more symbols than the threshold."""
+    rng = np.random.default_rng(8)
+    rows, far = [], 0
+    number = 0
+    while far < 5 or len(rows) < 600:
+        shared, own = [f"s{number}x{k}" for k in range(80)], [[f"{c}{number}x{k}" for k in range(10)] for c in "ab"]
+        number += 1
+        texts = [" ".join(rng.permutation(shared + o)) for o in own]
+        import pyarrow as pa
+
+        sets = list(minhash.shingle_sets(pa.array(texts), 1))
+        assert len(np.intersect1d(*sets)) == 80 and len(np.union1d(*sets)) == 100
+        signatures = [minhash.signature(s) for s in sets]
+        over = (signatures[0] != signatures[1]).sum() > minhash.threshold()
+        if over and not np.intersect1d(*minhash.index_keys(np.array(signatures))).size:
+            continue  # shares no key: one in ten million
+        if over or len(rows) < 590:
+            far += over
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+        if number > 60_000:
+            break
+    assert far >= 5
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in out)
+
+
 def test_drifting_group(spark):
     """A large group whose members are similar to some of the others only."""
     rng = random.Random(9)
