@@ -14,15 +14,16 @@ writer can put it as its line separator, which is how the files get to any store
 
 Defined results: a file's last document counts also without a separator if it has an id; empty
 files have no documents; null and empty texts are documents without tokens; null ids come back null.
-A file is one record of Spark's reader, which may have 2 GB at most; the writer keeps below that by
-the longest text (a text has no more ids than bytes), and a scan of a longer file fails with the
-reader's error.
+A file is one record of Spark's reader, which may have 2 GB at most. The writer packs documents into records of some MB, so many
+of them to a file; a text whose ids may not fit into a record has a file of its own. A scan of a file over 2 GB
+fails with the reader's error. A vocabulary with ids from the end-of-document id on is refused.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 import uuid
 
 import numpy as np
@@ -34,11 +35,13 @@ from .common import KEPT, released, shared_dir, shipped, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-END, END_TEXT = 0xC4BF, "Ŀ"
+END, END_TEXT, CLOSE = 0xC4BF, "Ŀ", b"\xc4\xbf"
 HEADER = 5
 BLOCK = 1 << 18
-#: Documents and bytes of a file at most.
-DOCS_PER_FILE, FILE_BYTES = 5000, 1 << 30
+#: Bytes of a file at most, but for those that hold one long text, and records in it.
+FILE_BYTES, RECORDS = 1 << 26, 16
+#: White space of a text that is looked at as one piece.
+LONG_SPACE = re.compile(r"\s{100000,}")
 NO_ID = 1 << 70
 
 
@@ -51,12 +54,27 @@ def tokenizer(ranks: str | bytes):
         with open(ranks, "rb") as f:
             ranks = f.read()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    if max(ranks.values()) >= END:
+        raise ValueError(f"the vocabulary has ids from the end-of-document id {END} on")
     return tiktoken.Encoding("flat", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 KEPT.append(tokenizer.cache_clear)
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The ids of any text: the library gives up on very long runs of white space, which all but their last character are pieces by themselves."""
+    try:
+        return encoding.encode_ordinary(text)
+    except ValueError:
+        out, lo = [], 0
+        for run in LONG_SPACE.finditer(text):
+            out += encoding.encode_ordinary(text[lo : run.start()])
+            lo = run.end() - (run.end() < len(text))
+            out += encoding._encode_single_piece(text[run.start() : lo])
+        return out + encoding.encode_ordinary(text[lo:])
+
+
 def spelled(doc_id: int | None) -> list[int]:
     value = NO_ID if doc_id is None else doc_id % 2**64
     return [value >> 15 * i & 0x7FFF for i in range(HEADER)]
@@ -67,21 +85,22 @@ def read_id(head: list[int]) -> int | None:
     return None if value >= NO_ID else value - 2**64 * (value >> 63)
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, docs_per_file: int = DOCS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
-    """Tokenise (doc_id, text) into flat files below ``path``, none of which has over ``file_bytes`` unless one text alone does."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_bytes: int = FILE_BYTES) -> None:
+    """Tokenise (doc_id, text) into flat files below ``path``, none of which has over ``file_bytes`` unless one text alone may."""
+    record = file_bytes // RECORDS - 2  # the writer closes each with a separator
 
     def run(batches):
-        encode = tokenizer(sent.value).encode_ordinary
+        encoding, rows, size = tokenizer(sent.value), [], 0
         for batch in batches:
-            rows, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append(np.array(spelled(doc_id) + encode(text or ""), ">u2").tobytes())
-                size += len(rows[-1])
-                if size > 1 << 22:
-                    yield pack(rows)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = np.array(spelled(doc_id) + encode(encoding, text.as_py() or ""), ">u2").tobytes()
+                if rows and size + len(row) > record:
+                    yield pack([CLOSE.join(rows)])
                     rows, size = [], 0
-            if rows:
-                yield pack(rows)
+                rows.append(row)
+                size += len(row) + len(CLOSE)
+        if rows:
+            yield pack([CLOSE.join(rows)])
 
     def pack(rows):  # bytes under the type of text: the writer copies them as they are
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -90,9 +109,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
     sent = shipped(docs.sparkSession, vocabulary)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    longest = docs.agg(F.max(F.octet_length("text"))).head()[0] or 0
-    docs_per_file = max(1, min(docs_per_file, file_bytes // (2 * (longest + HEADER + 1))))
-    docs.mapInArrow(released(run), "value string").write.option("lineSep", END_TEXT).option("maxRecordsPerFile", docs_per_file).text(path)
+    # A text has no more ids than bytes.
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= (record - len(CLOSE)) // 2 - HEADER
+    write = lambda df, n: df.mapInArrow(released(run), "value string").write.mode("append").option("lineSep", END_TEXT).option("maxRecordsPerFile", n).text(path)
+    longer = docs.filter(~fits)
+    write(docs.filter(fits), RECORDS)
+    if longer.head(1):
+        write(longer, 1)
 
 
 PIECES = pa.schema([("file", pa.string()), ("block", pa.int64()), ("nth", pa.int64()), ("ends", pa.int64()), ("whole", pa.bool_()), ("n", pa.int64()), ("head", pa.list_(pa.int32()))])

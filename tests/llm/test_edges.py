@@ -220,7 +220,16 @@ def test_long_segments_and_small_files(spark, tmp_path):
         assert r.token_ids == (None if texts[r.doc_id] is None else lib.encode(texts[r.doc_id]))
     tokenfiles.write_token_files(df.coalesce(1), f"file://{tmp_path}/t", file_bytes=100_000)
     sizes = [p.stat().st_size for p in (tmp_path / "t").glob("*.txt")]
-    assert len(sizes) == len(texts) and max(sizes) <= 100_000
+    assert max(sizes) <= 100_000 and sum(sizes) > 50_000
+    one = tokenfiles.write_token_files(spark.createDataFrame([(k, "a b c") for k in range(5000)] + [(9999, "x y " * 300_000)], "doc_id long, text string").coalesce(1), f"file://{tmp_path}/u", file_bytes=1 << 20)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "u").glob("*.txt"))
+    assert one is None and len(sizes) == 2 and sizes[1] > 1 << 20 > sizes[0]  # one long text does not set the size of the other files
+    found = {r.doc_id: r.n_tokens for r in tokenfiles.count_tokens(spark.createDataFrame([(1, "x" + " " * 1_500_000 + "y"), (2, " " * 1_500_000), (3, "a")], "doc_id long, text string")).collect()}
+    assert found[3] == 1 and found[1] > 1000 and found[2] > 1000
+    few = tmp_path / "few.tiktoken"
+    few.write_bytes(b"YQ== 0\nYg== 50367\n")
+    with pytest.raises(ValueError):
+        tokenfiles.tokenizer(str(few))
 
 
 def test_odd_rows_go_through_the_pipeline(spark, tmp_path):
