@@ -64,15 +64,14 @@ KEPT.append(tokenizer.cache_clear)
 
 def encode(encoding, text: str) -> list[int]:
     """The ids of any text: the library gives up on very long runs of white space, which all but their last character are pieces by themselves."""
-    try:
+    if len(text) < 100_000 or not LONG_SPACE.search(text):
         return encoding.encode_ordinary(text)
-    except ValueError:
-        out, lo = [], 0
-        for run in LONG_SPACE.finditer(text):
-            out += encoding.encode_ordinary(text[lo : run.start()])
-            lo = run.end() - (run.end() < len(text))
-            out += encoding._encode_single_piece(text[run.start() : lo])
-        return out + encoding.encode_ordinary(text[lo:])
+    out, lo = [], 0
+    for run in LONG_SPACE.finditer(text):
+        out += encoding.encode_ordinary(text[lo : run.start()])
+        lo = run.end() - (run.end() < len(text))
+        out += encoding._encode_single_piece(text[run.start() : lo])
+    return out + encoding.encode_ordinary(text[lo:])
 
 
 def spelled(doc_id: int | None) -> list[int]:
