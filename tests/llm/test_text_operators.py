@@ -220,7 +220,7 @@ def test_token_counts(spark, tmp_path):
     rows = [(i, t) for i, t, _ in documents(40)] + [(-5, "minus"), (2**62 + 7, "big")]
     out = tokenfiles.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.n_tokens) for r in out.collect()), key=repr) == sorted(((i, len(encode(t or ""))) for i, t in rows), key=repr)
-    tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/t", docs_per_file=10**6)
+    tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/t")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{tmp_path}/t")
     for block in (1, 2, 7, 64, 1 << 18):  # edges anywhere, also inside the header
         found = tokenfiles.scan(files, header=tokenfiles.HEADER, block=block).orderBy("document").collect()
