@@ -160,3 +160,22 @@ def s20_marking(spark, sf_dir):
     )
     submissions = scripts(rows).select("submission_id", F.col("submission_id").cast("string").alias("model_answer_id"), "text", "reference", F.concat(F.lit("student "), "submission_id").alias("student"), F.lit("1").alias("question"))
     return marking.mark(submissions, criteria, marking.keeper(folder(spark, "marking")))["grades"].select("submission_id", "total_marks_awarded", "total_max_possible")
+
+
+_PAPER = (
+    '{{"total_marks": {total}, "questions": [{{"question_number": "Question 1", "marks": "99", "sub_questions": [{{"marks": "2"}}, {{"marks": "5 of 60", "sub_questions": [{{"marks": {inner}}}, {{"content": "Explain it. (4 marks)", '
+    '"sub_questions": [{{"content": "nothing stated"}}]}}]}}, {{"content": "none"}}]}}, {{"question_number": "2", "max_marks": "7"}}]}}'
+)
+
+
+@query("SELECT p_partkey AS paper_id, CASE p_partkey % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 6.0 + p_size % 3 WHEN 2 THEN 7.0 ELSE CASE WHEN p_partkey % 8 = 3 THEN 6.5 ELSE 106.0 END END AS marks FROM part")
+def a04_leaf_sums(spark, sf_dir):
+    """A paper for each part: with a total, asked for its nested question, for its plain one, or for one that it does not have."""
+    from ..operators import papers
+
+    k, inner = F.col("p_partkey") % 4, (F.col("p_size") % 3).cast("string")
+    text = _PAPER.replace("{{", "{").replace("}}", "}")
+    doc = F.replace(F.replace(F.lit(text), F.lit("{inner}"), inner), F.lit("{total}"), F.when(k == 0, '"54 in all, maximum marks: 30"').otherwise("null"))
+    p = table(spark, sf_dir, "part")
+    asked = p.select(F.col("p_partkey").alias("paper_id"), F.when(k == 1, "Q1").when(k == 2, "2").when(k == 3, "9").otherwise("1").alias("question"), F.when(F.col("p_partkey") % 8 == 3, 6.5).alias("judged"))
+    return papers.question_marks(p.select(F.col("p_partkey").alias("paper_id"), doc.alias("doc")), asked).select("paper_id", "marks")

@@ -88,8 +88,12 @@ def flat_text(parts: DataFrame) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """The report as CSV with a header, a folder for each question, rows in report order."""
-    report.repartition("question").sortWithinPartitions("question", "submission_id", "_order").drop("_order", "submission_id").write.mode("overwrite").partitionBy("question").option("header", True).option("encoding", "UTF-8").csv(path)
+    """The report as CSV with a header, a folder for each question whose files, by name, have its rows in report order.
+
+    Tasks take ranges of the whole order, so a question with most rows is written by many of them.
+    """
+    order = ["question", "submission_id", "_order"]
+    report.repartitionByRange(*order).sortWithinPartitions(*order).drop("_order", "submission_id").write.mode("overwrite").partitionBy("question").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def question_list(model_answers: DataFrame) -> DataFrame:
