@@ -173,8 +173,8 @@ def calculated(df: DataFrame) -> DataFrame:
 
 
 def strict_numbers(df: DataFrame) -> DataFrame:
-    """full marks need every figure of the criterion in the evidence, or the result of its bracket, unless the reason
-    grants an own figure, or it rests on other figures, and the figure need not be exact."""
+    """full marks need every figure of the criterion in the evidence, or the result of its bracket, or a calculation that works out
+    to it, unless the reason grants an own figure, or it rests on other figures, and the figure need not be exact."""
     figures = F.filter(X.numbers(F.regexp_replace("criterion", r"(?i)\b(?:19|20)[0-9]{2}\b", "")), lambda n: F.length(F.regexp_replace(n, "[^0-9]", "")) >= 2)
     said = F.array_join("evidence", " ")
     seen = F.struct(N.number_keys(said).alias("keys"), F.regexp_replace(said, "[, ]", "").alias("joined"))
@@ -183,7 +183,11 @@ def strict_numbers(df: DataFrame) -> DataFrame:
     derived = F.coalesce(F.exists(C.expected_spellings(result), lambda v: F.contains(F.lower(F.regexp_replace(said, "[, ]", "")), F.regexp_replace(v, " ", ""))), F.lit(False))
     rests = F.size(F.coalesce("of_source_ids", F.array().cast("array<string>"))) > 0 if "of_source_ids" in df.columns else F.lit(False)
     own = (F.col("reason").rlike(r"(?i)\bown.?figure\b|\bof\b") | rests) & ~F.col("exact_match")
-    return _zero_if(df, "F15", (F.col("marks_awarded") >= F.col("max_possible")) & (F.size(figures) > 0) & ~own & ~all_there & ~derived, "Marks revoked (figures not in the evidence).")
+    asked = (F.col("marks_awarded") > 0) & (F.col("marks_awarded") >= F.col("max_possible")) & result.isNotNull()
+    df = df.withColumns({"_result": result, "_said": F.when(asked, F.regexp_extract_all(said, F.lit(CALCULATION), F.lit(0)))})
+    df = df.withColumn("_made", arithmetic.first_that_makes("_said", "_result"))
+    fires = (F.col("marks_awarded") >= F.col("max_possible")) & (F.size(figures) > 0) & ~own & ~all_there & ~derived & F.col("_made").isNull()
+    return _zero_if(df, "F15", fires, "Marks revoked (figures not in the evidence).").drop("_result", "_said", "_made")
 
 
 def journal_direction(df: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ _RESULT_SPELLINGS = "CASE WHEN p % 1000000 = 0 THEN [CAST(p AS VARCHAR), CAST(p
 @query(f"""{VIEW}, s AS (SELECT *, {SAID} AS sd, {_FIGURES} AS fs FROM r)
 SELECT submission_id, item_pos, CASE WHEN marks_awarded > 0 AND marks_awarded >= max_possible AND len(fs) > 0 AND NOT ((regexp_matches(reason, '(?i)\\bown.?figure\\b|\\bof\\b') OR len(of_source_ids) > 0) AND NOT exact_match)
   AND len(list_filter(fs, lambda x: {in_text_sql('CAST(x AS DOUBLE)', 'sd')} OR contains(regexp_replace(sd, '[, ]', '', 'g'), x))) < len(fs)
-  AND NOT (kind = 2 AND {any_sql(_RESULT_SPELLINGS, 'v2', "contains(lower(regexp_replace(sd, '[, ]', '', 'g')), v2)")}) THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM s""")
+  AND NOT (kind = 2 AND said = 8) AND NOT (kind = 2 AND {any_sql(_RESULT_SPELLINGS, 'v2', "contains(lower(regexp_replace(sd, '[, ]', '', 'g')), v2)")}) THEN 0.0 ELSE marks_awarded END AS marks_awarded FROM s""")
 def f15_strict_numbers(spark, sf_dir):
     return marks(G.strict_numbers(prepared(spark, sf_dir)))
 

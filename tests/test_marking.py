@@ -29,7 +29,7 @@ def test_row_guards(spark):
         ("Invented", "", False, 0.5, 0.5, "", ["this sentence stands nowhere in the script at all"]),
         ("Copied", "", False, 0.5, 0.5, "", ["Define goodwill for the group"]),
         ("Cr Goodwill 12,000", "journal", False, 1.0, 1.0, "", ["Dr Goodwill 12,000"]),
-        ("Cost of shares (416,000 x 25)", "calculation", False, 0.0, 1.0, "", []),
+        ("Cost of shares GBP10.4m (416,000 x 25)", "calculation", False, 0.0, 1.0, "", []),
         ("Dr Goodwill 12,000", "journal", False, 0.0, 1.0, "", []),
         (None, None, None, None, None, None, None),
     )
