@@ -125,13 +125,22 @@ def _keys(batches):
             lo = hi
 
 
+def meet(x: DataFrame, y: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the corpus: by shuffle and merge, whatever size Spark expects.
+
+    Spark takes the keys of ``_keys`` for as small as the file of the words they come from, and would collect them in the driver.
+    """
+    return x.hint("merge").join(y.hint("merge"), key, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(a, b) ids of words (id, word) that differ by exactly one inserted, deleted or replaced code point, each pair once."""
     keyed = words.select("id", "word").mapInArrow(released(_keys), "id long, key long, whole boolean")
     x = keyed.select("key", F.col("id").alias("a"), F.col("whole").alias("whole_a"))
     y = keyed.select("key", F.col("id").alias("b"), F.col("whole").alias("whole_b"))
-    met = x.join(y, "key").filter((F.col("a") < F.col("b")) & ~(F.col("whole_a") & F.col("whole_b"))).select("a", "b")
-    both = met.join(words.select(F.col("id").alias("a"), F.col("word").alias("word_a")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("word_b")), "b")
+    met = meet(x, y, "key").filter((F.col("a") < F.col("b")) & ~(F.col("whole_a") & F.col("whole_b"))).select("a", "b")
+    both = meet(met, words.select(F.col("id").alias("a"), F.col("word").alias("word_a")), "a")
+    both = meet(both, words.select(F.col("id").alias("b"), F.col("word").alias("word_b")), "b")
     return both.filter(F.levenshtein("word_a", "word_b", 1) == 1).select("a", "b")
 
 
@@ -140,7 +149,7 @@ def roots(forms: DataFrame) -> DataFrame:
     table = stored(forms.select("id", F.col("form_id").alias("root")), "roots")
     while True:
         far = table.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = stored(table.join(far, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
+        new = stored(meet(table, far, "root", "left").select("id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
         drop_stored(table)
         table = new
         if not new.filter("moved").head(1):
@@ -153,12 +162,12 @@ def group_variants(docs: DataFrame, shortest: int = SHORTEST, rarest: int = RARE
     pairs = stored(near_words(words), "near")
     ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = F.min(F.struct((-F.col("n")).alias("n"), "word", F.col("id").alias("id"))).alias("first")
-    near = ends.join(words.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("of"), "n", "word", F.col("b").alias("id")).groupBy("of").agg(F.count("*").alias("n_near"), first)
-    known = words.join(near.withColumnRenamed("of", "id"), "id", "left").withColumn("has", F.coalesce(-F.col("first.n") >= times * F.col("n"), F.lit(False)))
+    near = meet(ends, words.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("of"), "n", "word", F.col("b").alias("id")).groupBy("of").agg(F.count("*").alias("n_near"), first)
+    known = meet(words, near.withColumnRenamed("of", "id"), "id", "left").withColumn("has", F.coalesce(-F.col("first.n") >= times * F.col("n"), F.lit(False)))
     of_form = lambda c: F.when(F.col("has"), c)
     known = stored(known.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), of_form(F.col("first.word")).alias("form"), of_form(-F.col("first.n")).alias("form_n"), of_form(F.col("first.id")).alias("form_id")), "forms")
     ended = roots(known.filter("form_id is not null"))
-    of_root = ended.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    out = known.join(of_root, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
+    of_root = meet(ended, words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
+    out = meet(known, of_root, "id", "left").select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
     drop_stored(pairs)
     return out

@@ -201,3 +201,9 @@ def test_ids_in_steps(monkeypatch):
     for _ in range(3000):
         text = "".join(rng.choice(["a", "b ", "\n", "  ", "'s", "’", ".", "大学。", "5", "<|endoftext|>", "é", "\x85", "　"]) for _ in range(20))
         assert own.ids(text).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_no_join_of_words_or_keys_goes_through_the_driver(spark):
+    words = spark.createDataFrame([(i, f"word{i}") for i in range(50)], "id long, word string")
+    plan = spellings.near_words(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
