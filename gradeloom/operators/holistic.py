@@ -14,16 +14,16 @@ LEAST_WORDS, MOST_WORDS = 4, 6
 def key_phrase(point: Column) -> Column:
     """Four to six words of a point: cut to six, stop words off both ends; null with fewer than four left."""
     words = F.filter(F.split(F.trim(point), r"\s+"), lambda w: w != "")
-    stop = F.array(*map(F.lit, X.STOP_WORDS))
     bare = lambda w: F.lower(F.regexp_replace(w, r"[^A-Za-z0-9]", ""))
-    solid = lambda ws: F.transform(ws, lambda w: ~F.array_contains(stop, bare(w)))
+    solid = lambda ws: F.transform(ws, lambda w: ~bare(w).isin(*X.STOP_WORDS))
 
-    def trimmed(ws):
-        first = F.array_position(solid(ws), True)
-        last = F.size(ws) - F.array_position(F.reverse(solid(ws)), True) + 1
-        return F.when(first > 0, F.slice(ws, first.cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))).otherwise(F.array().cast("array<string>"))
+    def trimmed(ws, marks):
+        first = F.array_position(marks, True)
+        last = F.size(ws) - F.array_position(F.reverse(marks), True) + 1
+        return F.when(first > 0, F.slice(ws, first.cast("int"), F.least(F.greatest(last - first + 1, F.lit(0)), F.lit(MOST_WORDS)).cast("int"))).otherwise(F.array().cast("array<string>"))
 
-    return X.let(words, lambda w: X.let(trimmed(w), lambda t: X.let(F.slice(t, 1, MOST_WORDS), lambda s: F.when(F.size(s) >= LEAST_WORDS, F.array_join(s, " ")))))
+    cut = lambda ws: X.let(solid(ws), lambda marks: trimmed(ws, marks))
+    return X.let(words, lambda w: X.let(cut(w), lambda s: F.when(F.size(s) >= LEAST_WORDS, F.array_join(s, " "))))
 
 
 def ticks(points: DataFrame) -> DataFrame:
@@ -31,8 +31,10 @@ def ticks(points: DataFrame) -> DataFrame:
 
     Marks go to halves, half to even, one tick at least; points without a phrase go; ticks beyond the leaf's maximum go.
     """
-    p = points.withColumn("phrase", key_phrase(F.col("text"))).filter("phrase is not null")
-    p = p.withColumn("n", F.greatest(F.bround(F.col("marks") / 0.5, 0), F.lit(1.0)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    n = F.greatest(F.bround(F.col("marks") / 0.5, 0), F.lit(1.0)).cast("int")
+    # An outer explode: Spark would work the phrase out once more to filter what an inner one drops.
+    made = X.let(key_phrase(F.col("text")), lambda phrase: F.when(phrase.isNotNull(), F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("k"), phrase.alias("phrase")))))
+    p = points.select("*", F.explode_outer(made).alias("x")).filter("x is not null").select("*", "x.k", "x.phrase").drop("x")
     order = Window.partitionBy("submission_id", "item_pos").orderBy("point_pos", "k")
     p = p.withColumn("tick", F.row_number().over(order)).filter(F.col("tick") * 0.5 <= X.half(F.col("leaf_max")))
     return p.select("submission_id", "item_pos", "tick", F.lit(0.5).alias("marks"), F.when(F.col("k") == 1, F.col("phrase")).alias("key_phrase"), "text")
