@@ -173,3 +173,30 @@ def test_sources_and_stream(spark, tmp_path):
     assert tables.flat_text(parts).head().text.startswith("--- a) ---\nt\n--- b) ---")
     raw = spark.createDataFrame([("s", 'Here: ```json {"grades":[{"question_number":"1","breakdown":[{"criterion":"c","marks_awarded":0.5,"evidence":"a;b"}]}]} ```'), ("t", "sorry")], "submission_id string, response string")
     assert [(r.criterion, r.evidence) for r in tables.judged(raw).collect()] == [("c", ["a", "b"])]
+
+
+def test_ticks_work_a_phrase_out_once(spark):
+    points = spark.createDataFrame([(1, 0, 5.0, 0, "of the control of assets passes to the parent", 1.0)], "submission_id long, item_pos int, leaf_max double, point_pos int, text string, marks double")
+    df = holistic.ticks(points)
+    assert [r.key_phrase for r in df.orderBy("tick").collect()] == ["control of assets passes to the", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(text") == 1
+
+
+def test_headings_meet_by_their_words_not_row_by_row(spark):
+    rows = [("m", i, "" if i % 9 else "x", 2.5 if i % 4 == 0 else 0.5, ("Prepare the " if i % 4 == 0 else "") + f"goodwill{i % 5} reserve{i % 3} movement{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "model_answer_id string, pos long, category string, marks double, description string")
+    out = rubric.drop_headings(df, near=0)
+    words = [{w for w in r[4].lower().split() if w not in ("the",)} for r in rows]
+    kept = set()
+    for i, r in enumerate(rows):
+        others = [j for j in range(60) if j != i and len(words[i] & words[j]) >= 2]
+        if not (r[3] == 2.5 and len(others) >= 1 and sum(rows[j][3] for j in others) >= 1.25):
+            kept.add(i)
+    assert {r.pos for r in out.collect()} == kept
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_other" not in plan and "_theirs" in plan
+
+
+def test_summary_has_the_share_of_rows_with_marks(spark):
+    rows = spark.createDataFrame([(1, 1.0, 1.0, "a"), (1, 0.0, 1.0, "NOT ASSESSED: x"), (1, 0.0, 2.0, "b"), (1, 0.5, 2.0, "c")], "submission_id long, marks_awarded double, max_possible double, reason string")
+    assert finalize.summary(rows).head().placed_rate == 0.5
