@@ -160,3 +160,11 @@ def test_audit_is_one_pass(spark):
 def test_anchors(spark, sentence, words, first):
     out = spark.createDataFrame([(sentence, words)], "s string, k array<string>").select(holistic.anchors(F.col("s"), F.col("k"))).head()[0]
     assert (out[0] if out else None) == first
+
+
+def test_the_view_is_spread_by_its_rows(spark, monkeypatch, tmp_path):
+    from gradeloom.plans import marking_view
+
+    spark.range(100).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "1.0D l_quantity", "1.0D l_extendedprice", "0.0D l_discount", "0.0D l_tax", "'R' l_returnflag", "'O' l_linestatus", "date'2020-01-01' l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(marking_view, "TASK_ROWS", 10)
+    assert marking_view.judged(spark, str(tmp_path)).rdd.getNumPartitions() == 11
