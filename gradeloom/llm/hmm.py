@@ -7,10 +7,8 @@ and number of words of the class in training text. So the model has a fixed size
 of the corpus is counted, and its likelihood factors into the words' part and that of the class
 sequence.
 
-Training: random start, ``START_ROUNDS`` rounds on a bounded sample that only choose the start (training
-documents by a hash of id and text, ``START_DOCS`` on average, whatever the order of the rows), then ``ROUNDS`` rounds of
-Baum-Welch over all training documents: each partition sums expected counts and the sums are
-aggregated.
+Training: random start, then ``ROUNDS`` rounds of Baum-Welch over all training documents, no part of them
+counting more than another: each partition sums expected counts and the sums are aggregated.
 
 Sequences run side by side, one step for a token of each. So that a few long ones don't set the
 number of steps, a sequence is cut into pieces of ``PIECE`` tokens, and the recursions are carried
@@ -32,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_CODE, U64, drop_stored, lean, records, released, span_hashes, steps, stored, utf8, word_spans
+from .common import LOWER_CODE, U64, lean, records, released, span_hashes, steps, stored, utf8, word_spans
 from .langid import held_out
 
 STATES, CLASSES, PIECE = 6, 8192, 512
-ROUNDS, START_ROUNDS, START_DOCS, START_PARTS = 2, 8, 1000, 6
+#: Rounds on a part of the training texts (none) and on all of them.
+START_ROUNDS, ROUNDS = 0, 4
 HOT_WORDS = 400_000
 END = U64(0x51ED270B7F4A7C15)
 ADD = 0.1
@@ -274,15 +273,11 @@ def _round(texts: DataFrame, p: Parameters) -> np.ndarray:
     return out
 
 
-def train(texts: DataFrame, documents: int) -> Parameters:
-    """Baum-Welch over all rows of ``texts`` (doc_id, text), of which there are ``documents``."""
+def train(texts: DataFrame) -> Parameters:
+    """Baum-Welch over all rows of ``texts`` (doc_id, text)."""
     p = Parameters.random()
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) * 2.0**-53
-    some = stored(texts.filter(place < START_DOCS / max(1, documents)).select("text").repartition(START_PARTS), "start")
-    for rounds, rows in ((START_ROUNDS, some), (ROUNDS, texts)):
-        for _ in range(rounds):
-            p = Parameters.from_counts(_round(rows, p))
-    drop_stored(some)
+    for _ in range(ROUNDS):
+        p = Parameters.from_counts(_round(texts, p))
     return p
 
 
@@ -304,7 +299,7 @@ def score(docs: DataFrame) -> DataFrame:
     hot = counts.filter(F.col("n") >= least).toArrow()
     hot_words, hot_n = hot["word"].to_numpy(), hot["n"].to_numpy()
     order = np.argsort(hot_words)
-    sent = spark.sparkContext.broadcast((train(texts, int(of_class[0, 0])), hot_words[order], np.log10(hot_n[order] + ADD), np.log10(of_class[:, 0] + ADD * (of_class[:, 1] + 1))))
+    sent = spark.sparkContext.broadcast((train(texts), hot_words[order], np.log10(hot_n[order] + ADD), np.log10(of_class[:, 0] + ADD * (of_class[:, 1] + 1))))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("hot", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 

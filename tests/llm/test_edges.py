@@ -251,3 +251,10 @@ def test_one_id_on_most_rows(spark):
     assert len(parts) >= 6 and max(r["count"] for r in parts) < 150
     got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in winnow.compare_with_edits(df, 8).collect()), key=repr)
     assert got == sorted(((i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in want), key=repr)
+
+
+def test_every_round_of_the_language_model_reads_all_training_texts(spark, monkeypatch):
+    seen, plain = [], hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda texts, p: seen.append(texts.count()) or plain(texts, p))
+    hmm.train(spark.range(1500).selectExpr("id doc_id", "concat('word ', id % 7) text"))
+    assert seen == [1500] * hmm.ROUNDS
