@@ -206,14 +206,16 @@ def main_score_place(lines: DataFrame, question: str, heading: str | None = None
     # Usual forms of a question's heading.
     forms = [heading] if heading else []
     forms += [f"Question {question}", f"Q-{question.zfill(2)}", f"Q-{question}", f"Q.{question}", f"Q{question}", f"Answer {question}", f"Ans.{question}", f"Ans {question}"]
-    rank = F.array_position(F.transform(F.array(*map(F.lit, forms)), lambda f: F.startswith(F.lower(F.trim("text")), F.lower(f)) & ~F.rlike(F.substr(F.trim("text"), F.length(f) + 1), F.lit("^[0-9]"))), True)
+    # Each form's test by itself: an expression inside a lambda is worked out again for every element.
+    rank = F.coalesce(*(F.when(F.startswith("_low", F.lit(f.lower())) & ~F.rlike(F.substr("_said", F.lit(len(f) + 1)), F.lit("^[0-9]")), n) for n, f in enumerate(forms, 1)))
     page = Window.partitionBy("submission_id", "page")
     below = page.orderBy("y0").rangeBetween(1, 80)
-    at = lines.withColumns({"_rank": rank, "_low": F.col("y1") > 0.8 * F.max("y1").over(page), "_below": F.count("*").over(below)})
-    found = _best(at.filter((F.col("_rank") > 0) & (F.col("x0") <= left) & (F.col("_low") | (F.col("_below") > 0))), ["submission_id"], "page", "_rank", "y0")
-    first = lines.groupBy("submission_id").agg(F.min("page").alias("_first"))
-    out = first.join(found.select("submission_id", "page", "x0", "y0"), "submission_id", "left")
-    return out.select("submission_id", F.coalesce("page", "_first").alias("page"), F.coalesce(F.col("x0") - offset[0], F.lit(30.0)).alias("x"), F.coalesce(F.col("y0") + offset[1] - 10, F.lit(30.0)).alias("y"), F.col("page").isNotNull().alias("at_heading"))
+    at = lines.withColumn("_said", F.trim("text")).withColumn("_low", F.lower("_said"))
+    at = at.select("submission_id", "page", "x0", "y0", rank.alias("_rank"), (F.col("y1") > 0.8 * F.max("y1").over(page)).alias("_low"), F.count("*").over(below).alias("_below"))
+    hit = (F.col("_rank") > 0) & (F.col("x0") <= left) & (F.col("_low") | (F.col("_below") > 0))
+    # The first page and the first heading in one pass over a script's lines.
+    out = at.groupBy("submission_id").agg(F.min("page").alias("_first"), F.min(F.when(hit, F.struct("page", "_rank", "y0", "x0"))).alias("_at"))
+    return out.select("submission_id", F.coalesce("_at.page", "_first").alias("page"), F.coalesce(F.col("_at.x0") - offset[0], F.lit(30.0)).alias("x"), F.coalesce(F.col("_at.y0") + offset[1] - 10, F.lit(30.0)).alias("y"), F.col("_at").isNotNull().alias("at_heading"))
 
 
 def _hits(a, boxes) -> bool:
