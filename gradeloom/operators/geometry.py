@@ -32,21 +32,29 @@ def _named(df: DataFrame, prefix: str, more: list[str] = ()) -> DataFrame:
     return df.select("submission_id", "page", *(F.col(c).alias(prefix + c) for c in (*BOX, *more)))
 
 
+def _beside(rects: DataFrame, others: DataFrame, more: list[str] = ()) -> DataFrame:
+    """Rectangles, each once, with the boxes of their page (``_near``, null without any), so that what is sought is not joined back."""
+    pages = others.groupBy("submission_id", "page").agg(F.collect_list(F.struct(*BOX, *more)).alias("_near"))
+    rest = [c for c in rects.columns if c not in RECT]
+    return rects.join(pages, ["submission_id", "page"], "left").select(*RECT, *rest, "_near")
+
+
 def line_of(rects: DataFrame, lines: DataFrame) -> DataFrame:
     """Each rectangle with the line that overlaps it most (line_x0 ..., line_text); itself, without text, where none does."""
-    met = rects.join(_named(lines, "line_", ["text"]), ["submission_id", "page"])
-    wide = F.least("x1", "line_x1") - F.greatest("x0", "line_x0")
-    high = F.least("y1", "line_y1") - F.greatest("y0", "line_y0")
-    met = _best(met.withColumn("_area", wide * high).filter((wide > 0) & (high > 0)), RECT, F.desc("_area"), "line_y0", "line_x0").drop("_area")
-    out = rects.join(met.select(*RECT, *("line_" + c for c in BOX), "line_text"), RECT, "left")
-    return out.withColumns({"line_" + c: F.coalesce("line_" + c, c) for c in BOX})
+    wide = lambda o: F.least("x1", o["x1"]) - F.greatest("x0", o["x0"])
+    high = lambda o: F.least("y1", o["y1"]) - F.greatest("y0", o["y0"])
+    met = F.filter("_near", lambda o: (wide(o) > 0) & (high(o) > 0))
+    best = F.array_min(F.transform(met, lambda o: F.struct((-wide(o) * high(o)).alias("area"), o["y0"].alias("y0"), o["x0"].alias("x0"), o["y1"].alias("y1"), o["x1"].alias("x1"), o["text"].alias("text"))))
+    out = _beside(rects, lines, ["text"]).withColumn("_best", best).drop("_near")
+    return out.withColumns({"line_" + c: F.coalesce(F.col("_best")[c], F.col(c)) for c in BOX} | {"line_text": F.col("_best.text")}).drop("_best")
 
 
 def row_of(rects: DataFrame, words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     """Each rectangle with the box of all words whose middle is at most ``gap`` off its own (row_x0 ...); itself without any."""
-    met = rects.join(_named(words, "w_"), ["submission_id", "page"]).filter(F.abs((F.col("w_y0") + F.col("w_y1") - F.col("y0") - F.col("y1")) / 2) <= gap)
-    row = met.groupBy(*RECT).agg(F.min("w_x0").alias("row_x0"), F.min("w_y0").alias("row_y0"), F.max("w_x1").alias("row_x1"), F.max("w_y1").alias("row_y1"))
-    return rects.join(row, RECT, "left").withColumns({"row_" + c: F.coalesce("row_" + c, c) for c in BOX})
+    on = F.filter("_near", lambda o: F.abs((o["y0"] + o["y1"] - F.col("y0") - F.col("y1")) / 2) <= gap)
+    row = F.aggregate(on, F.struct(*(F.lit(None).cast("double").alias(c) for c in BOX)), lambda a, o: F.struct(F.least(a["x0"], o["x0"]).alias("x0"), F.least(a["y0"], o["y0"]).alias("y0"), F.greatest(a["x1"], o["x1"]).alias("x1"), F.greatest(a["y1"], o["y1"]).alias("y1")))
+    out = _beside(rects, words).withColumn("_row", row).drop("_near")
+    return out.withColumns({"row_" + c: F.coalesce(F.col("_row")[c], F.col(c)) for c in BOX}).drop("_row")
 
 
 def next_value_line(rects: DataFrame, lines: DataFrame, down: float = NEXT_LINE) -> DataFrame:
@@ -104,17 +112,23 @@ def narrowed(rects: DataFrame, words: DataFrame) -> DataFrame:
     """Rectangles of lines (with ``evidence``) cut to the word that is the evidence's longest figure, where it stands on the line; the first of equals."""
     token = r"[-−(]?[0-9][0-9,]*(?:\.[0-9]+)?"
     tokens = F.array_distinct(F.regexp_extract_all("evidence", F.lit(token), F.lit(0)))
-    asked = rects.select(*RECT, "y0", "y1", F.posexplode(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), F.regexp_replace(t, r"^[-−(]", "").alias("t"))))).alias("rank", "x"))
-    met = asked.join(_named(words, "v_", ["text"]), ["submission_id", "page"]).filter((F.col("v_y0") >= F.col("y0") - 2) & (F.col("v_y1") <= F.col("y1") + 2) & F.contains("v_text", F.col("x.t")))
-    found = _best(met, RECT, "rank", "v_y0", "v_x0").select(*RECT, *("v_" + c for c in BOX))
-    return rects.join(found, RECT, "left").withColumns({c: F.coalesce("v_" + c, c) for c in BOX}).drop(*("v_" + c for c in BOX))
+    asked = F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), F.regexp_replace(t, r"^[-−(]", "").alias("t"))))
+    on = F.filter("_near", lambda o: (o["y0"] >= F.col("y0") - 2) & (o["y1"] <= F.col("y1") + 2))
+    rank = lambda o: F.array_position(F.transform("_asked", lambda x: F.contains(o["text"], x["t"])), True)
+    best = F.array_min(F.filter(F.transform("_on", lambda o: F.struct(rank(o).alias("rank"), o["y0"].alias("y0"), o["x0"].alias("x0"), o["x1"].alias("x1"), o["y1"].alias("y1"))), lambda b: b["rank"] > 0))
+    return _moved(_beside(rects, words, ["text"]).withColumns({"_asked": asked, "_on": on}).withColumn("_best", best))
+
+
+def _moved(found: DataFrame) -> DataFrame:
+    """Rectangles at their ``_best`` box, if there is one."""
+    return found.withColumns({c: F.coalesce(F.col("_best")[c], F.col(c)) for c in BOX}).select(*(c for c in found.columns if c not in ("_near", "_asked", "_on", "_best")))
 
 
 def figure_in(rects: DataFrame, words: DataFrame) -> DataFrame:
     """Rectangles (with ``number``) moved to the last word at or right of their left edge, within two points of them, that has the number."""
-    met = rects.join(_named(words, "v_", ["text"]), ["submission_id", "page"]).filter((F.col("v_x0") >= F.col("x0")) & (F.col("v_y0") >= F.col("y0") - 2) & (F.col("v_y1") <= F.col("y1") + 2) & F.contains("v_text", F.col("number")))
-    found = _best(met, RECT, F.desc("v_y0"), F.desc("v_x0")).select(*RECT, *("v_" + c for c in BOX))
-    return rects.join(found, RECT, "left").withColumns({c: F.coalesce("v_" + c, c) for c in BOX}).drop(*("v_" + c for c in BOX))
+    on = F.filter("_near", lambda o: (o["x0"] >= F.col("x0")) & (o["y0"] >= F.col("y0") - 2) & (o["y1"] <= F.col("y1") + 2) & F.contains(o["text"], F.col("number")))
+    best = F.array_max(F.transform(on, lambda o: F.struct(o["y0"].alias("y0"), o["x0"].alias("x0"), o["x1"].alias("x1"), o["y1"].alias("y1"))))
+    return _moved(_beside(rects, words, ["text"]).withColumn("_best", best))
 
 
 def best_for_score(candidates: DataFrame) -> DataFrame:
