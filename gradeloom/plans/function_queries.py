@@ -10,7 +10,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import finalize
 from .guard_queries import ALIGNED, ALIGNED_STEPS, KEY, SAID, any_sql, in_text_sql, prepared, variants_sql, words_sql
-from .marking_view import VIEW
+from .marking_view import VIEW, judged, scripts
 from .queries import _NUMBERS_SQL, _SENTENCES_SQL, _STOP_SQL, _norm_sql, _short_sql, query, table
 
 def over_rows(spark, sf_dir, *columns):
@@ -88,7 +88,10 @@ def x08_expected_amount(spark, sf_dir):
 
 @query(f"""{VIEW} SELECT submission_id, item_pos, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda line: line <> '' AND NOT regexp_matches(line, '(?i)^\\s*(?:debit|credit|dr\\b|cr\\b)\\b') AND {in_text_sql('expected_amount', 'line')})[1] AS line FROM r""")
 def x09_working_line(spark, sf_dir):
-    return over_rows(spark, sf_dir, C.working_line(F.col("expected_amount"), F.col("text")).alias("line"))
+    """Each script's lines are indexed once, not for each of its rows."""
+    rows = judged(spark, sf_dir)
+    indexed = scripts(rows).select("submission_id", N.working_index(F.col("text")).alias("index"))
+    return rows.join(indexed, "submission_id").select(*KEY, N.first_line(F.col("expected_amount"), F.col("index")).alias("line"))
 
 
 _FOCUS_STOP = "[" + ", ".join(f"'{w}'" for w in C.FOCUS_STOP) + "]"
