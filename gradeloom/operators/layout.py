@@ -50,28 +50,30 @@ def find_evidence(lines: DataFrame, evidence: DataFrame, near_misses: bool = Tru
     """L2: the line each piece of evidence stands in: literally (1), normalised (2), as a table row (3), nearly (4).
 
     Tier, then page rank, then position decide. Near misses share a figure of two digits, have twelve
-    characters and a ratio of 0.82; only pairs that share a figure reach the Python ratio. ``fragment`` is the longest part of the
-    evidence that the line has literally, null without one.
+    characters and a ratio of 0.82; only pairs that share a figure, of evidence that stands nowhere, are compared in Python. ``fragment``
+    is the longest part of the evidence that the line has literally, null without one.
+
+    Evidence meets the lines of its script once, for all tiers, and no word or line is shuffled where both come spread by scripts.
     """
-    e = evidence.withColumn("e_norm", X.symbol_norm(F.col("evidence"))).withColumn("fragment", F.explode(X.candidate_fragments(F.col("evidence"))))
+    e = evidence.withColumn("e_norm", X.symbol_norm(F.col("evidence"))).select("*", F.posexplode(X.candidate_fragments(F.col("evidence"))).alias("_nth", "fragment"))
     # What each side alone decides is worked out before they meet.
     e = e.withColumns({"f_low": F.lower("fragment"), "f_norm": X.symbol_norm(F.col("fragment")), "f_rows": F.transform(X.row_variants(F.col("fragment")), F.lower)})
-    line = lines.withColumns({"l_norm": X.symbol_norm(F.col("text")), "l_low": F.lower("text")})
-    pairs = e.join(line.filter(~X.is_heading_line(F.col("text"))), "submission_id")
+    line = lines.withColumns({"l_norm": X.symbol_norm(F.col("text")), "l_low": F.lower("text"), "l_heading": X.is_heading_line(F.col("text"))})
     literal = F.contains("l_low", F.col("f_low"))
     normal = (F.length("e_norm") >= LEAST_NORM) & (F.contains("l_norm", F.col("f_norm")) | (F.contains("e_norm", F.col("l_norm")) & (F.length("l_norm") >= LEAST_NORM)))
     row = F.exists("f_rows", lambda v: F.contains("l_low", v))
-    tier = F.when(literal, 1).when(normal, 2).when(row, 3)
-    exact = pairs.withColumn("tier", tier).filter("tier is not null").withColumns({"score": F.lit(1.0), "fragment": F.when(F.col("tier") == 1, F.col("fragment"))})
-    keys = ["submission_id", "evidence_id"]
+    tier = F.when(~F.col("l_heading"), F.when(literal, 1).when(normal, 2).when(row, 3))
     if not near_misses:
-        return _best_line(exact, lines)
-    left = evidence.join(exact.select(*keys).distinct(), keys, "left_anti").withColumn("e_norm", X.symbol_norm(F.col("evidence"))).filter(F.length("e_norm") >= LEAST_NEAR)
-    number = left.select("*", F.explode(X.salient_numbers(F.col("evidence"))).alias("n"))
-    on_line = line.select("*", F.explode(X.salient_numbers(F.col("text"))).alias("n"))
-    near = number.join(on_line, ["submission_id", "n"]).drop("n").dropDuplicates([*keys, "page", "block", "line"])
-    near = near.withColumn("score", ratio("e_norm", "l_norm")).filter(F.col("score") >= NEAR).withColumn("tier", F.lit(4))
-    return _best_line(exact.unionByName(near, allowMissingColumns=True), lines)
+        exact = e.join(line.filter("not l_heading"), "submission_id").withColumn("tier", tier).filter("tier is not null")
+        return _best_line(exact.withColumns({"score": F.lit(1.0), "fragment": F.when(F.col("tier") == 1, F.col("fragment"))}), lines)
+    # A near miss is one of the whole evidence, for which its first fragment's row stands.
+    e = e.withColumn("e_numbers", F.when((F.col("_nth") == 0) & (F.length("e_norm") >= LEAST_NEAR), X.salient_numbers(F.col("evidence"))))
+    pairs = e.join(line.withColumn("l_numbers", X.salient_numbers(F.col("text"))), "submission_id").withColumn("tier", tier)
+    met = pairs.filter(F.col("tier").isNotNull() | F.coalesce(F.arrays_overlap("e_numbers", "l_numbers"), F.lit(False))).drop("e_numbers", "l_numbers", "l_low", "f_low", "f_norm", "f_rows")
+    met = met.withColumn("_exact", F.count("tier").over(Window.partitionBy("submission_id", "evidence_id")) > 0).filter("tier is not null or not _exact")
+    asked = lambda c: F.when(F.col("tier").isNull(), F.col(c))
+    met = met.withColumn("score", F.when(F.col("tier").isNotNull(), 1.0).otherwise(ratio(asked("e_norm"), asked("l_norm")))).filter(F.col("score") >= NEAR)
+    return _best_line(met.withColumns({"tier": F.coalesce("tier", F.lit(4)), "fragment": F.when(F.col("tier") == 1, F.col("fragment"))}), lines)
 
 
 def _best_line(every: DataFrame, lines: DataFrame) -> DataFrame:

@@ -20,6 +20,17 @@ def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("submission_id"), "text", F.lit("").alias("reference"))
 
 
+#: Characters of the scripts that one task gets, whose words, lines and evidence stay in it.
+TASK_CHARS = 8_000_000
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts spread over as many tasks as their texts need; what is derived by script is not shuffled again (see marking_view.judged)."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("submission_id"), "text")
+    return d.repartition((d.agg(F.sum(F.length("text"))).first()[0] or 0) // TASK_CHARS + spark.sparkContext.defaultParallelism, "submission_id")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each script with the passage that its id points at."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.get(X.sentences(F.col("text")), 0).alias("criterion"))
@@ -40,10 +51,10 @@ def d01_row_guard_chain(spark, sf_dir):
 @query()
 def d04_evidence_lines(spark, sf_dir):
     """L2 on every script: the line that its second sentence stands in."""
-    d = table(spark, sf_dir, "documents")
-    line = d.select(F.col("doc_id").alias("submission_id"), F.posexplode(F.split("text", "\n")).alias("line", "t")).select("submission_id", "line", F.posexplode(F.split("t", " ")).alias("word", "text")).filter("text <> ''")
+    d = _spread(spark, sf_dir)
+    line = d.select("submission_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("submission_id", "line", F.posexplode(F.split("t", " ")).alias("word", "text")).filter("text <> ''")
     words = line.select("submission_id", (F.floor(F.col("line") / 50) + 1).cast("int").alias("page"), F.lit(0).alias("block"), "line", "word", (F.col("word") * 40.0).alias("x0"), (F.col("line") % 50 * 12.0).alias("y0"), (F.col("word") * 40.0 + 30).alias("x1"), (F.col("line") % 50 * 12.0 + 10).alias("y1"), "text")
-    evidence = d.select(F.col("doc_id").alias("submission_id"), F.lit(1).alias("evidence_id"), F.get(X.sentences(F.col("text")), 1).alias("evidence")).filter("evidence is not null")
+    evidence = d.select("submission_id", F.lit(1).alias("evidence_id"), F.get(X.sentences(F.col("text")), 1).alias("evidence")).filter("evidence is not null")
     return layout.find_evidence(layout.lines(words), evidence).select("submission_id", "evidence_id", "tier", "page", "y0")
 
 
