@@ -75,10 +75,18 @@ def best_sentences(scripts: DataFrame, criteria: DataFrame, least: float = 0.34)
     A sentence's score is the share of the keywords that it has (A15); without keywords the description's first six words of over four
     letters are asked for. Ties go to the earlier sentence; criteria whose best score is below ``least`` are not returned.
     """
-    s = scripts.select("submission_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_pos", "sentence"))
+    # What each side alone decides is worked out before they meet; a pair that shares no key and no phrase is dropped before it is scored.
+    s = scripts.select("submission_id", F.posexplode_outer(X.sentences(F.col("text"))).alias("sentence_pos", "sentence")).filter("sentence is not null")
+    s = s.withColumn("_low", F.lower("sentence")).withColumn("_said", C.said_keys(F.col("_low")))
     words = F.slice(F.filter(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit(r"\w+"), F.lit(0)), lambda w: F.length(w) > 4), 1, 6)
     asked = criteria.withColumn("keywords", F.when(F.size("keywords") > 0, F.col("keywords")).otherwise(words)).filter("size(keywords) > 0")
-    scored = asked.join(s, "submission_id").withColumn("score", C.keyword_score(F.col("keywords"), F.col("sentence"))).filter((F.col("score") > 0) & (F.col("score") >= least))
+    asked = asked.select("submission_id", "criterion_pos", F.size("keywords").alias("_n"), F.explode_outer(F.array(C.asked_keys(F.col("keywords")))).alias("_asked"))
+    asked = asked.select("submission_id", "criterion_pos", "_n", "_asked", F.array_distinct(F.flatten(F.flatten("_asked.parts"))).alias("_keys"), F.filter("_asked.phrase", lambda p: p.isNotNull()).alias("_phrases"))
+    # A script's sentences are few and are held; its criteria pass by them.
+    met = asked.join(s.hint("shuffle_hash"), "submission_id").filter(F.arrays_overlap("_keys", "_said") | F.exists("_phrases", lambda p: F.contains("_low", p)))
+    share = F.size(F.filter("_asked", lambda k: C.meets(k, F.col("_low"), F.col("_said")))) / F.col("_n")
+    # An outer explode: a filter would work the score out once more for each use.
+    scored = met.select("submission_id", "criterion_pos", "sentence_pos", "sentence", F.explode_outer(F.array(share)).alias("score")).filter((F.col("score") > 0) & (F.col("score") >= least))
     best = scored.groupBy("submission_id", "criterion_pos").agg(F.max(F.struct("score", (-F.col("sentence_pos")).alias("p"), "sentence")).alias("x"))
     return best.select("submission_id", "criterion_pos", "x.score", (-F.col("x.p")).alias("sentence_pos"), "x.sentence")
 
