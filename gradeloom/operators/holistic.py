@@ -84,7 +84,7 @@ def best_sentences(scripts: DataFrame, criteria: DataFrame, least: float = 0.34)
     asked = asked.select("submission_id", "criterion_pos", "_n", "_asked", F.array_distinct(F.flatten(F.flatten("_asked.parts"))).alias("_keys"), F.filter("_asked.phrase", lambda p: p.isNotNull()).alias("_phrases"))
     # A script's sentences are few and are held; its criteria pass by them.
     met = asked.join(s.hint("shuffle_hash"), "submission_id").filter(F.arrays_overlap("_keys", "_said") | F.exists("_phrases", lambda p: F.contains("_low", p)))
-    share = F.size(F.filter("_asked", lambda k: C.meets(k, F.col("_low"), F.col("_said")))) / F.col("_n")
+    share = F.size(F.filter("_asked", lambda k: C.keywords_met(k, F.col("_low"), F.col("_said")))) / F.col("_n")
     # An outer explode: a filter would work the score out once more for each use.
     scored = met.select("submission_id", "criterion_pos", "sentence_pos", "sentence", F.explode_outer(F.array(share)).alias("score")).filter((F.col("score") > 0) & (F.col("score") >= least))
     best = scored.groupBy("submission_id", "criterion_pos").agg(F.max(F.struct("score", (-F.col("sentence_pos")).alias("p"), "sentence")).alias("x"))
