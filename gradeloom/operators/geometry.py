@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,33 +235,58 @@ def main_score_place(lines: DataFrame, question: str, heading: str | None = None
 
 
 def _hits(a, boxes) -> bool:
-    return any(a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3] for b in boxes)
-
-
-def _score_places(labels: list[dict], words: list[tuple], width: float, height: float, font: float):
-    """Greedy placement on one page, labels in their order: (x, y) of each."""
-    boxes = [w[:4] for w in words if w[4].strip()]
+    left, top, right, bottom = a
+    for b in boxes:
+        if left < b[2] and b[0] < right and top < b[3] and b[1] < bottom:
+            return True
+    return False
+
+
+def _score_places(labels: list[tuple], words: list[tuple], width: float, height: float, font: float) -> list[tuple[float, float]]:
+    """Greedy placement on one page, labels (their boxes) in their order: (x, y) of each."""
+    boxes = [w for w in words if w[4].strip()]
+    # Words with a digit, which a label may go behind.
+    figures = [w for w in boxes if any(c.isdigit() for c in w[4])]
     edge = min(max([b[2] for b in boxes], default=width - 70) + 8, width - 60)
     placed: list[tuple] = []
     shape = lambda x, y: (x, y - font - 1, x + 52, y + 3)
-    for r in labels:
-        middle, has = (r["y0"] + r["y1"]) / 2, lambda t: any(c.isdigit() for c in t)
-        own = any(has(w[4]) for w in words if w[0] < r["x1"] + 0.5 and r["x0"] - 0.5 < w[2] and w[1] < r["y1"] + 0.5 and r["y0"] - 0.5 < w[3])
-        right = max((w[2] for w in words if has(w[4]) and abs((w[1] + w[3]) / 2 - middle) <= 4), default=None)
-        x, y, above = r["x1"] + 3, max(min(r["y1"] - 2, height - 10), 10), max(r["y0"] - font - 2, 10)
-        if not own and right is not None and right > r["x1"] + 5:
+    spots = []
+    for x0, y0, x1, y1 in labels:
+        middle = (y0 + y1) / 2
+        own = any(w[0] < x1 + 0.5 and x0 - 0.5 < w[2] and w[1] < y1 + 0.5 and y0 - 0.5 < w[3] for w in figures)
+        right = None if own else max((w[2] for w in figures if abs((w[1] + w[3]) / 2 - middle) <= 4), default=None)
+        x, y, above = x1 + 3, max(min(y1 - 2, height - 10), 10), max(y0 - font - 2, 10)
+        if right is not None and right > x1 + 5:
             x, y = (right + 3, y) if right + 3 < width - 25 else (min(max(right - 25, 50), width - 70), above)
         elif x > width - 25:
-            x, y = min(max(r["x1"] - 30, 50), width - 70), above
+            x, y = min(max(x1 - 30, 50), width - 70), above
         x = max(x, 50)
         # On the row first, near before far, then above, at the text's edge, and a little lower.
-        tries = [(x, y)] + [(min(x + d, edge), y) for d in (14, 28, 42, 56)] + [(max(r["x0"] - 40, 50), y), (x, above), (edge, y)] + [(edge + d, y) for d in (22, 56, 112, 168) if edge + d <= width - 52]
-        free = [t for t in tries if not _hits(shape(*t), placed)]
-        clear = [t for t in free if not _hits(shape(*t), boxes)]
-        lower = [(x, min(y + k * (font / 2 + 1), height - 10)) for k in (1, 2, 3)]
-        spot = (clear or free or [t for t in lower if not _hits(shape(*t), placed)] or [(x, y)])[0]
+        spot = free = None
+        for t in _tries(x, y, x0, above, edge, width):
+            if not _hits(shape(*t), placed):
+                if not _hits(shape(*t), boxes):
+                    spot = t
+                    break
+                free = free or t
+        if spot is None:
+            lower = ((x, min(y + k * (font / 2 + 1), height - 10)) for k in (1, 2, 3))
+            spot = free or next((t for t in lower if not _hits(shape(*t), placed)), (x, y))
         placed.append(shape(*spot))
-        yield spot
+        spots.append(spot)
+    return spots
+
+
+def _tries(x, y, x0, above, edge, width) -> Iterator[tuple[float, float]]:
+    yield x, y
+    for d in (14, 28, 42, 56):
+        yield min(x + d, edge), y
+    yield max(x0 - 40, 50), y
+    yield x, above
+    yield edge, y
+    for d in (22, 56, 112, 168):
+        if edge + d <= width - 52:
+            yield edge + d, y
 
 
 def _pages(batches: Iterator[pd.DataFrame], columns: list[str], size: int = 4096) -> Iterator[list[list[tuple]]]:
@@ -290,24 +317,28 @@ def place_scores(labels: DataFrame, words: DataFrame, page_width: float, page_he
     One page's labels are placed one after the other, so a page is a task's smallest part.
     """
     kinds = dict(labels.dtypes)
-    columns = ["submission_id", "page", "kind", "order", "rect_id", *BOX, "said"]
-    names = ["submission_id", "rect_id", "page", "label", "x", "y"]
+    told = ["rect_id", "label"]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pages in _pages(batches, columns):
-            out = []
-            for rows in pages:
-                text = [(*r[5:9], r[9] or "") for r in rows if r[2] == 0]
-                own = [r for r in rows if r[2] == 1]
-                spots = _score_places([dict(zip(columns, r, strict=True)) for r in own], text, page_width, page_height, font)
-                out += [(r[0], r[4], r[1], r[9], float(x), float(y)) for r, (x, y) in zip(own, spots, strict=True)]
-            yield pd.DataFrame(out, columns=names)
-
-    known = words.join(labels.select("submission_id", "page").distinct(), ["submission_id", "page"], "left_semi")
-    known = known.select("submission_id", "page", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("order"), F.lit(0).cast(kinds["rect_id"]).alias("rect_id"), *BOX, F.col("text").alias("said"))
-    mine = labels.select("submission_id", "page", F.lit(1).alias("kind"), F.col("order").cast("long").alias("order"), "rect_id", *BOX, F.col("label").cast("string").alias("said"))
-    rows = known.unionByName(mine).repartition("submission_id", "page").sortWithinPartitions("submission_id", "page", "kind", "order", "rect_id")
-    return rows.mapInPandas(place, f"submission_id {kinds['submission_id']}, rect_id {kinds['rect_id']}, page {kinds['page']}, label string, x double, y double")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = {c: batch.column(c).to_pylist() for c in batch.schema.names if c not in ("submission_id", "page", *told)}
+            spots = []
+            for *label, x0, y0, x1, y1, said in zip(*(got[c] for c in BOX), *(got["w_" + c] for c in (*BOX, "text")), strict=True):
+                words = [] if said is None else list(zip(x0, y0, x1, y1, [t or "" for t in said], strict=True))
+                spots.append(_score_places(list(zip(*label, strict=True)), words, page_width, page_height, font))
+            # Labels stay as Arrow's own; only boxes and texts of words are Python's.
+            lists = {c: batch.column(c) for c in told}
+            at = pc.list_parent_indices(lists["rect_id"])
+            flat = [(float(x), float(y)) for page in spots for x, y in page]
+            columns = [batch.column("submission_id").take(at), lists["rect_id"].flatten(), batch.column("page").take(at), lists["label"].flatten(), pa.array([x for x, _ in flat], pa.float64()), pa.array([y for _, y in flat], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["submission_id", "rect_id", "page", "label", "x", "y"])
+
+    # A page's words and labels are one row each; where both come spread by scripts nothing is shuffled.
+    mine = F.struct(F.col("order").cast("long").alias("order"), "rect_id", *BOX, F.col("label").cast("string").alias("label"))
+    pages = labels.groupBy("submission_id", "page").agg(F.array_sort(F.collect_list(mine)).alias("_l"))
+    known = words.groupBy("submission_id", "page").agg(F.collect_list(F.struct(*BOX, "text")).alias("_w"))
+    rows = pages.join(known, ["submission_id", "page"], "left").select("submission_id", "page", *(F.col("_l")[c].alias(c) for c in (*told, *BOX)), *(F.col("_w")[c].alias("w_" + c) for c in (*BOX, "text")))
+    return rows.mapInArrow(place, f"submission_id {kinds['submission_id']}, rect_id {kinds['rect_id']}, page {kinds['page']}, label string, x double, y double")
 
 
 def place_notes(notes: DataFrame, page_width: float, page_height: float, gap: float = 14.0) -> DataFrame:

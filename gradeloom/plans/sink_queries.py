@@ -134,10 +134,11 @@ def l07_place_scores(spark, sf_dir):
     w = words(spark, sf_dir)
     labels = w.filter("word = 0").select("submission_id", F.col("line").alias("rect_id"), "page", *geometry.BOX, F.col("line").alias("order"), F.lit("0.5").alias("label"))
     out = geometry.place_scores(labels, w, 1200.0, 800.0).select("submission_id", "page", "rect_id", "x", "y")
-    other = out.select("submission_id", "page", F.col("rect_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = (F.col("rect_id") < F.col("o")) & (F.abs(F.col("x") - F.col("ox")) < 52) & (F.abs(F.col("y") - F.col("oy")) < 13)
-    touching = out.join(other, ["submission_id", "page"]).filter(near).groupBy("submission_id").agg(F.count("*").alias("touching"))
-    return out.groupBy("submission_id").agg(F.count("*").alias("labels")).join(touching, "submission_id", "left").select("submission_id", "labels", F.coalesce("touching", F.lit(0)).cast("long").alias("touching"))
+    # A page's labels meet in one list, so that they are placed once.
+    pages = out.groupBy("submission_id", "page").agg(F.collect_list(F.struct("rect_id", "x", "y")).alias("at"))
+    near = lambda a, b: (a["rect_id"] < b["rect_id"]) & (F.abs(a["x"] - b["x"]) < 52) & (F.abs(a["y"] - b["y"]) < 13)
+    pairs = F.aggregate("at", F.lit(0).cast("long"), lambda n, a: n + F.size(F.filter("at", lambda b: near(a, b))))
+    return pages.groupBy("submission_id").agg(F.sum(F.size("at")).alias("labels"), F.sum(pairs).alias("touching"))
 
 
 @query(f"{WORDS} SELECT submission_id, page, count(*) AS notes, true AS apart FROM (SELECT * FROM lines WHERE line % 2 = 0) GROUP BY 1, 2")
