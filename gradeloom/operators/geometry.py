@@ -41,13 +41,17 @@ def _beside(rects: DataFrame, others: DataFrame, more: list[str] = ()) -> DataFr
     return rects.join(pages, ["submission_id", "page"], "left").select(*RECT, *rest, "_near")
 
 
-def line_of(rects: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each rectangle with the line that overlaps it most (line_x0 ..., line_text); itself, without text, where none does."""
+def _line_at() -> Column:
+    """Of the lines ``_near`` a rectangle the one that overlaps it most, null where none does."""
     wide = lambda o: F.least("x1", o["x1"]) - F.greatest("x0", o["x0"])
     high = lambda o: F.least("y1", o["y1"]) - F.greatest("y0", o["y0"])
     met = F.filter("_near", lambda o: (wide(o) > 0) & (high(o) > 0))
-    best = F.array_min(F.transform(met, lambda o: F.struct((-wide(o) * high(o)).alias("area"), o["y0"].alias("y0"), o["x0"].alias("x0"), o["y1"].alias("y1"), o["x1"].alias("x1"), o["text"].alias("text"))))
-    out = _beside(rects, lines, ["text"]).withColumn("_best", best).drop("_near")
+    return F.array_min(F.transform(met, lambda o: F.struct((-wide(o) * high(o)).alias("area"), o["y0"].alias("y0"), o["x0"].alias("x0"), o["y1"].alias("y1"), o["x1"].alias("x1"), o["text"].alias("text"))))
+
+
+def line_of(rects: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each rectangle with the line that overlaps it most (line_x0 ..., line_text); itself, without text, where none does."""
+    out = _beside(rects, lines, ["text"]).withColumn("_best", _line_at()).drop("_near")
     return out.withColumns({"line_" + c: F.coalesce(F.col("_best")[c], F.col(c)) for c in BOX} | {"line_text": F.col("_best.text")}).drop("_best")
 
 
@@ -76,20 +80,22 @@ def off_headings(rects: DataFrame, lines: DataFrame, words: DataFrame) -> DataFr
 
     A heading announces something (see criteria.heading_like), or is a short label or a reference such as W1 on a row without values.
     """
-    on = line_of(rects, lines)
-    row_value = words.filter(C.value_like(F.col("text"))).select("submission_id", "page", F.col("y0").alias("v_y0"), F.col("y1").alias("v_y1"))
-    near = (F.abs(F.col("v_y0") - F.col("line_y0")) <= ROW_GAP) | (F.abs(F.col("v_y1") - F.col("line_y1")) <= ROW_GAP)
-    valued = on.join(row_value, ["submission_id", "page"]).filter(near).select(*RECT).distinct().withColumn("_valued", F.lit(True))
-    on = on.join(valued, RECT, "left")
-    norm = F.lower(F.trim(F.regexp_replace(F.coalesce("line_text", F.lit("")), r"\s+", " ")))
+    # A page's lines and values are one list each, by which its rectangles pass once.
+    pages = lines.groupBy("submission_id", "page").agg(F.collect_list(F.struct(*BOX, "text", F.col("text").rlike("[1-9]").alias("figure"))).alias("_near"))
+    values = words.filter(C.value_like(F.col("text"))).groupBy("submission_id", "page").agg(F.collect_list(F.struct("y0", "y1")).alias("_values"))
+    on = rects.join(pages, ["submission_id", "page"], "left").join(values, ["submission_id", "page"], "left").withColumn("_best", _line_at())
+    on = on.withColumns({"_" + c: F.coalesce(F.col("_best")[c], F.col(c)) for c in ("y0", "y1")} | {"_text": F.col("_best.text")})
+    near = lambda v: (F.abs(v["y0"] - F.col("_y0")) <= ROW_GAP) | (F.abs(v["y1"] - F.col("_y1")) <= ROW_GAP)
+    norm = F.lower(F.trim(F.regexp_replace(F.coalesce("_text", F.lit("")), r"\s+", " ")))
     parts = F.filter(F.split(norm, " "), lambda w: w != "")
     short = (F.size(parts) <= 3) & (F.length(norm) <= 24)
-    reference = F.exists(parts, lambda w: w.rlike("^[a-z]{1,3}[0-9]{1,3}$"))
-    bare = F.col("_valued").isNull()
-    heading = C.heading_like(F.col("line_text")) | ((short | reference) & bare)
-    target = next_value_line(on.filter(heading).select(*RECT, *(F.col("line_" + c).alias(c) for c in BOX)), lines, NEXT_VALUE)
-    out = rects.join(target.select(*RECT, *("next_" + c for c in BOX)), RECT, "left").withColumn("moved", F.col("next_y0").isNotNull())
-    return out.withColumns({c: F.coalesce("next_" + c, c) for c in BOX}).drop(*("next_" + c for c in BOX))
+    reference = norm.rlike("(?:^| )[a-z]{1,3}[0-9]{1,3}(?: |$)")
+    bare = ~F.coalesce(F.exists("_values", near), F.lit(False))
+    heading = F.coalesce(C.heading_like(F.col("_text")), F.lit(False)) | ((short | reference) & bare)
+    below = F.filter("_near", lambda o: o["figure"] & (o["y0"] > F.col("_y1") + 1) & (o["y0"] <= F.col("_y1") + NEXT_VALUE))
+    target = F.when(heading, F.array_min(F.transform(below, lambda o: F.struct(o["y0"].alias("y0"), o["x0"].alias("x0"), o["x1"].alias("x1"), o["y1"].alias("y1")))))
+    out = on.withColumn("_next", target).withColumn("moved", F.col("_next").isNotNull())
+    return out.select(*(F.coalesce(F.col("_next")[c], F.col(c)).alias(c) if c in BOX else c for c in rects.columns), "moved")
 
 
 def wrapped_hits(hits: DataFrame, share: float = WRAP_SHARE, most: int = WRAP_LINES) -> DataFrame:
